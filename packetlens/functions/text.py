@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,12 +17,8 @@ def fixed(c, digits: int) -> Column:
 
     Rendered from one scaled integer (half up), so that any engine prints the same digits.
     """
-    scale = 10**digits
-    scaled = F.floor(_col(c) * F.lit(float(scale)) + F.lit(0.5)).cast("bigint")
-    whole = F.floor(scaled / scale).cast("bigint")
-    return F.concat(
-        whole.cast("string"), F.lit("."), F.lpad((scaled - whole * scale).cast("string"), digits, "0")
-    )
+    scaled = F.floor(_col(c) * F.lit(float(10**digits)) + F.lit(0.5)).cast("decimal(18,0)")
+    return (scaled * F.lit(Decimal(1).scaleb(-digits))).cast(f"decimal(24,{digits})").cast("string")
 
 
 def score_text(c) -> Column:

@@ -9,20 +9,10 @@ from ..functions.net import ip_to_string
 from ..functions.text import fixed, whole
 from ..schemas import ATTACK, SUSPICIOUS, RuleThresholds
 
-RULE_TYPE = "struct<rule_type:string,rule_reason:string,rule_severity:int>"
-
-
 def _text(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def _match(kind: str, reason: Column, severity) -> Column:
-    severity = severity if isinstance(severity, Column) else F.lit(severity)
-    return F.struct(
-        F.lit(kind).alias("rule_type"), reason.alias("rule_reason"), severity.cast("int").alias("rule_severity")
-    )
-
-
 def rules(
     df: DataFrame,
     thresholds: RuleThresholds = RuleThresholds(),
@@ -49,22 +39,35 @@ def rules(
         "DoS flood: ", fixed(rate, 1), " pkt/s (", whole(F.col("bytes_per_sec") / 1000.0),
         f" KB/s) (threshold: {t.dos_rate:.1f})",
     )
-    found = (
-        F.when(ports >= t.port_scan_ports, _match("Port Scan", scan, scan_severity))
-        .when((F.col("syn_ratio") >= t.syn_flood_ratio) & (rate >= t.syn_flood_rate), _match("SYN Flood", syn, ATTACK))
-        .when(rate >= t.dos_rate, _match("DoS Attack", flood, ATTACK))
-    )
+    # (condition, name, reason, severity) in order of precedence.
+    ordered = [
+        (ports >= t.port_scan_ports, "Port Scan", scan, scan_severity),
+        ((F.col("syn_ratio") >= t.syn_flood_ratio) & (rate >= t.syn_flood_rate), "SYN Flood", syn, F.lit(ATTACK)),
+        (rate >= t.dos_rate, "DoS Attack", flood, F.lit(ATTACK)),
+    ]
     if baseline:
         usual = F.col(baseline)
         spike = _text(
             "Traffic spike: ", fixed(rate, 1), " pkt/s is ", fixed(rate / usual, 1), "x above baseline (",
             fixed(usual, 1), " pkt/s)",
         )
-        is_spike = (usual > 0) & (rate >= usual * t.spike_multiplier)
-        found = found.when(is_spike, _match("Traffic Spike", spike, SUSPICIOUS))
-    return df.withColumn("_rule", found.cast(RULE_TYPE)).select(*df.columns, "_rule.*")
+        ordered.append((spikes(rate, usual, t), "Traffic Spike", spike, F.lit(SUSPICIOUS)))
+
+    def first_match(value) -> Column:
+        # One CASE per column over the same cheap conditions: an unused reason is pruned away.
+        out = F
+        for condition, *rest in ordered:
+            out = out.when(condition, value(*rest))
+        return out
+
+    return df.withColumns({
+        "rule_type": first_match(lambda name, reason, severity: F.lit(name)),
+        "rule_reason": first_match(lambda name, reason, severity: reason),
+        "rule_severity": first_match(lambda name, reason, severity: severity.cast("int")),
+    })
 
 
-def spikes(df: DataFrame, value: str, baseline: str, thresholds: RuleThresholds = RuleThresholds()) -> Column:
+def spikes(value, baseline, thresholds: RuleThresholds = RuleThresholds()) -> Column:
     """The spike condition alone, for any rate series with a baseline column."""
-    return (F.col(baseline) > 0) & (F.col(value) >= F.col(baseline) * thresholds.spike_multiplier)
+    value, baseline = (F.col(c) if isinstance(c, str) else c for c in (value, baseline))
+    return (baseline > 0) & (value >= baseline * thresholds.spike_multiplier)
