@@ -6,9 +6,13 @@ accept unchanged: by supplier, some sources flood, some scan, most behave.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packetlens.session import shared_dir
+
 ROLE = """
   SELECT l_suppkey, l_partkey, l_quantity, CAST(l_suppkey % 10 AS BIGINT) AS k,
          (l_orderkey*1000003 + l_linenumber*7919 + l_partkey*31337) AS h
@@ -92,6 +96,13 @@ def _hex(value: str, size: int):
     return F.lpad(F.hex(F.expr(value)), size * 2, "0")
 
 
+def stored(df: DataFrame) -> str:
+    """Write a derived table to the shared folder; return its path."""
+    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packets as Ethernet frames, with some ARP and IPv6 ones, some cut short."""
     p = packets(spark, sf_dir)

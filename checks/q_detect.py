@@ -196,12 +196,16 @@ def _next(b: str, x: str) -> str:
     return f"CASE WHEN {b} = 0 THEN {x} WHEN {x} / {b} > 5 THEN {mix(0.7)} WHEN {x} / {b} > 2 THEN {mix(0.5)} ELSE {mix(0.3)} END"
 
 
-_EWMA = {
-    "s": "SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events",
-    "r": f"""SELECT user_id, event_id, value, rn, 0.0::DOUBLE AS baseline, value AS baseline_after FROM s WHERE rn = 1
-      UNION ALL SELECT s.user_id, s.event_id, s.value, s.rn, r.baseline_after, {_next('r.baseline_after', 's.value')}
-      FROM r JOIN s ON s.user_id = r.user_id AND s.rn = r.rn + 1""",
-}
+def _ewma(key: str) -> dict[str, str]:
+    return {
+        "s": f"SELECT {key}, event_id, value, row_number() OVER (PARTITION BY {key} ORDER BY event_id) AS rn FROM events",
+        "r": f"""SELECT {key}, event_id, value, rn, 0.0::DOUBLE AS baseline, value AS baseline_after FROM s WHERE rn = 1
+          UNION ALL SELECT s.{key}, s.event_id, s.value, s.rn, r.baseline_after, {_next('r.baseline_after', 's.value')}
+          FROM r JOIN s ON s.{key} = r.{key} AND s.rn = r.rn + 1""",
+    }
+
+
+_EWMA = _ewma("user_id")
 
 
 def _series(spark, sf):
@@ -213,9 +217,10 @@ def baseline_rows(spark, sf):
     return baseline_ewma(_series(spark, sf), ["user_id"], ["event_id"], "value")
 
 
-@check(query("SELECT user_id, event_id, value, baseline, baseline_after FROM r", recursive=True, **_EWMA))
+@check(query("SELECT event_type, event_id, value, baseline, baseline_after FROM r", recursive=True, **_ewma("event_type")))
 def baseline_rows_split(spark, sf):
-    return baseline_ewma(_series(spark, sf), ["user_id"], ["event_id"], "value", chunk=F.expr("event_id div 2000"))
+    rows = table(spark, sf, "events").select("event_type", "event_id", "value")
+    return baseline_ewma(rows, ["event_type"], ["event_id"], "value", block=F.expr("event_id div 1000"), chunk_rows=500)
 
 
 @check(query(
@@ -236,7 +241,7 @@ def spikes_over_baseline(spark, sf):
 def _threshold_sql(source: str, keys: str, order: str, value: str, window: int, warmup: int, k: float) -> str:
     life = f"PARTITION BY {keys} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     past = f"PARTITION BY {keys} ORDER BY {order} ROWS BETWEEN {window} PRECEDING AND 1 PRECEDING"
-    return f"""SELECT {keys}, {order}, {value}, seen, samples, round(mean, 9) AS mean, round(stddev, 6) AS stddev,
+    return f"""SELECT {keys}, {order}, {value}, seen, samples, mean, round(stddev, 6) AS stddev,
       lifetime_min, lifetime_max, round(CASE WHEN samples >= 2 THEN mean + {k}::DOUBLE * stddev ELSE 1e18::DOUBLE END, 6) AS threshold,
       seen >= {warmup} AS warmed_up,
       coalesce(seen >= {warmup} AND samples >= 2 AND {value} > mean + {k}::DOUBLE * stddev, false) AS is_suspicious,
@@ -247,15 +252,21 @@ def _threshold_sql(source: str, keys: str, order: str, value: str, window: int,
 
 
 def _round_threshold(df):
-    # Means of cents over up to 300 rows have no ties at nine digits; sums differ in the last bits only.
-    return df.withColumns({c: F.round(c, n) for c, n in (("mean", 9), ("stddev", 6), ("threshold", 6))})
+    return df.withColumns({c: F.round(c, 6) for c in ("stddev", "threshold")})
+
+
+# In whole cents, so that the sums behind the means are exact in any order.
+_CENTS = "CAST(round(value * 100) AS BIGINT) AS cents"
 
 
-@check(_threshold_sql("events", "event_type", "event_id", "value", 300, 50, 3.0))
+@check(query(
+    _threshold_sql("series", "event_type", "event_id", "cents", 300, 50, 3.0),
+    series=f"SELECT event_type, event_id, {_CENTS} FROM events",
+))
 def adaptive_thresholds(spark, sf):
-    rows = table(spark, sf, "events").select("event_type", "event_id", "value")
+    rows = table(spark, sf, "events").selectExpr("event_type", "event_id", _CENTS)
     return _round_threshold(adaptive_threshold(
-        rows, ["event_type"], ["event_id"], "value", F.expr("event_id div 1000"), chunk_rows=500
+        rows, ["event_type"], ["event_id"], "cents", F.expr("event_id div 1000"), chunk_rows=500
     ))
 
 

@@ -8,11 +8,11 @@ from packetlens.functions.net import (
     TCP_FLAGS, filter_protocols, has_flag, ip_to_long, ip_to_string, is_syn, protocol_name, severity_code, severity_name,
 )
 from packetlens.operators.ratecap import capture_counters, rate_cap
-from packetlens.sources.frames import decode_descriptors, decode_frames
+from packetlens.sources.frames import decode_descriptors, decode_frames, read_frames
 from packetlens.sources.sinks import prediction_lines
 from packetlens.sources.tables import parse_prediction_lines
 
-from .inputs import descriptors, frames, labelled, packets, table
+from .inputs import descriptors, frames, labelled, packets, stored, table
 from .registry import check
 from .sql import BASE, ip, query
 
@@ -21,12 +21,12 @@ from .sql import BASE, ip, query
     f"SELECT {BASE} FROM packets WHERE packet_size % 11 <> 0 AND packet_size % 13 <> 0 AND packet_size % 17 <> 0", "packets"
 ))
 def decode_ethernet_frames(spark, sf):
-    return decode_frames(frames(spark, sf)).drop("ts")
+    return decode_frames(read_frames(spark, stored(frames(spark, sf)))).drop("ts")
 
 
 @check(query(f"SELECT {BASE} FROM packets", "packets"))
 def decode_packet_descriptors(spark, sf):
-    return decode_descriptors(descriptors(spark, sf)).drop("ts")
+    return decode_descriptors(spark.read.parquet(stored(descriptors(spark, sf)))).drop("ts")
 
 
 @check(query("SELECT actual, pred FROM labelled", "labelled"))

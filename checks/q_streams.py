@@ -16,7 +16,7 @@ from packetlens.streaming.flows import stream_flow_sessions, stream_flow_stats,
 from packetlens.streaming.ticks import stream_alert_ticks, stream_ticks
 
 from . import q_detect, q_flows
-from .inputs import packets, packets_of, table
+from .inputs import packets, packets_of, stored, table
 from .registry import ORACLE, check
 from .sql import DETECTION, query
 
@@ -73,9 +73,7 @@ def streamed_detections(spark, sf):
 
 def _stored(spark, df: DataFrame) -> DataFrame:
     """A table written to the shared folder, read back as a stream."""
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1000).parquet(path)
+    return spark.readStream.schema(df.schema).parquet(stored(df))
 
 
 @check(query("SELECT ts_us // 1000000 AS sec, count(*) FILTER (severity = 1) AS suspicious, count(*) FILTER (severity = 2) AS attack FROM det GROUP BY 1", "det"))

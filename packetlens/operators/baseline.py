@@ -26,15 +26,15 @@ def next_baseline(b: float, x: float) -> float:
 
 
 def baseline_ewma(
-    df: DataFrame, keys: list[str], order: list[str], value: str, chunk: Column | None = None
+    df: DataFrame, keys: list[str], order: list[str], value: str, block: Column | None = None, chunk_rows: int = 100_000
 ) -> DataFrame:
     """Add `baseline` (before the row) and `baseline_after` per key, in order.
 
-    `chunk`, a coarse prefix of the order, lets a key with very many rows be folded in parallel.
+    With `block`, a coarse prefix of the order, keys of more than `chunk_rows` rows are folded in
+    parallel chunks.
     """
-    if chunk is not None:
-        chunked = df.withColumn("_chunk", chunk)
-        return fold_split(chunked, keys, "_chunk", order, [value], "baseline", next_baseline).drop("_chunk")
+    if block is not None:
+        return fold_split(df, keys, block, order, [value], "baseline", next_baseline, chunk_rows)
     outputs = T.StructType([
         T.StructField("baseline", T.DoubleType()), T.StructField("baseline_after", T.DoubleType())
     ])
@@ -47,11 +47,9 @@ def baseline_ewma(
     return fold_in_order(df, keys, order, [value], outputs, step)
 
 
-def final_baseline(
-    df: DataFrame, keys: list[str], order: list[str], value: str, chunk: Column | None = None
-) -> DataFrame:
+def final_baseline(df: DataFrame, keys: list[str], order: list[str], value: str, **how) -> DataFrame:
     """One row per key: the baseline after its last row."""
-    rows = baseline_ewma(df, keys, order, value, chunk)
+    rows = baseline_ewma(df, keys, order, value, **how)
     return rows.groupBy(*keys).agg(F.max_by("baseline_after", F.struct(*order)).alias("baseline"))
 
 

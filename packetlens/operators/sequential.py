@@ -7,12 +7,13 @@ Arrow batches and holds one state, never a whole group.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import shared_dir
+from .spread import positions
 
 
 def fold_in_order(
@@ -50,19 +51,31 @@ _ARROW = {T.DoubleType: pa.float64(), T.BooleanType: pa.bool_(), T.LongType: pa.
 
 
 def fold_split(
-    df: DataFrame, keys: list[str], chunk: str, order: list[str], inputs: list[str], output: str, step
+    df: DataFrame,
+    keys: list[str],
+    block: Column,
+    order: list[str],
+    inputs: list[str],
+    output: str,
+    step,
+    chunk_rows: int = 100_000,
 ) -> DataFrame:
     """`fold_in_order` for one DOUBLE state, with long keys split into chunks folded in parallel.
 
-    Every (key, chunk) is folded from an assumed start. Where the end of the chunk before differs
-    from that start, the chunk is folded again from the true one, until no start changes: by
-    induction from a key's first chunk the result is then the sequential one, bit for bit. A fold
-    that forgets its start (as an exponential mean does) settles after a pass or two.
+    Rows get exact positions (`block` is a coarse prefix of `order`) and chunks of `chunk_rows`
+    positions; a key with fewer rows is one chunk. Every chunk is folded from an assumed start.
+    Where the end of the chunk before differs from that start, the chunk is folded again from the
+    true one, until no start changes: by induction from a key's first chunk the result is then the
+    sequential one, bit for bit. A fold that forgets its start within a chunk (as an exponential
+    mean does after some hundred rows) settles after a pass or two.
 
     `output` is the state before the row; `output + "_after"` the state after it. Runs jobs.
     """
     shared_dir(df.sparkSession)
-    part = [*keys, chunk]
+    part = [*keys, "_chunk"]
+    placed = positions(df, keys, block, order, "_pos").withColumn(
+        "_chunk", F.floor((F.col("_pos") - 1) / chunk_rows).cast("bigint")
+    ).drop("_pos")
     before_after = T.StructType([
         T.StructField(output, T.DoubleType()), T.StructField(output + "_after", T.DoubleType())
     ])
@@ -73,15 +86,15 @@ def fold_split(
         return after, (state, after)
 
     def folded(starts: DataFrame) -> DataFrame:
-        rows = df.join(starts.select(*part, "_start"), part)
+        rows = placed.join(starts.select(*part, "_start"), part)
         return fold_in_order(rows, part, order, ["_start", *inputs], before_after, started)
 
     def ends(starts: DataFrame) -> DataFrame:
         last = F.max_by(output + "_after", F.struct(*order))
         return folded(starts).groupBy(*part).agg(last.alias("_end"))
 
-    in_key = W.partitionBy(*keys).orderBy(chunk)
-    known = df.select(*part).distinct().withColumn("_start", F.lit(0.0))
+    in_key = W.partitionBy(*keys).orderBy("_chunk")
+    known = placed.select(*part).distinct().withColumn("_start", F.lit(0.0))
     done = known.join(ends(known), part).checkpoint()
     while True:
         due = F.coalesce(F.lag("_end").over(in_key), F.lit(0.0))
@@ -97,4 +110,4 @@ def fold_split(
             F.coalesce("_start2", "_start").alias("_start"),
             F.when(F.col("_start2").isNotNull(), F.col("_end2")).otherwise(F.col("_end")).alias("_end"),
         ).checkpoint()
-    return folded(done).drop("_start")
+    return folded(done).drop("_start", "_chunk")
