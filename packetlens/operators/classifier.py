@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import MODEL_FEATURES, TRAINING_FEATURES
+from ..session import shared_dir
 from .training import add_class_weights
 
 
@@ -26,7 +27,8 @@ class ForestSettings:
 
 def train_classifier(df: DataFrame, settings: ForestSettings = ForestSettings()) -> PipelineModel:
     """Fit label index -> scaling -> forest -> label name, with balanced class weights."""
-    weighted = add_class_weights(df)
+    shared_dir(df.sparkSession)
+    weighted = add_class_weights(df.select(*TRAINING_FEATURES, "label")).checkpoint()
     indexer = StringIndexer(inputCol="label", outputCol="label_index", stringOrderType="alphabetAsc").fit(weighted)
     stages = [
         VectorAssembler(inputCols=TRAINING_FEATURES, outputCol="raw"),
@@ -34,12 +36,12 @@ def train_classifier(df: DataFrame, settings: ForestSettings = ForestSettings())
         RandomForestClassifier(
             featuresCol="scaled", labelCol="label_index", weightCol="weight", numTrees=settings.trees,
             maxDepth=settings.depth, minInstancesPerNode=settings.min_leaf, seed=settings.seed,
-            cacheNodeIds=True, checkpointInterval=10,
+            # Deep trees: keep each row's node instead of shipping the growing trees to every task.
+            cacheNodeIds=settings.depth > 10, checkpointInterval=10,
         ),
         IndexToString(inputCol="prediction", outputCol="class_label", labels=indexer.labels),
     ]
-    fitted = Pipeline(stages=stages).fit(indexer.transform(weighted))
-    return fitted
+    return Pipeline(stages=stages).fit(indexer.transform(weighted))
 
 
 def score_classifier(df: DataFrame, model: PipelineModel) -> DataFrame:

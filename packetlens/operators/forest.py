@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from ..schemas import TRAINING_FEATURES
 from ..session import shared_dir
-from .spread import content_key, key_block, positions
+from .spread import COPIES, content_key, fold_copies, positions
+from .training import cap_rows
 
 NODE_SCHEMA = "tree int, node int, feature int, split double, left int, right int, depth int, size int"
 EULER = 0.5772156649015329
@@ -74,18 +75,18 @@ def _grow(points: np.ndarray, tree: int, seed: int) -> pd.DataFrame:
     return pd.DataFrame(nodes, columns=names)
 
 
-def tree_samples(df: DataFrame, settings: IsolationSettings, key: list[str]) -> DataFrame:
+def tree_samples(df: DataFrame, settings: IsolationSettings, key: list[str], columns: list[str]) -> DataFrame:
     """`sample` rows per tree, as rows with a `tree` column.
 
     With enough data the trees * sample rows of lowest content key are dealt out. Otherwise the
     data itself is smaller than that bound, and every tree takes its own lowest-keyed rows of it.
     """
     need = settings.trees * settings.sample
-    keyed = df.withColumn("_key", content_key(key, settings.seed))
-    first = positions(keyed, [], key_block(F.col("_key")), ["_key", *key], "_n", upto=need)
     if df.count() >= need:
-        dealt = first.filter(F.col("_n") <= need)
-        return dealt.withColumn("tree", ((F.col("_n") - 1) % settings.trees).cast("int")).drop("_key", "_n")
+        # At most trees * sample rows are left here, so one task can deal them.
+        in_order = W.orderBy(content_key(key, settings.seed), *key)
+        dealt = cap_rows(df, need, None if key == columns else key, settings.seed).withColumn("_n", F.row_number().over(in_order))
+        return dealt.withColumn("tree", ((F.col("_n") - 1) % settings.trees).cast("int")).drop("_n")
     every = df.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(settings.trees - 1))))
     per_tree = every.withColumn("_key", content_key([*key, "tree"], settings.seed))
     order = W.partitionBy("tree").orderBy("_key", *key)
@@ -101,7 +102,7 @@ def train_isolation_forest(
     """Grow the trees and set the anomaly offset at the contamination quantile of the scores."""
     shared_dir(df.sparkSession)
     key = list(key or columns)
-    samples = tree_samples(df.select(*dict.fromkeys([*key, *columns])), settings, key)
+    samples = tree_samples(df.select(*dict.fromkeys([*key, *columns])), settings, key, list(columns))
     seed, names = settings.seed, list(columns)
 
     def grow(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -111,9 +112,21 @@ def train_isolation_forest(
     nodes = samples.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).checkpoint()
     size = min(settings.sample, df.count())
     model = IsolationModel(nodes, size, 0.0, tuple(names))
-    scores = df.select(raw_score(model).alias("raw_score"))
-    offset = scores.agg(F.percentile("raw_score", settings.contamination)).first()[0]
-    return IsolationModel(nodes, size, float(offset), tuple(names))
+    offset = _quantile(df.select(raw_score(model).alias("raw_score")), settings.contamination)
+    return IsolationModel(nodes, size, offset, tuple(names))
+
+
+def _quantile(scores: DataFrame, q: float) -> float:
+    """Exact quantile (linear between ranks) of scores in [-1, 0], ranked over many tasks."""
+    folded = fold_copies(scores).checkpoint()  # scored once; both steps below read the result
+    rank = q * (folded.agg(F.sum(COPIES)).first()[0] - 1) + 1
+    low = int(rank)
+    block = F.floor(F.col("raw_score") * 1_000_000).cast("bigint")
+    ranked = positions(folded, [], block, ["raw_score"], "rank", upto=low + 1, copies=COPIES)
+    below, above = (
+        ranked.filter(F.col("rank") <= r).agg(F.max_by("raw_score", "rank")).first()[0] for r in (low, low + 1)
+    )
+    return float(below + (rank - low) * (above - below))
 
 
 def raw_score(model: IsolationModel) -> Column:

@@ -42,13 +42,16 @@ def positions(
     name: str = "position",
     total: str | None = None,
     upto=None,
+    copies: str | None = None,
 ) -> DataFrame:
     """Exact 1-based rank of each row within `keys`, ordered by `order`.
 
     `block` must rise with `order` (a coarse prefix of it). With `upto`, blocks that start beyond
-    that rank are dropped before the sort. `total` adds the row count of the key.
+    that rank are dropped before the sort. `total` adds the row count of the key. A row that
+    stands for `copies` equal rows takes as many ranks and gets the first of them.
     """
-    sized = df.groupBy(*keys, block.alias("_block")).agg(F.count(F.lit(1)).alias("_n"))
+    weight = F.col(copies) if copies else F.lit(1).cast("bigint")
+    sized = df.groupBy(*keys, block.alias("_block")).agg(F.sum(weight).alias("_n"))
     running = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     offsets = sized.withColumn("_before", F.coalesce(F.sum("_n").over(running), F.lit(0)))
     if total:
@@ -56,26 +59,54 @@ def positions(
     if upto is not None:
         offsets = offsets.filter(F.col("_before") < upto)
     inner = W.partitionBy(*keys, "_block").orderBy(*order)
+    if copies:
+        rank = F.coalesce(F.sum(copies).over(inner.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + 1
+    else:
+        rank = F.row_number().over(inner)
     return (
         df.withColumn("_block", block)
         .join(offsets.drop("_n"), [*keys, "_block"])
-        .withColumn(name, F.col("_before") + F.row_number().over(inner))
+        .withColumn(name, F.col("_before") + rank)
         .drop("_block", "_before")
     )
 
 
-def take_first(df: DataFrame, n, block: Column, order: list) -> DataFrame:
+def take_first(df: DataFrame, n, block: Column, order: list, copies: str | None = None) -> DataFrame:
     """Exactly the first `n` rows by `order`, without one task merging every partition's top n.
 
     `n` may be a number or a scalar column. The counts per block give the last block that can
     hold a row of the result; later rows are filtered out before anything is shuffled.
+    With `copies`, a row that reaches beyond rank n keeps only the copies up to it.
     """
-    sized = df.groupBy(block.alias("_block")).agg(F.count(F.lit(1)).alias("_n"))
+    weight = F.col(copies) if copies else F.lit(1).cast("bigint")
+    sized = df.groupBy(block.alias("_block")).agg(F.sum(weight).alias("_n"))
     running = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     starts = sized.withColumn("_before", F.coalesce(F.sum("_n").over(running), F.lit(0)))
     last = starts.filter(F.col("_before") < n).agg(F.max("_block").alias("_last")).scalar()
-    kept = positions(df.filter(block <= last), [], block, order, "_position", upto=n)
-    return kept.filter(F.col("_position") <= n).drop("_position")
+    ranked = positions(df.filter(block <= last), [], block, order, "_position", upto=n, copies=copies)
+    kept = ranked.filter(F.col("_position") <= n)
+    if copies:
+        kept = kept.withColumn(copies, F.least(F.col(copies), F.lit(n) - F.col("_position") + 1))
+    return kept.drop("_position")
+
+
+COPIES = "_copies"
+
+
+def fold_copies(df: DataFrame) -> DataFrame:
+    """Equal rows as one row with a count (combined map-side), so that no group of copies has to be
+    ordered row by row.
+    """
+    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(COPIES))
+
+
+def unfold_copies(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """The inverse of `fold_copies`; large counts are cut into parts that are spread over tasks."""
+    rest = [c for c in df.columns if c != COPIES]
+    parts = F.sequence(F.lit(0).cast("bigint"), F.expr(f"({COPIES} - 1) div {most}"))
+    cut = df.withColumn("_part", F.explode(parts)).repartition("_part", *rest)
+    size = F.least(F.lit(most), F.col(COPIES) - F.col("_part") * most).cast("int")
+    return cut.withColumn("_one", F.explode(F.array_repeat(F.lit(True), size))).select(*rest)
 
 
 def content_key(columns: list[str], seed: int) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import CONN_BOUNDS, RATE_BOUNDS, SIZE_BOUNDS, SYN_BOUNDS, bin_port, clip, normalise_label
-from .spread import content_key, key_block, positions, take_first
+from .spread import COPIES, content_key, fold_copies, key_block, positions, take_first, unfold_copies
 
 # Columns of the labelled flow files, most with a leading space in their header.
 FLOW_COLUMNS = {
@@ -50,11 +50,20 @@ def label_counts(df: DataFrame, by_file: bool = False) -> DataFrame:
     return df.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def cap_rows(df: DataFrame, n: int = NORMAL_CAP, key: list[str] | None = None, seed: int = 42) -> DataFrame:
+def _keyed(df: DataFrame, key: list[str] | None, seed: int) -> tuple[DataFrame, list[str], str | None]:
+    """Rows with a `_key`. Without columns that identify a row its whole content is the key, and
+    equal rows travel as one with a count: a mass of copies never lands in one task.
+    """
+    if key:
+        return df.withColumn("_key", content_key(key, seed)), key, None
+    return fold_copies(df).withColumn("_key", content_key(df.columns, seed)), df.columns, COPIES
+
+
+def cap_rows(df: DataFrame, n=NORMAL_CAP, key: list[str] | None = None, seed: int = 42) -> DataFrame:
     """A reproducible sample of at most `n` rows: those with the lowest content keys."""
-    key = key or df.columns
-    keyed = df.withColumn("_key", content_key(key, seed))
-    return take_first(keyed, n, key_block(F.col("_key")), ["_key", *key]).drop("_key")
+    keyed, order, copies = _keyed(df, key, seed)
+    first = take_first(keyed, n, key_block(F.col("_key")), ["_key", *order], copies).drop("_key")
+    return unfold_copies(first) if copies else first
 
 
 def rebalance(df: DataFrame, ratio: int = 3, key: list[str] | None = None, seed: int = 42) -> DataFrame:
@@ -72,10 +81,20 @@ def stratified_split(
 
     Ranks come from counts per (label, key prefix), so the dominant label is spread out.
     """
-    key = key or df.columns
-    keyed = df.withColumn("_key", content_key(key, seed))
-    ranked = positions(keyed, [label], key_block(F.col("_key")), ["_key", *key], "_rank", total="_size")
-    return ranked.withColumn("is_test", F.col("_rank") <= F.ceil(F.col("_size") * test)).drop("_key", "_rank", "_size")
+    keyed, order, copies = _keyed(df, key, seed)
+    ranked = positions(
+        keyed, [label], key_block(F.col("_key")), ["_key", *order], "_rank", total="_size", copies=copies
+    )
+    tested = F.ceil(F.col("_size") * test)
+    if not copies:
+        return ranked.withColumn("is_test", F.col("_rank") <= tested).drop("_key", "_rank", "_size")
+    within = F.greatest(F.lit(0), F.least(F.col(COPIES), tested - F.col("_rank") + 1))
+    sides = F.array(
+        F.struct(F.lit(True).alias("is_test"), within.alias("n")),
+        F.struct(F.lit(False).alias("is_test"), (F.col(COPIES) - within).alias("n")),
+    )
+    split = ranked.withColumn("_side", F.explode(sides)).filter("_side.n > 0")
+    return unfold_copies(split.select(*df.columns, "_side.is_test", F.col("_side.n").alias(COPIES)))
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
@@ -86,5 +105,7 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def add_class_weights(df: DataFrame, label: str = "label") -> DataFrame:
-    """Add `weight` to every row (one row per class joins in; Spark broadcasts it when it is small)."""
-    return df.join(class_weights(df, label).select(label, "weight"), label)
+    """Add `weight` to every row. The few classes come in as one map, so no row is shuffled."""
+    entries = F.collect_list(F.struct(label, "weight"))
+    table = class_weights(df, label).agg(F.map_from_entries(entries)).scalar()
+    return df.withColumn("weight", F.element_at(table, F.col(label)))

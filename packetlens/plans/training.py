@@ -14,6 +14,7 @@ from ..operators.forest import IsolationModel, IsolationSettings, score_isolatio
 from ..operators.scoring import combine_scores
 from ..operators.training import NORMAL_CAP, cap_rows, prepare_training, rebalance, stratified_split
 from ..schemas import MODEL_FEATURES, TRAINING_FEATURES
+from ..session import shared_dir
 
 
 @dataclass(frozen=True)
@@ -34,10 +35,12 @@ def train_models(
 
     `key` names columns of `flows` that identify a row, for reproducible sampling.
     """
-    rows = prepare_training(flows, list(key))
+    # Written to the shared folder after each step: the next one reads its rows several times.
+    shared_dir(flows.sparkSession)
     sampling = list(key) or None
-    normal = cap_rows(rows.filter(F.col("label") == "Normal"), normal_cap, sampling)
-    split = stratified_split(rebalance(rows, key=sampling), key=sampling)
+    rows = prepare_training(flows, list(key)).checkpoint()
+    normal = cap_rows(rows.filter(F.col("label") == "Normal"), normal_cap, sampling).checkpoint()
+    split = stratified_split(rebalance(rows, key=sampling).checkpoint(), key=sampling).checkpoint()
     classifier = train_classifier(split.filter(~F.col("is_test")), forest)
     tested = score_classifier(split.filter("is_test"), classifier)
     report = classification_report(tested.select(F.col("label").alias("actual"), F.col("class_label").alias("pred")))

@@ -8,7 +8,7 @@ from packetlens.functions.labels import LABEL_CLASSES, bin_port, normalise_label
 from packetlens.operators import evaluate as ev
 from packetlens.operators import training as tr
 from packetlens.operators.classifier import ForestSettings, score_classifier
-from packetlens.operators.forest import IsolationSettings, mean_path, score_isolation, train_isolation_forest
+from packetlens.operators.forest import IsolationSettings, _quantile, mean_path, score_isolation, train_isolation_forest
 from packetlens.plans.training import model_scorer, train_models
 from packetlens.sources.sinks import (
     load_classifier, load_isolation, save_classifier, save_isolation, write_predictions, write_training,
@@ -138,3 +138,25 @@ def test_prediction_log(spark, tmp_path):
     assert table(read_prediction_log(spark, path), "actual", "pred") == [
         ("ATTACK", "ATTACK"), ("NORMAL", "SYN_FLOOD"), ("PORT_SCAN", "ATTACK"),
     ]
+
+
+def test_masses_of_copies_are_split_exactly(spark):
+    rows = [(1.0, "Normal")] * 700 + [(2.0, "Normal")] * 5 + [(float(i), "DoS") for i in range(100)]
+    df = spark.createDataFrame(rows, "v double, label string").repartition(3)
+    for n in (1, 650, 800, 5000):
+        assert tr.cap_rows(df, n).count() == min(n, 805)
+    split = tr.stratified_split(df)
+    assert {r.label: r["count"] for r in split.filter("is_test").groupBy("label").count().collect()} == {"Normal": 141, "DoS": 20}
+    assert table(split, "v", "label") == sorted(rows)
+    assert tr.rebalance(df, 3).filter("label = 'Normal'").count() == 300
+    assert tr.add_class_weights(df).filter("label = 'DoS'").first().weight == 805 / 200
+
+
+def test_exact_quantile(spark):
+    from packetlens.session import shared_dir
+
+    shared_dir(spark)
+    values = [-(i * 37 % 101) / 101 for i in range(101)] + [-0.5] * 60
+    df = spark.createDataFrame([(v,) for v in values], "raw_score double").repartition(3)
+    for q in (0.0, 0.01, 0.37, 0.5, 1.0):
+        assert _quantile(df, q) == pytest.approx(df.agg(F.percentile("raw_score", q)).first()[0], abs=1e-12)
