@@ -1,6 +1,6 @@
 """Folds whose next state depends on the last one, run key by key in order.
 
-Rows are range-free shuffled by key and sorted by Spark (which spills); the task then streams
+Rows are shuffled by key and sorted by Spark (which spills); the task then streams
 Arrow batches and holds one state, never a whole group.
 """
 
@@ -17,15 +17,22 @@ from .spread import positions
 
 
 def fold_in_order(
-    df: DataFrame, keys: list[str], order: list[str], inputs: list[str], outputs: T.StructType, step
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    inputs: list[str],
+    outputs: T.StructType,
+    step,
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """Append `outputs` to every row of `df`.
+    """Append `outputs` to every row of `df` (of its columns `carry`, if given).
 
     `step(state, *inputs) -> (state, outputs)` is called for each row of a key in order; the state
     is None before the first row of a key.
     """
-    ordered = df.repartition(*keys).sortWithinPartitions(*keys, *order)
-    schema = T.StructType([*df.schema.fields, *outputs.fields])
+    # Columns that only settle the order stay behind: they need not travel to Python.
+    ordered = df.repartition(*keys).sortWithinPartitions(*keys, *order).select(*(carry or df.columns))
+    schema = T.StructType([*ordered.schema.fields, *outputs.fields])
     arrow_types = [_ARROW[type(f.dataType)] for f in outputs.fields]
     names = [f.name for f in outputs.fields]
 

@@ -12,8 +12,8 @@ from ..operators.flows import flow_stats
 from ..operators.rules import rules
 from ..operators.scoring import Scorer, score_heuristic
 from ..operators.sequential import fold_in_order
-from ..operators.verdict import decide, ml_flag
-from ..schemas import NORMAL, RuleThresholds
+from ..operators.verdict import DETECTION_COLUMNS, decide, ml_flag
+from ..schemas import FLOW_KEY, NORMAL, RuleThresholds
 
 NORMAL_GAP_MS = 500
 
@@ -36,6 +36,11 @@ def detect(
 
 
 _NORMAL_STATE = T.StructType([T.StructField("baseline", T.DoubleType()), T.StructField("kept", T.BooleanType())])
+# What rules and verdicts read of a scored packet.
+_EVIDENCE = [
+    "src_unique_dst_ports", "unique_ports", "packet_rate", "syn_ratio", "syn_count", "connection_count",
+    "bytes_per_sec", "ml_score", "ml_label",
+]
 
 
 def detect_adaptive(
@@ -44,9 +49,11 @@ def detect_adaptive(
     scorer: Scorer = score_heuristic,
     window_secs: int = 3,
     gap_ms: int = NORMAL_GAP_MS,
+    keep: list[str] = (),
     **how,
 ) -> DataFrame:
-    """`detect` plus the traffic-spike rule over each source's own baseline.
+    """`detect` plus the traffic-spike rule over each source's own baseline: the verdict columns,
+    `baseline`, `packet_rate` and the packet columns named in `keep`.
 
     Row by row per source: a packet spikes against the baseline so far; a packet that stays NORMAL
     is kept if `gap_ms` passed since the source's last kept one, and a kept one moves the baseline.
@@ -54,7 +61,7 @@ def detect_adaptive(
 
     Only packets no stateless rule matched go through that fold. The volumetric rule matches
     above `dos_rate`, so a source contributes at most dos_rate packets per second however hard
-    it floods.
+    it floods. Both halves read the same columns, so they share one shuffle of the packets.
     """
     scored = scorer(packet_features(packets, window_secs, **how)).withColumn("_ml", ml_flag())
     ruled = rules(scored, thresholds, window_secs)
@@ -68,12 +75,17 @@ def detect_adaptive(
             return (usual, last), (usual, False)
         return (next_baseline(usual, rate), ts), (usual, True)
 
-    plain = ruled.filter(F.col("rule_type").isNull()).drop("rule_type", "rule_reason", "rule_severity")
-    order = ["ts_us", "dst_ip", "src_port", "dst_port", "protocol", "packet_size", "tcp_flags"]
-    folded = fold_in_order(plain, ["src_ip"], order, ["ts_us", "packet_rate", "_ml"], _NORMAL_STATE, step)
-    adaptive = rules(folded, thresholds, window_secs, baseline="baseline").filter("kept").drop("kept")
+    carry = list(dict.fromkeys(["src_ip", "ts_us", *_EVIDENCE, *keep]))
+    # Packets of one flow and time have the same evidence, so their order does not matter.
+    order = ["ts_us", *FLOW_KEY[1:]]
+    plain = ruled.filter(F.col("rule_type").isNull())
+    folded = fold_in_order(
+        plain, ["src_ip"], order, ["ts_us", "packet_rate", "_ml"], _NORMAL_STATE, step, carry=[*carry, "_ml"]
+    )
+    adaptive = rules(folded.filter("kept"), thresholds, window_secs, baseline="baseline").drop("kept", "_ml")
     sure = ruled.filter(F.col("rule_type").isNotNull()).withColumn("baseline", F.lit(None).cast("double"))
-    return decide(sure.unionByName(adaptive)).drop("_ml")
+    both = sure.select(*adaptive.columns).unionByName(adaptive)
+    return decide(both).select(*dict.fromkeys([*DETECTION_COLUMNS, "baseline", "packet_rate", *keep]))
 
 
 def limit_normals(
