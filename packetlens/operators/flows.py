@@ -18,7 +18,7 @@ _WINDOW_COLUMNS = ["src_total_packets", "syn_count", "src_unique_dst_ports", "pa
 
 
 def _running(*keys: str):
-    return W.partitionBy(*keys, "block").orderBy("at").rangeBetween(W.unboundedPreceding, W.currentRow)
+    return W.partitionBy(*keys, "_block").orderBy("_at").rangeBetween(W.unboundedPreceding, W.currentRow)
 
 
 def _sweep(df: DataFrame, window_us: int, block_us: int, source: bool, flow: bool) -> DataFrame:
@@ -29,11 +29,11 @@ def _sweep(df: DataFrame, window_us: int, block_us: int, source: bool, flow: boo
     used within the w after: the running sum of those is the distinct count.
     """
     rows = time_blocks(df.withColumn("_syn", is_syn().cast("int")), block_us, window_us)
-    payload = [c for c in df.columns]
+    payload = df.columns
     if source:
         # One exchange on (src_ip, block) serves every window below: their keys all contain it.
-        rows = rows.repartition("src_ip", "block")
-        use = W.partitionBy("src_ip", "block", "dst_port").orderBy("ts_us")
+        rows = rows.repartition("src_ip", "_block")
+        use = W.partitionBy("src_ip", "_block", "dst_port").orderBy("ts_us")
         before, after = F.lag("ts_us").over(use), F.lead("ts_us").over(use)
         rows = rows.withColumns({
             "_opens": F.coalesce(before < F.col("ts_us") - window_us, F.lit(True)).cast("int"),
@@ -43,27 +43,27 @@ def _sweep(df: DataFrame, window_us: int, block_us: int, source: bool, flow: boo
         rows = rows.withColumns({"_opens": F.lit(0), "_closes": F.lit(0)})
 
     def event(at, sign, ports, owned):
-        return F.struct(at.alias("at"), F.lit(sign).alias("sign"), ports.alias("ports"), owned.alias("keep"))
+        return F.struct(at.alias("_at"), F.lit(sign).alias("_sign"), ports.alias("_ports"), owned.alias("_keep"))
 
     leaves = F.col("ts_us") + (window_us + 1)
-    enter = event(F.col("ts_us"), 1, F.col("_opens"), F.col("owned"))
+    enter = event(F.col("ts_us"), 1, F.col("_opens"), F.col("_owned"))
     leave = event(leaves, -1, -F.col("_closes"), F.lit(False))
-    in_block = leaves < (F.col("block") + 1) * block_us
+    in_block = leaves < (F.col("_block") + 1) * block_us
     both = F.when(in_block, F.array(enter, leave)).otherwise(F.array(enter))
     events = rows.withColumn("_e", F.explode(both)).select(
-        *payload, "block", "_syn", "_e.at", "_e.sign", "_e.ports", "_e.keep"
+        *payload, "_block", "_syn", "_e.*"
     )
     sums = {}
     if source:
         over = _running("src_ip")
-        sums["src_total_packets"] = F.sum("sign").over(over)
-        sums["syn_count"] = F.sum(F.col("sign") * F.col("_syn")).over(over)
-        sums["src_unique_dst_ports"] = F.sum("ports").over(over)
+        sums["src_total_packets"] = F.sum("_sign").over(over)
+        sums["syn_count"] = F.sum(F.col("_sign") * F.col("_syn")).over(over)
+        sums["src_unique_dst_ports"] = F.sum("_ports").over(over)
     if flow:
         over = _running(*FLOW_KEY)
-        sums["packet_count"] = F.sum("sign").over(over)
-        sums["byte_count"] = F.sum((F.col("sign") * F.col("packet_size")).cast("bigint")).over(over)
-    return events.withColumns(sums).filter("keep").select(*payload, *sums)
+        sums["packet_count"] = F.sum("_sign").over(over)
+        sums["byte_count"] = F.sum((F.col("_sign") * F.col("packet_size")).cast("bigint")).over(over)
+    return events.withColumns(sums).filter("_keep").select(*payload, *sums)
 
 
 def _frames(df: DataFrame, window_us: int, block_us: int, source: bool, flow: bool) -> DataFrame:
@@ -71,16 +71,16 @@ def _frames(df: DataFrame, window_us: int, block_us: int, source: bool, flow: bo
     rows = time_blocks(df.withColumn("_syn", is_syn().cast("int")), block_us, window_us)
     sums = {}
     if source:
-        rows = rows.repartition("src_ip", "block")
-        over = W.partitionBy("src_ip", "block").orderBy("ts_us").rangeBetween(-window_us, 0)
+        rows = rows.repartition("src_ip", "_block")
+        over = W.partitionBy("src_ip", "_block").orderBy("ts_us").rangeBetween(-window_us, 0)
         sums["src_total_packets"] = F.count(F.lit(1)).over(over)
         sums["syn_count"] = F.sum("_syn").over(over)
         sums["src_unique_dst_ports"] = F.size(F.collect_set("dst_port").over(over)).cast("bigint")
     if flow:
-        over = W.partitionBy(*FLOW_KEY, "block").orderBy("ts_us").rangeBetween(-window_us, 0)
+        over = W.partitionBy(*FLOW_KEY, "_block").orderBy("ts_us").rangeBetween(-window_us, 0)
         sums["packet_count"] = F.count(F.lit(1)).over(over)
         sums["byte_count"] = F.sum(F.col("packet_size").cast("bigint")).over(over)
-    return rows.withColumns(sums).filter("owned").select(*df.columns, *sums)
+    return rows.withColumns(sums).filter("_owned").select(*df.columns, *sums)
 
 
 def _windowed(df, window_secs, method, block_secs, source, flow) -> DataFrame:
@@ -128,13 +128,13 @@ def _activity(df: DataFrame, keys: list[str], idle_us: int) -> DataFrame:
     Two packets of one slot are less than the idle time apart, so a session can only break
     between slots: a map-side combined count per slot is all that has to be ordered per key.
     """
-    slots = df.groupBy(*keys, slot("ts_us", idle_us).alias("slot")).agg(
+    slots = df.groupBy(*keys, slot("ts_us", idle_us).alias("_slot")).agg(
         F.min("ts_us").alias("first"),
         F.max("ts_us").alias("last"),
         F.count(F.lit(1)).alias("packets"),
         F.sum(F.col("packet_size").cast("bigint")).alias("bytes"),
     )
-    ordered = W.partitionBy(*keys).orderBy("slot")
+    ordered = W.partitionBy(*keys).orderBy("_slot")
     gap = F.col("first") - F.lag("last").over(ordered)
     opened = F.when(F.coalesce(gap > idle_us, F.lit(True)), F.col("first"))
     return slots.withColumn("opened", opened).withColumn(
@@ -164,5 +164,5 @@ def source_sessions(df: DataFrame, idle_secs: int = 9) -> DataFrame:
 def flow_first_seen(df: DataFrame, idle_secs: int = 9) -> DataFrame:
     """Add `first_seen`: the start of the flow's current active period."""
     idle_us = idle_secs * SECOND_US
-    starts = _activity(df, FLOW_KEY, idle_us).select(*FLOW_KEY, "slot", F.col("session_start").alias("first_seen"))
-    return df.withColumn("slot", slot("ts_us", idle_us)).join(starts, [*FLOW_KEY, "slot"]).drop("slot")
+    starts = _activity(df, FLOW_KEY, idle_us).select(*FLOW_KEY, "_slot", F.col("session_start").alias("first_seen"))
+    return df.withColumn("_slot", slot("ts_us", idle_us)).join(starts, [*FLOW_KEY, "_slot"]).drop("_slot")

@@ -22,16 +22,16 @@ def slot(column: str, width: int) -> Column:
 
 
 def time_blocks(df: DataFrame, block_us: int, halo_us: int, ts: str = "ts_us") -> DataFrame:
-    """Add `block` and `owned`; rows in the last `halo_us` of a block also go to the next one.
+    """Add `_block` and `_owned`; rows in the last `halo_us` of a block also go to the next one.
 
-    Only rows with `owned` belong to the block's result; the copies are its history.
+    Only rows with `_owned` belong to the block's result; the copies are its history.
     """
     if block_us < halo_us:
         raise ValueError("a block must be at least as long as the halo")
     home = slot(ts, block_us)
     late = F.col(ts) - home * block_us >= block_us - halo_us
     homes = F.when(late, F.array(home, home + 1)).otherwise(F.array(home))
-    return df.withColumn("block", F.explode(homes)).withColumn("owned", F.col("block") == home)
+    return df.withColumn("_block", F.explode(homes)).withColumn("_owned", F.col("_block") == home)
 
 
 def positions(
@@ -116,5 +116,5 @@ def content_key(columns: list[str], seed: int) -> Column:
 
 
 def key_block(key: Column) -> Column:
-    """Coarse prefix of a `content_key`: at most 16^5 blocks."""
-    return F.substring(key, 1, 5)
+    """Coarse prefix of a `content_key`: at most 16^4 evenly filled blocks."""
+    return F.substring(key, 1, 4)

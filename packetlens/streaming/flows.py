@@ -114,7 +114,7 @@ def stream_flow_stats(
     rows = time_blocks(
         stream.withWatermark("ts", f"{watermark_secs} seconds").withColumn("syn", is_syn().cast("int")),
         block_us, window_secs * SECOND_US,
-    )
+    ).withColumnsRenamed({"_block": "block", "_owned": "owned"})
     stats = rows.groupBy("src_ip", "block").transformWithStateInPandas(
         statefulProcessor=_Sliding(window_secs * SECOND_US, watermark_secs * SECOND_US, block_us),
         outputStructType=_STATS,
