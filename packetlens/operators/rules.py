@@ -24,6 +24,7 @@ def rules(
     Order: port scan, SYN flood, volumetric flood and, when a `baseline` column is named, traffic
     spike over that baseline.
     """
+    # The rule names and the wording of their reasons.
     t = thresholds
     ports, rate = F.col("src_unique_dst_ports"), F.col("packet_rate")
     scan = _text(

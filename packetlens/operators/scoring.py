@@ -23,6 +23,7 @@ def _usable() -> Column:
 
 def score_heuristic(df: DataFrame) -> DataFrame:
     """The scorer used when no model is supplied. Unusable features score (0, Normal)."""
+    # The limits, scores and labels of the heuristic.
     ports, syns, rate = F.col("unique_ports"), F.col("syn_count"), F.col("packet_rate")
     severe = (ports > 20) | (syns > 40) | (rate > 400)
     odd = (rate > 100) | (syns > 15)
@@ -36,6 +37,7 @@ def score_heuristic(df: DataFrame) -> DataFrame:
 
 def combine_scores(df: DataFrame) -> DataFrame:
     """ml_score, ml_label from `raw_score` (isolation, negative), `is_anomaly` and `class_label`."""
+    # The score floors of an anomaly (.5) and of a named class (.6), four decimals.
     label = F.coalesce(F.col("class_label"), F.lit("Normal"))
     isolated = F.coalesce(F.col("is_anomaly"), F.lit(False))
     base = F.when(isolated, F.least(F.lit(1.0), F.greatest(F.lit(0.5), F.col("raw_score") * -2.0))).otherwise(0.0)

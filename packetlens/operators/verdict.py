@@ -27,6 +27,7 @@ def decide(df: DataFrame) -> DataFrame:
 
     A rule beats the models; a named class beats a bare anomaly score.
     """
+    # The wording of verdict reasons and the type of an unnamed anomaly.
     ruled = F.col("rule_type").isNotNull()
     score, label = score_text("ml_score"), F.col("ml_label")
     context = F.concat(
@@ -64,6 +65,7 @@ DETECTION_COLUMNS = [
 
 def prediction_class(severity="severity", attack_type="attack_type") -> Column:
     """Verdict -> the class written to the prediction log."""
+    # The classes, and the words (case matters) that decide them.
     kind = F.col(attack_type)
     return (
         F.when(F.col(severity) == NORMAL, "NORMAL")

@@ -93,7 +93,10 @@ def limit_normals(
 ) -> DataFrame:
     """Keep a NORMAL row only if `gap_ms` passed since its source's last kept one; keep all others.
 
-    Alerts bypass the fold. `order` settles which of several rows of one source and time is kept.
+    Alerts bypass the fold, and a source's NORMAL rows stay below `dos_rate` per second (above it
+    the volumetric rule makes them alerts), so a flood never reaches the fold's task; the rows
+    stream through it with one time as state. `order` settles which of several rows of one source
+    and time is kept.
     """
     gap_us = gap_ms * 1000
 
