@@ -69,3 +69,20 @@ def encoded(batch: pa.RecordBatch, text: str = "text") -> list[bytes]:
 
 def record(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+class Recent(dict):
+    """Computed values by key. At `keep` keys the table becomes the old one, from which keys in use come back."""
+
+    def __init__(self, compute, keep: int):
+        self.compute, self.keep, self.old = compute, keep, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(self) >= self.keep:
+            self.old = self.copy()
+            self.clear()
+        self[key] = value
+        return value

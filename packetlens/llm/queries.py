@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetlens.llm import exact, packing, secrets, simhash, toxicity
+from packetlens.llm import bpe, exact, language, lines, packing, quality, secrets, simhash, toxicity
 from packetlens.llm.common import documents
 
 QUERIES = {}
@@ -23,6 +23,13 @@ def query(sql: str | None = None):
     return register
 
 
+@query(quality.ORACLE)
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.quality(documents(spark, sf_dir))
+    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return found.select(*base, F.round("quality", 4).alias("quality"))
+
+
 @query()
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -50,6 +57,40 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query(r"""
+  WITH d AS (SELECT doc_id, text, source, string_split(text, chr(10)) AS lines FROM documents),
+  e AS (SELECT doc_id, source, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM d),
+  t AS (SELECT *, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM e),
+  s AS (SELECT bare FROM t WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT source) >= 8),
+  k AS (
+    SELECT doc_id, count(*) AS n_removed FROM t WHERE bare IN (SELECT bare FROM s) GROUP BY doc_id
+  ), j AS (
+    SELECT doc_id, string_agg(line, chr(10) ORDER BY place) AS text FROM t WHERE bare NOT IN (SELECT bare FROM s) GROUP BY doc_id
+  )
+  SELECT d.doc_id, coalesce(len(d.lines), 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+    CASE WHEN d.text IS NOT NULL THEN coalesce(j.text, '') END AS text
+  FROM d LEFT JOIN k USING (doc_id) LEFT JOIN j USING (doc_id)""")
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_boilerplate(documents(spark, sf_dir))
+
+
+@query()
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trips(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+@query()
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages and documents together; a document's source is its host, and its own label is no evidence."""
+    docs = documents(spark, sf_dir)
+    pages = language.page_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    none = F.lit(None).cast("string").alias("declared")
+    rows = docs.select("doc_id", F.lit(None).cast("bigint").alias("page_id"), "text", none, F.col("source").alias("host"))
+    rows = rows.union(pages.select(F.lit(None).cast("bigint"), "page_id", "text", "declared", "host"))
+    found = language.identify(rows, docs, ["doc_id", "page_id"])
+    return found.select("*", (F.col("posterior") >= 0.5).alias("kept"))
+
+
 @query(r"""
   WITH t AS (
     SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h FROM documents
