@@ -16,6 +16,7 @@ keeps to the cost; a count capacity below one raises an error.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetlens.llm.common import encoded, keyed_texts, record, slices, stored
+from packetlens.llm.common import Recent, encoded, keyed_texts, record, slices, stored
 
 
 @dataclass(frozen=True)
@@ -42,29 +43,45 @@ class Bins:
     rule: str = "norm"
 
 
+#: Words of these characters alone need no Unicode normalisation; any other goes to the tokenizer as it is.
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+#: The tokenizer's own split of a lower-cased word, for those characters (a fixed value).
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if printable, else the next from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordIds:
-    """Ids of a tokenizer that treats the words between white space apart, kept for words already met."""
+    """Ids of a tokenizer that treats the words between white space apart, kept for words and parts already met."""
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.keep, self.known = keep, {}
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.words, self.parts = Recent(self._word, keep), Recent(self._part, keep)
+
+    def _part(self, part: str) -> bytes:
+        if not part.isascii():
+            part = "".join(map(self.letters.__getitem__, part.encode()))
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(part)])
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if PLAIN.fullmatch(text):
+            return b"".join(map(self.parts.__getitem__, PARTS.findall(text.lower())))
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each UTF-8 text."""
-        words = [t.split() for t in texts]
-        known = self.known
-        new = list({w for found in words for w in found}.difference(known))
-        if len(known) + len(new) > self.keep:
-            known.clear()
-            new = list({w for found in words for w in found})
-        for part in range(0, len(new), 20_000):
-            some = new[part : part + 20_000]
-            for word, code in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                known[word] = np.array(code.ids, dtype="<u4").tobytes()
-        return [b"".join(map(known.__getitem__, found)) for found in words]
+        of = self.words.__getitem__
+        return [b"".join(map(of, text.split())) for text in texts]
 
 
 TOKENIZERS: dict[str, WordIds] = {}

@@ -64,3 +64,13 @@ def test_best_fit_closes_and_reopens():
 def test_a_count_below_one_is_an_error():
     with pytest.raises(ValueError):
         packing.best_fit(np.array([5]), packing.Bins(documents=0))
+
+
+def test_word_ids_equal_the_tokenizer(docs):
+    import random
+
+    rnd, tokenizer, own = random.Random(1), Tokenizer.from_file(PATH), packing.WordIds(PATH, keep=50)
+    alphabet = "abZÉßµªº²½Ⅷ٣漢é\u0301ſK'´!_-#.0 9\t\x1c\x85\xa0\u2003\U0001f600srtdvelm"
+    texts = ["".join(rnd.choices(alphabet, k=rnd.randint(0, 40))) for _ in range(3000)] + [r.text or "" for r in docs[1]]
+    want = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert own([t.encode() for t in texts]) == want
