@@ -155,10 +155,11 @@ def active_flows_per_second(spark, sf):
 
 
 _TICKS = """SELECT sec, packets::DOUBLE AS packets_per_sec, bytes::DOUBLE AS bytes_per_sec,
-    CAST(sum(packets) OVER (ORDER BY sec) AS BIGINT) AS total_packets, greatest(0, packets - 1000) AS dropped_packets,
+    CAST(sum(packets) OVER (ORDER BY sec) AS BIGINT) AS total_packets, CAST(sum(greatest(0, coalesce(kept, 0) - 1000)) OVER (ORDER BY sec) AS BIGINT) AS dropped_packets,
     coalesce(alerts_suspicious, 0) AS alerts_suspicious, coalesce(alerts_attack, 0) AS alerts_attack,
     coalesce(total_alerts, 0) AS total_alerts, coalesce(active_flows, 0) AS active_flows, latency_avg_ns, latency_p99_ns
-  FROM thru LEFT JOIN a USING (sec) LEFT JOIN act USING (sec) LEFT JOIN lat USING (sec)"""
+  FROM thru LEFT JOIN a USING (sec) LEFT JOIN act USING (sec) LEFT JOIN lat USING (sec)
+    LEFT JOIN (SELECT ts_us // 1000000 AS sec, count(*) AS kept FROM packets WHERE protocol IN (1, 6, 17) GROUP BY 1) k USING (sec)"""
 
 
 def _system(spark, sf):

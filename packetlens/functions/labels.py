@@ -48,5 +48,7 @@ def bin_port(c) -> Column:
 
 
 def clip(c, bounds: tuple[float, float]) -> Column:
+    """The value within its bounds; null and NaN stay what they are."""
     lo, hi = bounds
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), _col(c)))
+    c = _col(c).cast("double")
+    return F.when(c.isNull() | F.isnan(c), c).otherwise(F.greatest(F.lit(lo), F.least(F.lit(hi), c)))

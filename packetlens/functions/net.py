@@ -34,9 +34,10 @@ def ip_to_string(c) -> Column:
 
 
 def ip_to_long(c) -> Column:
-    """Dotted IPv4 text -> number; null when the text is not four parts."""
+    """Dotted IPv4 text -> number; null unless the text is four numbers from 0 to 255."""
     parts = F.split(_col(c), r"\.")
-    octets = [F.get(parts, F.lit(i)).try_cast("bigint") for i in range(4)]
+    numbers = [F.get(parts, F.lit(i)).try_cast("bigint") for i in range(4)]
+    octets = [F.when(n.between(0, 255), n) for n in numbers]
     value = octets[0] * 16777216 + octets[1] * 65536 + octets[2] * 256 + octets[3]
     return F.when(F.size(parts) == 4, value)
 

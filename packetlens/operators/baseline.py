@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .sequential import fold_in_order, fold_split
-from .spread import positions
+from .spread import join_keys, positions
 
 # Fixed values: (jump ratio above which it applies, weight of the new value).
 JUMP_WEIGHTS = ((5.0, 0.7), (2.0, 0.5))
@@ -16,8 +16,10 @@ STEADY_WEIGHT = 0.3
 NEVER = 1e18  # threshold while there are too few samples
 
 
-def next_baseline(b: float, x: float) -> float:
-    """The baseline after a normal rate `x`; the bigger the jump, the faster it follows."""
+def next_baseline(b: float, x: float | None) -> float:
+    """The baseline after a normal rate `x`; the bigger the jump, the faster it follows. A null rate leaves it."""
+    if x is None:
+        return b
     if b == 0.0:
         return x
     ratio = x / b
@@ -31,7 +33,8 @@ def baseline_ewma(
     """Add `baseline` (before the row) and `baseline_after` per key, in order.
 
     With `block`, a coarse prefix of the order, keys of more than `chunk_rows` rows are folded in
-    parallel chunks.
+    parallel chunks. Without keys there is one baseline for all rows, which needs `block`. A null
+    value leaves the baseline as it is; a null key is a key like any other.
     """
     if block is not None:
         return fold_split(df, keys, block, order, [value], "baseline", next_baseline, chunk_rows)
@@ -87,7 +90,7 @@ def adaptive_threshold(
     )
     near_end = (F.col("_pos") - 1) % chunk_rows >= chunk_rows - window
     chunks = F.when(near_end, F.array("_home", F.col("_home") + 1)).otherwise(F.array("_home"))
-    rows = placed.withColumn("_chunk", F.explode(chunks)).join(extremes, [*keys, "_chunk"])
+    rows = join_keys(placed.withColumn("_chunk", F.explode(chunks)), extremes, [*keys, "_chunk"])
     in_order = W.partitionBy(*keys, "_chunk").orderBy("_pos")
     past = in_order.rowsBetween(-window, -1)
     own = F.when(F.col("_home") == F.col("_chunk"), F.col(value))

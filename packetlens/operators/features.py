@@ -15,8 +15,10 @@ BUCKET_STEPS = {
     "avg_packet_size": 50.0,
     "connection_count": 5.0,
 }
-# Factor of each derived feature in a bucket key.
-BUCKET_FACTORS = {"syn_ratio": 20.0, "port_scan_rate": 5.0, "bytes_per_sec": 0.001}
+# Factor or divisor of each derived feature in a bucket key.
+BUCKET_FACTORS = {"syn_ratio": 20.0, "port_scan_rate": 5.0}
+BUCKET_DIVISORS = {"bytes_per_sec": 1000.0}
+NOT_A_NUMBER = -1  # bucket value of NaN; others are 0 or more
 FLAT = 1e-9  # ranges and deviations below this scale to 0
 
 
@@ -36,17 +38,20 @@ def features(stats: DataFrame, window_secs: int = 3) -> DataFrame:
 
 
 def feature_bucket(df: DataFrame, name: str = "bucket") -> DataFrame:
-    """Add a struct of eight longs, equal for near-identical feature rows."""
+    """Add a struct of eight longs, equal for near-identical feature rows. Null and NaN have values of their own."""
 
     def component(value: Column) -> Column:
-        return F.floor(F.greatest(F.lit(0.0), value * 10.0)).cast("bigint")
+        whole = F.floor(F.greatest(F.lit(0.0), value * 10.0)).cast("bigint")
+        return F.when(value.isNull(), F.lit(None).cast("bigint")).when(F.isnan(value), NOT_A_NUMBER).otherwise(whole)
+
+    def floor(value: Column) -> Column:
+        return F.when(F.isnan(value), value).otherwise(F.floor(value).cast("double"))
 
     parts = [
-        component(F.floor(F.col(c) / step + 0.5) * step).alias(c) for c, step in BUCKET_STEPS.items()
+        component(floor(F.col(c) / step + 0.5) * step).alias(c) for c, step in BUCKET_STEPS.items()
     ]
-    for c, factor in BUCKET_FACTORS.items():
-        scaled = F.col(c) / (1 / factor) if factor < 1 else F.col(c) * factor
-        parts.append(component(F.floor(scaled).cast("double")).alias(c))
+    parts += [component(floor(F.col(c) * factor)).alias(c) for c, factor in BUCKET_FACTORS.items()]
+    parts += [component(floor(F.col(c) / divisor)).alias(c) for c, divisor in BUCKET_DIVISORS.items()]
     return df.withColumn(name, F.struct(*parts))
 
 
@@ -81,7 +86,7 @@ def _scaled(value: Column, stat: Column, mode: str) -> Column:
     if mode == "minmax":
         width = stat["max"] - stat["min"]
         unit = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - stat["min"]) / width))
-        return F.when(width < FLAT, 0.0).otherwise(unit)
+        return F.when(value.isNull() | F.isnan(value), value).when(width < FLAT, 0.0).otherwise(unit)
     if mode == "zscore":
         flat = stat["stddev"].isNull() | (stat["stddev"] < FLAT)
         return F.when(flat, 0.0).otherwise((value - stat["mean"]) / stat["stddev"])

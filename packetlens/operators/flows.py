@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.net import is_syn
 from ..schemas import FLOW_KEY, SECOND_US
-from .spread import slot, time_blocks
+from .spread import join_keys, slot, time_blocks
 
 _WINDOW_COLUMNS = ["src_total_packets", "syn_count", "src_unique_dst_ports", "packet_count", "byte_count"]
 
@@ -165,4 +165,4 @@ def flow_first_seen(df: DataFrame, idle_secs: int = 9) -> DataFrame:
     """Add `first_seen`: the start of the flow's current active period."""
     idle_us = idle_secs * SECOND_US
     starts = _activity(df, FLOW_KEY, idle_us).select(*FLOW_KEY, "_slot", F.col("session_start").alias("first_seen"))
-    return df.withColumn("_slot", slot("ts_us", idle_us)).join(starts, [*FLOW_KEY, "_slot"]).drop("_slot")
+    return join_keys(df.withColumn("_slot", slot("ts_us", idle_us)), starts, [*FLOW_KEY, "_slot"]).drop("_slot")

@@ -21,10 +21,10 @@ def _so_far(column: str) -> Column:
     return F.sum(column).over(W.orderBy("sec").rowsBetween(W.unboundedPreceding, W.currentRow))
 
 
-def throughput(packets: DataFrame) -> DataFrame:
-    """Packets and bytes per second."""
+def throughput(packets: DataFrame, *more: Column) -> DataFrame:
+    """Packets and bytes per second, and further aggregates."""
     return packets.groupBy(second().alias("sec")).agg(
-        F.count(F.lit(1)).alias("packets"), F.sum(F.col("packet_size").cast("bigint")).alias("bytes")
+        F.count(F.lit(1)).alias("packets"), F.sum(F.col("packet_size").cast("bigint")).alias("bytes"), *more
     )
 
 

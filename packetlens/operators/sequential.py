@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import shared_dir
-from .spread import positions
+from .spread import join_keys, positions
 
 
 def fold_in_order(
@@ -31,6 +31,8 @@ def fold_in_order(
     is None before the first row of a key.
     """
     # Columns that only settle the order stay behind: they need not travel to Python.
+    if not keys:
+        raise ValueError("a fold over all rows would be one task; split it with fold_split")
     ordered = df.repartition(*keys).sortWithinPartitions(*keys, *order).select(*(carry or df.columns))
     schema = T.StructType([*ordered.schema.fields, *outputs.fields])
     arrow_types = [_ARROW[type(f.dataType)] for f in outputs.fields]
@@ -82,7 +84,7 @@ def fold_split(
     part = [*keys, "_chunk"]
     placed = positions(df, keys, block, order, "_pos").withColumn(
         "_chunk", F.floor((F.col("_pos") - 1) / chunk_rows).cast("bigint")
-    ).drop("_pos")
+    ).drop("_pos").checkpoint()  # every pass reads it
     before_after = T.StructType([
         T.StructField(output, T.DoubleType()), T.StructField(output + "_after", T.DoubleType())
     ])
@@ -93,7 +95,7 @@ def fold_split(
         return after, (state, after)
 
     def folded(starts: DataFrame) -> DataFrame:
-        rows = placed.join(starts.select(*part, "_start"), part)
+        rows = join_keys(placed, starts.select(*part, "_start"), part)
         return fold_in_order(rows, part, order, ["_start", *inputs], before_after, started)
 
     def ends(starts: DataFrame) -> DataFrame:
@@ -102,17 +104,17 @@ def fold_split(
 
     in_key = W.partitionBy(*keys).orderBy("_chunk")
     known = placed.select(*part).distinct().withColumn("_start", F.lit(0.0))
-    done = known.join(ends(known), part).checkpoint()
+    done = join_keys(known, ends(known), part).checkpoint()
     while True:
         due = F.coalesce(F.lag("_end").over(in_key), F.lit(0.0))
         linked = done.withColumn("_due", due)
         changed = linked.filter(F.col("_due") != F.col("_start")).select(*part, F.col("_due").alias("_start"))
         if changed.isEmpty():
             break
-        again = changed.join(ends(changed), part).select(
+        again = join_keys(changed, ends(changed), part).select(
             *part, F.col("_start").alias("_start2"), F.col("_end").alias("_end2")
         )
-        done = done.join(again, part, "left").select(
+        done = join_keys(done, again, part, "left").select(
             *part,
             F.coalesce("_start2", "_start").alias("_start"),
             F.when(F.col("_start2").isNotNull(), F.col("_end2")).otherwise(F.col("_end")).alias("_end"),

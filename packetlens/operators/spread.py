@@ -34,6 +34,13 @@ def time_blocks(df: DataFrame, block_us: int, halo_us: int, ts: str = "ts_us") -
     return df.withColumn("_block", F.explode(homes)).withColumn("_owned", F.col("_block") == home)
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on `keys`, null equal to null; the keys are those of `left`. `right` has no other column of `left`."""
+    other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(other, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def positions(
     df: DataFrame,
     keys: list[str],
@@ -48,7 +55,8 @@ def positions(
 
     `block` must rise with `order` (a coarse prefix of it). With `upto`, blocks that start beyond
     that rank are dropped before the sort. `total` adds the row count of the key. A row that
-    stands for `copies` equal rows takes as many ranks and gets the first of them.
+    stands for `copies` equal rows takes as many ranks and gets the first of them. A null key is a
+    key like any other.
     """
     weight = F.col(copies) if copies else F.lit(1).cast("bigint")
     sized = df.groupBy(*keys, block.alias("_block")).agg(F.sum(weight).alias("_n"))
@@ -63,12 +71,8 @@ def positions(
         rank = F.coalesce(F.sum(copies).over(inner.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + 1
     else:
         rank = F.row_number().over(inner)
-    return (
-        df.withColumn("_block", block)
-        .join(offsets.drop("_n"), [*keys, "_block"])
-        .withColumn(name, F.col("_before") + rank)
-        .drop("_block", "_before")
-    )
+    placed = join_keys(df.withColumn("_block", block), offsets.drop("_n"), [*keys, "_block"])
+    return placed.withColumn(name, F.col("_before") + rank).drop("_block", "_before")
 
 
 def take_first(df: DataFrame, n, block: Column, order: list, copies: str | None = None) -> DataFrame:

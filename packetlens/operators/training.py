@@ -67,8 +67,8 @@ def cap_rows(df: DataFrame, n=NORMAL_CAP, key: list[str] | None = None, seed: in
 
 
 def rebalance(df: DataFrame, ratio: int = 3, key: list[str] | None = None, seed: int = 42) -> DataFrame:
-    """All attack rows, and normal rows up to `ratio` times as many."""
-    attacks = df.filter(F.col("label") != "Normal")
+    """All attack rows, and normal rows up to `ratio` times as many. Rows without a label are not normal and stay."""
+    attacks = df.filter(~F.col("label").eqNullSafe("Normal"))
     room = attacks.agg((F.count(F.lit(1)) * ratio).alias("n")).scalar()
     normals = cap_rows(df.filter(F.col("label") == "Normal"), room, key, seed)
     return normals.unionByName(attacks)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.net import PROTOCOLS
 from ..operators.monitor import active_flows, alert_counts, latency_ticks, running_totals, throughput
 from ..operators.ratecap import DEFAULT_CAP
 
@@ -14,11 +16,13 @@ def system_ticks(
 ) -> DataFrame:
     """Throughput, totals, drops, alerts, active flows and latency of every second with packets.
 
-    Each part is reduced to one row per second before the joins.
+    Drops are a running count, of packets that pass the protocol filter and then exceed `cap` in their second. Each part is reduced to one row per second before the joins.
     """
-    ticks = running_totals(throughput(packets)).withColumn(
-        "dropped_packets", F.greatest(F.lit(0).cast("bigint"), F.col("packets") - cap)
-    )
+    wanted = F.col("protocol").isin(*PROTOCOLS)
+    ticks = running_totals(throughput(packets, F.count_if(wanted).alias("wanted")))
+    over = F.greatest(F.lit(0).cast("bigint"), F.col("wanted") - cap)
+    so_far = W.orderBy("sec").rowsBetween(W.unboundedPreceding, W.currentRow)  # one row per second
+    ticks = ticks.withColumn("dropped_packets", F.sum(over).over(so_far))
     counts = alert_counts(detections).select("sec", "alerts_suspicious", "alerts_attack", "total_alerts")
     out = ticks.join(counts, "sec", "left").join(active_flows(packets, idle_secs), "sec", "left")
     columns = [
