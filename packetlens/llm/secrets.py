@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from packetlens.llm.common import keyed_texts, record, slices, stored, strings
+from packetlens.llm.common import record, slices, stored, strings
 
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -137,7 +137,7 @@ def _bin(p: float) -> int:
     return -min(int(-math.log(max(p, 1e-280)) * STEPS), 640 * STEPS)
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], carry: list[str]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("kind", pa.int32())]))
     judged = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("cell", pa.string()), ("p_bin", pa.int32())]))
     schema = pa.schema([("doc_id", pa.int64()), ("base", span), ("judged", judged), ("base_sha256", pa.string())])
@@ -148,12 +148,19 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base.append([{"start": a, "stop": b, "kind": k} for a, b, k in found])
             more.append([{"start": a, "stop": b, "cell": c, "p_bin": _bin(p)} for a, b, c, p in candidates(text, found)])
             digests.append(hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in found).encode()).hexdigest())
-        yield record(schema, [batch.column("doc_id"), base, more, digests])
+        found = record(schema, [batch.column("doc_id"), base, more, digests])
+        yield pa.RecordBatch.from_arrays([*found.columns, *[batch.column(f"_{c}") for c in carry]], names=[*schema.names, *[f"_{c}" for c in carry]])
 
 
-def scan_secrets(docs: DataFrame, q: float = 0.01) -> DataFrame:
-    """(doc_id, base, spans, base_sha256), one row per row of `docs`; spans have start, stop and the kind's number in KINDS."""
-    scanned = stored(keyed_texts(docs).mapInArrow(_scan, f"doc_id long, base {SPANS}, judged {JUDGED}, base_sha256 string"))
+def scan_secrets(docs: DataFrame, q: float = 0.01, carry: list[str] = ()) -> DataFrame:
+    """(doc_id, base, spans, base_sha256), one row per row of `docs`; spans have start, stop and the kind's number in KINDS.
+
+    Columns of `docs` named in `carry` are added, each under its name after an underscore.
+    """
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"_{c}") for c in carry])
+    more = "".join(f", _{c} {docs.schema[c].dataType.simpleString()}" for c in carry)
+    names = list(carry)
+    scanned = stored(texts.mapInArrow(lambda batches: _scan(batches, names), f"doc_id long, base {SPANS}, judged {JUDGED}, base_sha256 string{more}"))
     cells = scanned.select(F.inline("judged")).groupBy("cell", "p_bin").agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum("n").over(W.partitionBy("cell").orderBy("p_bin"))
     every = F.sum("n").over(W.partitionBy("cell"))
@@ -168,7 +175,7 @@ def scan_secrets(docs: DataFrame, q: float = 0.01) -> DataFrame:
         F.array_sort(F.transform(F.concat("base", named), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop")))),
         lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind")),
     )
-    return table.select("doc_id", "base", spans.alias("spans"), "base_sha256")
+    return table.select("doc_id", "base", spans.alias("spans"), "base_sha256", *[f"_{c}" for c in carry])
 
 
 def span_text(spans):
