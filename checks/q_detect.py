@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from packetlens.operators.baseline import adaptive_threshold, baseline_ewma, final_baseline
 from packetlens.operators.features import (
-    apply_scaler, feature_bucket, fit_scaler, fit_transform, override_range, scaler_stats,
+    apply_scaler, feature_bucket, fit_transform, override_range, scaler_stats,
 )
 from packetlens.operators.rules import rules, spikes
 from packetlens.operators.scoring import bucket_reuse, score_bucketed, score_heuristic
 from packetlens.operators.verdict import DETECTION_COLUMNS, labelled_predictions, prediction_class
-from packetlens.plans.detection import detect, detect_adaptive, limit_normals, packet_features
+from packetlens.plans.detection import detect, detect_adaptive, fit_first, limit_normals, packet_features
 from packetlens.schemas import DERIVED_FEATURES, MODEL_FEATURES, RuleThresholds
 
 from . import sql
@@ -112,29 +112,30 @@ def _rounded(df):
 @check(query(f"SELECT {_FB}, {_scaled_sql('minmax', 'n >= 200')}, {_DERIVED} FROM feats f, fit", "feats", **_fit(200)))
 def scaled_minmax(spark, sf):
     rows = _features(spark, sf)
-    return _rounded(apply_scaler(rows, fit_scaler(rows, _ORDER), "minmax"))
+    return _rounded(apply_scaler(rows, fit_first(packets(spark, sf), _ORDER), "minmax"))
 
 
 @check(query(f"SELECT {_FB}, {_scaled_sql('zscore', 'n >= 200')}, {_DERIVED} FROM feats f, fit", "feats", **_fit(200)))
 def scaled_zscore(spark, sf):
     rows = _features(spark, sf)
-    return _rounded(apply_scaler(rows, fit_scaler(rows, _ORDER), "zscore"))
+    return _rounded(apply_scaler(rows, fit_first(packets(spark, sf), _ORDER), "zscore"))
 
 
 @check(query(
     f"SELECT {_FB}, {_scaled_sql('minmax', f'n >= 200 AND {_ROW} >= last')}, {_DERIVED} FROM feats f, fit", "feats", **_fit(200)
 ))
 def scaled_after_warmup(spark, sf):
-    return _rounded(fit_transform(_features(spark, sf), _ORDER))
+    return _rounded(fit_transform(_features(spark, sf), _ORDER, stats=fit_first(packets(spark, sf), _ORDER)))
 
 
-_LATER = "ts_us >= 1704067220000000"
+_LATER_US = 1704067220000000
+_LATER = f"ts_us >= {_LATER_US}"
 
 
 @check(query(f"SELECT {_FB}, {_scaled_sql('zscore', 'n >= 300')}, {_DERIVED} FROM feats f, fit", "feats", **_fit(300, _LATER)))
 def scaled_recalibrated(spark, sf):
     rows = _features(spark, sf)
-    return _rounded(apply_scaler(rows, fit_scaler(rows.filter(_LATER), _ORDER, 300), "zscore"))
+    return _rounded(apply_scaler(rows, fit_first(packets(spark, sf), _ORDER, 300, _LATER_US), "zscore"))
 
 
 def _stat_rows(lo: str = "{c}_lo", hi: str = "{c}_hi") -> str:
@@ -151,7 +152,7 @@ def _round_stats(df):
 
 @check(query(_stat_rows(), "feats", **_fit(200)))
 def scaler_statistics(spark, sf):
-    return _round_stats(scaler_stats(fit_scaler(_features(spark, sf), _ORDER)))
+    return _round_stats(scaler_stats(fit_first(packets(spark, sf), _ORDER)))
 
 
 @check(query(
@@ -159,7 +160,7 @@ def scaler_statistics(spark, sf):
     "feats", **_fit(200),
 ))
 def scaler_range_override(spark, sf):
-    fitted = fit_scaler(_features(spark, sf), _ORDER)
+    fitted = fit_first(packets(spark, sf), _ORDER)
     return _round_stats(scaler_stats(override_range(fitted, "packet_rate", 0, 1000)))
 
 

@@ -110,9 +110,14 @@ def apply_scaler(df: DataFrame, stats: DataFrame, mode: str = "minmax") -> DataF
     })
 
 
-def fit_transform(df: DataFrame, order: list[str], n: int = 200, mode: str = "minmax") -> DataFrame:
-    """Rows before the n-th by `order` stay raw (warm-up); the n-th and later ones are scaled."""
-    stats = fit_scaler(df, order, n)
+def fit_transform(
+    df: DataFrame, order: list[str], n: int = 200, mode: str = "minmax", stats: DataFrame | None = None
+) -> DataFrame:
+    """Rows before the n-th by `order` stay raw (warm-up); the n-th and later ones are scaled.
+
+    `stats` are statistics fitted before over the same first rows.
+    """
+    stats = fit_scaler(df, order, n) if stats is None else stats
     row = stats.select(F.struct(*stats.columns)).scalar()
     ready = (row["rows_fitted"] >= row["fit_size"]) & (F.struct(*order) >= row["last"])
     return df.withColumns({

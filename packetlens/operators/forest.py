@@ -22,6 +22,7 @@ from .training import cap_rows
 
 NODE_SCHEMA = "tree int, node int, feature int, split double, left int, right int, depth int, size int"
 EULER = 0.5772156649015329
+MOST_NODES = 10_000_000  # of a model that a task holds
 
 
 @dataclass(frozen=True)
@@ -78,16 +79,11 @@ def _grow(points: np.ndarray, tree: int, seed: int) -> pd.DataFrame:
 def tree_samples(df: DataFrame, settings: IsolationSettings, key: list[str], columns: list[str]) -> DataFrame:
     """`sample` rows per tree, as rows with a `tree` column.
 
-    With enough data the trees * sample rows of lowest content key are dealt out. Otherwise the
-    data itself is smaller than that bound, and every tree takes its own lowest-keyed rows of it.
+    A uniform pool of at most trees * sample rows is taken from all rows by content key; each tree then takes the
+    rows of the pool with its own lowest keys. Trees are drawn alike at every size of the data.
     """
-    need = settings.trees * settings.sample
-    if df.count() >= need:
-        # At most trees * sample rows are left here, so one task can deal them.
-        in_order = W.orderBy(content_key(key, settings.seed), *key)
-        dealt = cap_rows(df, need, None if key == columns else key, settings.seed).withColumn("_n", F.row_number().over(in_order))
-        return dealt.withColumn("tree", ((F.col("_n") - 1) % settings.trees).cast("int")).drop("_n")
-    every = df.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(settings.trees - 1))))
+    pool = cap_rows(df, settings.trees * settings.sample, None if key == columns else key, settings.seed)
+    every = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(settings.trees - 1))))
     per_tree = every.withColumn("_key", content_key([*key, "tree"], settings.seed))
     order = W.partitionBy("tree").orderBy("_key", *key)
     return per_tree.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= settings.sample).drop("_key", "_n")
@@ -132,8 +128,11 @@ def _quantile(scores: DataFrame, q: float) -> float:
 def raw_score(model: IsolationModel) -> Column:
     """Negative anomaly score of the feature columns: near -1 odd, near 0 ordinary.
 
-    The node table is bounded by the settings (trees * 2 * sample rows), so each task may hold it.
+    The node table is bounded by the settings (trees * 2 * sample rows), so each task may hold it; one of more
+    than `MOST_NODES` rows is refused before it is read.
     """
+    if model.nodes.count() > MOST_NODES:
+        raise ValueError(f"more than {MOST_NODES} nodes: use fewer trees or smaller samples")
     table = model.nodes.orderBy("tree", "node").toPandas()
     starts = np.zeros(len(table), dtype=np.int64)
     roots = np.flatnonzero(np.r_[True, table["tree"].to_numpy()[1:] != table["tree"].to_numpy()[:-1]])

@@ -148,8 +148,10 @@ def latency_ticks(df: DataFrame, last_n: int = 10_000, q: float = 0.99, detected
     )
 
 
-def active_flows(packets: DataFrame, idle_secs: int = 9) -> DataFrame:
-    """Per second: flows with a packet in the `idle_secs` seconds that end with it.
+def active_flows(packets: DataFrame, idle_secs: int = 9, changes: bool = False) -> DataFrame:
+    """Per second with packets: flows with a packet in the `idle_secs` seconds that end with it.
+
+    With `changes`, also the seconds without packets in which flows fall idle.
 
     Packets shrink to one row per (flow, second) map-side; a flow adds one when it wakes and takes
     one away after it has been idle, and the running sum over seconds is the count.
@@ -164,7 +166,8 @@ def active_flows(packets: DataFrame, idle_secs: int = 9) -> DataFrame:
         F.struct((F.col("sec") + idle_secs).alias("sec"), (-F.col("sleeps")).alias("change"), F.lit(False).alias("live")),
     )).alias("m")).select("m.*")
     steps = marks.groupBy("sec").agg(F.sum("change").alias("change"), F.max("live").alias("live"))
-    return steps.withColumn("active_flows", _so_far("change")).filter("live").select("sec", "active_flows")
+    counted = steps.withColumn("active_flows", _so_far("change"))
+    return (counted if changes else counted.filter("live")).select("sec", "active_flows")
 
 
 def rate_series(packets: DataFrame, seconds: int = 60) -> DataFrame:

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.baseline import next_baseline
-from ..operators.features import features
+from ..operators.features import features, fit_scaler
 from ..operators.flows import flow_stats
 from ..operators.rules import rules
 from ..operators.scoring import Scorer, score_heuristic
 from ..operators.sequential import fold_in_order
 from ..operators.verdict import DETECTION_COLUMNS, decide, ml_flag
-from ..schemas import FLOW_KEY, NORMAL, RuleThresholds
+from ..schemas import FLOW_KEY, NORMAL, SECOND_US, RuleThresholds
 
 NORMAL_GAP_MS = 500
 
@@ -23,6 +23,23 @@ def packet_features(packets: DataFrame, window_secs: int = 3, **how) -> DataFram
     return features(flow_stats(packets, window_secs, **how), window_secs)
 
 
+def fit_first(
+    packets: DataFrame, order: list[str], n: int = 200, since_us: int | None = None, window_secs: int = 3, **how
+) -> DataFrame:
+    """`fit_scaler` over the features of the first `n` packets (from `since_us` on).
+
+    Windows only look back, so packets after the n-th one's time, or more than a window before
+    `since_us`, are left out before any window is computed.
+    """
+    later = packets if since_us is None else packets.filter(F.col("ts_us") >= since_us)
+    last = later.select("ts_us").orderBy("ts_us").limit(n).agg(F.max("ts_us")).scalar()
+    near = packets.filter(F.col("ts_us") <= last)
+    if since_us is None:
+        return fit_scaler(packet_features(near, window_secs, **how), order, n)
+    near = near.filter(F.col("ts_us") >= since_us - window_secs * SECOND_US)
+    return fit_scaler(packet_features(near, window_secs, **how).filter(F.col("ts_us") >= since_us), order, n)
+
+
 def detect(
     packets: DataFrame,
     thresholds: RuleThresholds = RuleThresholds(),

@@ -10,27 +10,40 @@ from ..functions.net import PROTOCOLS
 from ..operators.monitor import active_flows, alert_counts, latency_ticks, running_totals, throughput
 from ..operators.ratecap import DEFAULT_CAP
 
+DAY = 86_400
+
 
 def system_ticks(
     packets: DataFrame, detections: DataFrame, latencies: DataFrame | None = None, cap: int = DEFAULT_CAP, idle_secs: int = 9
 ) -> DataFrame:
-    """Throughput, totals, drops, alerts, active flows and latency of every second with packets.
+    """Throughput, totals, drops, alerts, active flows and latency of every second from the first packet to the last.
 
-    Drops are a running count, of packets that pass the protocol filter and then exceed `cap` in their second. Each part is reduced to one row per second before the joins.
+    Drops are a running count, of packets that pass the protocol filter and then exceed `cap` in their second. A second without
+    packets has rates of 0 and repeats the counts, totals and latency so far. Each part is reduced to one row per second before
+    the joins.
     """
     wanted = F.col("protocol").isin(*PROTOCOLS)
-    ticks = running_totals(throughput(packets, F.count_if(wanted).alias("wanted")))
+    busy = running_totals(throughput(packets, F.count_if(wanted).alias("wanted")))
     over = F.greatest(F.lit(0).cast("bigint"), F.col("wanted") - cap)
     so_far = W.orderBy("sec").rowsBetween(W.unboundedPreceding, W.currentRow)  # one row per second
-    ticks = ticks.withColumn("dropped_packets", F.sum(over).over(so_far))
+    busy = busy.withColumn("dropped_packets", F.sum(over).over(so_far))
+    ends = busy.agg(F.min("sec").alias("first"), F.max("sec").alias("last"))
+    days = ends.withColumn("day", F.explode(F.sequence(F.expr(f"first div {DAY}"), F.expr(f"last div {DAY}"))))
+    every = days.withColumn("sec", F.explode(F.sequence(F.col("day") * DAY, F.col("day") * DAY + (DAY - 1)))).filter(
+        F.col("sec").between(F.col("first"), F.col("last"))
+    ).select("sec")
     counts = alert_counts(detections).select("sec", "alerts_suspicious", "alerts_attack", "total_alerts")
-    out = ticks.join(counts, "sec", "left").join(active_flows(packets, idle_secs), "sec", "left")
+    out = every.join(busy, "sec", "left").join(counts, "sec", "left").join(active_flows(packets, idle_secs, changes=True), "sec", "left")
+
+    def latest(name: str, start=None):
+        value = F.last(name, ignorenulls=True).over(so_far)
+        return (value if start is None else F.coalesce(value, F.lit(start))).alias(name)
+
     columns = [
-        "sec", F.col("packets").cast("double").alias("packets_per_sec"), F.col("bytes").cast("double").alias("bytes_per_sec"),
-        "total_packets", "dropped_packets",
-        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("alerts_suspicious", "alerts_attack", "total_alerts", "active_flows")],
+        "sec", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"{c}_per_sec") for c in ("packets", "bytes")],
+        *[latest(c, 0) for c in ("total_packets", "dropped_packets", "alerts_suspicious", "alerts_attack", "total_alerts", "active_flows")],
     ]
     if latencies is not None:
         out = out.join(latency_ticks(latencies), "sec", "left")
-        columns += ["latency_avg_ns", "latency_p99_ns"]
+        columns += [latest("latency_avg_ns"), latest("latency_p99_ns")]
     return out.select(*columns)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +17,27 @@ ACTUAL_TOKEN, PRED_TOKEN = "ACTUAL=", "PRED="
 def read_flow_csv(spark: SparkSession, path) -> DataFrame:
     """Labelled flow files (one path, a folder or a list) with plain column names.
 
-    Only the six needed of the many columns are parsed. Files of other column orders are read by
-    their own header.
+    Only the six needed of the many columns are parsed. Files are grouped by their header line, and
+    each group is read by its own; empty files have no rows.
     """
-    raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
+    layouts = _headers(spark, path).groupBy("header").agg(F.collect_list("file").alias("files")).orderBy("header")
+    parts = [_flow_rows(spark, row.files) for row in layouts.collect()]  # one row per layout
+    if not parts:
+        raise ValueError(f"no flow rows in {path}")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _headers(spark: SparkSession, path) -> DataFrame:
+    """(file, header): the first line of each file. Its split starts at byte 0, and a split's lines are read in order."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    return lines.filter("start = 0").groupBy("file").agg(F.min_by("value", "line").alias("header"))
+
+
+def _flow_rows(spark: SparkSession, files: list[str]) -> DataFrame:
+    raw = spark.read.option("header", True).option("enforceSchema", False).csv(files)
     by_name = {c.strip(): c for c in raw.columns}
     return raw.select(*[
         (F.col(f"`{by_name[header.strip()]}`") if name == "label"

@@ -8,7 +8,7 @@ from packetlens.functions.labels import LABEL_CLASSES, bin_port, normalise_label
 from packetlens.operators import evaluate as ev
 from packetlens.operators import training as tr
 from packetlens.operators.classifier import ForestSettings, score_classifier
-from packetlens.operators.forest import IsolationSettings, _quantile, mean_path, score_isolation, train_isolation_forest
+from packetlens.operators.forest import IsolationSettings, _quantile, mean_path, score_isolation, train_isolation_forest, tree_samples
 from packetlens.plans.training import model_scorer, train_models
 from packetlens.sources.sinks import (
     load_classifier, load_isolation, save_classifier, save_isolation, write_predictions, write_training,
@@ -32,6 +32,24 @@ def test_flow_files(spark, tmp_path):
     assert per_file.filter("file LIKE '%a.csv'").count() == 3
 
 
+def test_flow_files_of_other_column_orders(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(HEADER + "\n80,1,5,10.5,1,60.0,BENIGN\n")
+    names = HEADER.split(",")
+    (tmp_path / "b.csv").write_text(",".join(reversed(names)) + "\nBot,70.0,2,20.5,6,1,443\n")
+    (tmp_path / "c.csv").write_text("")
+    rows = read_flow_csv(spark, str(tmp_path))
+    assert table(rows, "label", "packet_rate") == [("BENIGN", 10.5), ("Bot", 20.5)]
+
+
+def test_trees_take_their_rows_alike_at_every_size(spark):
+    settings = IsolationSettings(trees=10, sample=10)
+    for n in (99, 100, 101):
+        rows = spark.range(n).selectExpr("id", "cast(id as double) AS v")
+        drawn = tree_samples(rows, settings, ["id"], ["v"])
+        assert [r[1] for r in table(drawn.groupBy("tree").count(), "tree", "count")] == [10] * 10
+        assert drawn.select("id").distinct().count() < 90  # trees overlap, whatever the size
+
+
 def test_every_label_and_port_edge(spark):
     labels = [*LABEL_CLASSES.items(), (" BENIGN ", "Normal"), ("Web Attack XSS", "Other"), (None, "Other")]
     df = spark.createDataFrame(labels, "raw string, want string")

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from packetlens.functions.text import fixed, health_band, human_count, to_alert_line, to_log
 from packetlens.operators import monitor as m
+from packetlens.plans.ticks import system_ticks
 
 
 def detections(spark):
@@ -57,6 +58,21 @@ def test_latency_nearest_rank(spark):
     assert (ticks.latency_avg_ns, ticks.latency_p99_ns) == (250_500.0, 299_000.0)
 
 
+def test_system_ticks_cover_idle_seconds(spark):
+    rows = [packet(ts=s * 1_000_000 + i, proto=proto) for s, i, proto in [(0, 0, 6), (0, 1, 6), (0, 2, 47), (3, 0, 6), (3, 1, 6)]]
+    p = packets(spark, rows)
+    severity = F.when(F.col("ts_us") == START, 2).otherwise(0).alias("severity")
+    seen = p.select("ts_us", severity)
+    late = p.select("ts_us", (F.col("ts_us") + 5).alias("detect_us"))
+    ticks = system_ticks(p, seen, late, cap=1, idle_secs=2)
+    start = START // 1_000_000
+    assert table(ticks, "sec", "packets_per_sec", "total_packets", "dropped_packets", "total_alerts", "active_flows", "latency_avg_ns") == [
+        (start, 3.0, 3, 1, 1, 2, 5000.0), (start + 1, 0.0, 3, 1, 1, 2, 5000.0), (start + 2, 0.0, 3, 1, 1, 0, 5000.0),
+        (start + 3, 2.0, 5, 2, 1, 1, 5000.0),
+    ]
+    assert system_ticks(p.limit(0), seen.limit(0)).count() == 0
+
+
 def test_active_flows_and_series(spark):
     rows = [packet(ts=s * 1_000_000, dport=p) for p, s in [(1, 0), (2, 1), (1, 9), (3, 20)]]
     active = m.active_flows(packets(spark, rows))
