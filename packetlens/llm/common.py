@@ -37,6 +37,12 @@ def fold_of(key: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def sampled(key: Column, most: int, of: int, seed: int = 42) -> Column:
+    """True for about `most` of `of` distinct keys, chosen by hash. The hash is wide, so that the share may be tiny."""
+    wide = 1 << 60
+    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(wide)) < int(min(1.0, most / max(1, of)) * wide)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most_bytes: int = 4 << 20, most_rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of bounded text size; a longer text is a batch of its own."""
     for batch in batches:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetlens.llm.common import encoded, fold_of, record, slices
+from packetlens.llm.common import encoded, fold_of, record, sampled, slices
 
 MARKS = ".,;:!?\"'()[]{}*#$%&|<>-_"
 
@@ -174,8 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), f
     marked = labels.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).dropna().distinct()
     fold = fold_of(F.col("_id"), folds)
     marked = marked.filter(fold != held_out)
-    share = min(1.0, settings.sample / max(1, marked.count()))
-    sample = marked.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    sample = marked.filter(sampled(F.col("_id"), settings.sample, marked.count()))
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("_doc"), F.col("text").cast("string").alias("text"), lang.cast("string").alias("lang"))
     rows = texts.join(sample, F.col("_doc") == F.col("_id")).select("text", "lang", "_toxic", (fold == (held_out - 1) % folds).alias("_check"), "_doc")
