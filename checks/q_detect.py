@@ -16,7 +16,7 @@ from packetlens.schemas import DERIVED_FEATURES, MODEL_FEATURES, RuleThresholds
 
 from . import sql
 from .inputs import packets, source_ticks, table
-from .registry import check
+from .registry import ORACLE, check
 from .sql import BASE, DETECTION, query
 
 _FEATURES = [*MODEL_FEATURES, *DERIVED_FEATURES]
@@ -197,9 +197,9 @@ def _next(b: str, x: str) -> str:
     return f"CASE WHEN {b} = 0 THEN {x} WHEN {x} / {b} > 5 THEN {mix(0.7)} WHEN {x} / {b} > 2 THEN {mix(0.5)} ELSE {mix(0.3)} END"
 
 
-def _ewma(key: str) -> dict[str, str]:
+def _ewma(key: str, rows: str = "events") -> dict[str, str]:
     return {
-        "s": f"SELECT {key}, event_id, value, row_number() OVER (PARTITION BY {key} ORDER BY event_id) AS rn FROM events",
+        "s": f"SELECT {key}, event_id, value, row_number() OVER (PARTITION BY {key} ORDER BY event_id) AS rn FROM {rows}",
         "r": f"""SELECT {key}, event_id, value, rn, 0.0::DOUBLE AS baseline, value AS baseline_after FROM s WHERE rn = 1
           UNION ALL SELECT s.{key}, s.event_id, s.value, s.rn, r.baseline_after, {_next('r.baseline_after', 's.value')}
           FROM r JOIN s ON s.{key} = r.{key} AND s.rn = r.rn + 1""",
@@ -224,6 +224,15 @@ def baseline_rows_split(spark, sf):
     return baseline_ewma(rows, ["event_type"], ["event_id"], "value", block=F.expr("event_id div 1000"), chunk_rows=500)
 
 
+@check(query(
+    "SELECT event_id, value, baseline, baseline_after FROM r", recursive=True,
+    every="SELECT 0 AS one, event_id, value FROM events", **_ewma("one", "every"),
+))
+def baseline_global(spark, sf):
+    rows = table(spark, sf, "events").select("event_id", "value")
+    return baseline_ewma(rows, [], ["event_id"], "value", block=F.expr("event_id div 1000"), chunk_rows=500)
+
+
 @check(query(
     "SELECT user_id, arg_max(baseline_after, rn) AS baseline FROM r GROUP BY 1", recursive=True, **_EWMA
 ))
@@ -322,6 +331,11 @@ def normals_limited(spark, sf):
     return limit_normals(detect(packets(spark, sf)).select("src_ip", "ts_us", "severity"))
 
 
+@check(ORACLE["normals_limited"])
+def normals_limited_split(spark, sf):
+    return limit_normals(detect(packets(spark, sf)).select("src_ip", "ts_us", "severity"), chunk_rows=500)
+
+
 _ADAPTIVE = {
     "p": f"SELECT *, (ml_score >= 0.5 OR ml_label NOT IN ('Normal', 'Other', '')) AS ml, row_number() OVER (PARTITION BY src_ip ORDER BY {_TOTAL}) AS rn "
          "FROM ruled WHERE rule_type IS NULL",
@@ -343,3 +357,8 @@ _ADAPTIVE = {
 @check(query(f"SELECT {DETECTION}, baseline FROM final", "ruled", recursive=True, **_ADAPTIVE))
 def detections_adaptive(spark, sf):
     return detect_adaptive(packets(spark, sf)).select(*DETECTION_COLUMNS, "baseline")
+
+
+@check(ORACLE["detections_adaptive"])
+def detections_adaptive_split(spark, sf):
+    return detect_adaptive(packets(spark, sf), chunk_rows=500).select(*DETECTION_COLUMNS, "baseline")

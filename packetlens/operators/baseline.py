@@ -36,18 +36,19 @@ def baseline_ewma(
     parallel chunks. Without keys there is one baseline for all rows, which needs `block`. A null
     value leaves the baseline as it is; a null key is a key like any other.
     """
-    if block is not None:
-        return fold_split(df, keys, block, order, [value], "baseline", next_baseline, chunk_rows)
     outputs = T.StructType([
         T.StructField("baseline", T.DoubleType()), T.StructField("baseline_after", T.DoubleType())
     ])
 
     def step(state, x):
-        before = 0.0 if state is None else state
+        before, = state or (0.0,)
         after = next_baseline(before, x)
-        return after, (before, after)
+        return (after,), (before, after)
 
-    return fold_in_order(df, keys, order, [value], outputs, step)
+    if block is None:
+        return fold_in_order(df, keys, order, [value], outputs, step)
+    state = T.StructType([T.StructField("baseline", T.DoubleType())])
+    return fold_split(df, keys, block, order, [value], outputs, step, state, (0.0,), chunk_rows)
 
 
 def final_baseline(df: DataFrame, keys: list[str], order: list[str], value: str, **how) -> DataFrame:

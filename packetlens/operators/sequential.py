@@ -65,58 +65,94 @@ def fold_split(
     block: Column,
     order: list[str],
     inputs: list[str],
-    output: str,
+    outputs: T.StructType,
     step,
+    state: T.StructType,
+    initial: tuple,
     chunk_rows: int = 100_000,
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """`fold_in_order` for one DOUBLE state, with long keys split into chunks folded in parallel.
+    """`fold_in_order` with long keys split into chunks folded in parallel. Runs jobs.
 
+    `step` gets and returns its state as a tuple of the fields of `state`; a key starts at `initial`.
     Rows get exact positions (`block` is a coarse prefix of `order`) and chunks of `chunk_rows`
-    positions; a key with fewer rows is one chunk. Every chunk is folded from an assumed start.
+    positions; a key with fewer rows is one chunk. Every chunk is folded from `initial`.
     Where the end of the chunk before differs from that start, the chunk is folded again from the
     true one, until no start changes: by induction from a key's first chunk the result is then the
     sequential one, bit for bit. A fold that forgets its start within a chunk (as an exponential
-    mean does after some hundred rows) settles after a pass or two.
-
-    `output` is the state before the row; `output + "_after"` the state after it. Runs jobs.
+    mean does after some hundred rows) settles after a pass or two. Only chunks that another one
+    follows are folded for their end.
     """
     shared_dir(df.sparkSession)
     part = [*keys, "_chunk"]
+    starts = [f"_start{i}" for i in range(len(initial))]
+    ends = [f"_end{i}" for i in range(len(initial))]
+    kinds = [f.dataType for f in state.fields]
+    first = [F.lit(v).cast(k) for v, k in zip(initial, kinds)]
+    kept = carry or df.columns
     placed = positions(df, keys, block, order, "_pos").withColumn(
         "_chunk", F.floor((F.col("_pos") - 1) / chunk_rows).cast("bigint")
-    ).drop("_pos").checkpoint()  # every pass reads it
-    before_after = T.StructType([
-        T.StructField(output, T.DoubleType()), T.StructField(output + "_after", T.DoubleType())
-    ])
+    ).select(*dict.fromkeys([*keys, *inputs, *kept]), "_pos", "_chunk").checkpoint()  # every pass reads it
 
-    def started(state, start, *row):
-        state = start if state is None else state
-        after = step(state, *row)
-        return after, (state, after)
+    def begun(now, *row):
+        return step(row[: len(initial)] if now is None else now, *row[len(initial) :])
 
-    def folded(starts: DataFrame) -> DataFrame:
-        rows = join_keys(placed, starts.select(*part, "_start"), part)
-        return fold_in_order(rows, part, order, ["_start", *inputs], before_after, started)
+    def from_starts(known: DataFrame) -> DataFrame:
+        return join_keys(placed, known.select(*part, *starts), part)
 
-    def ends(starts: DataFrame) -> DataFrame:
-        last = F.max_by(output + "_after", F.struct(*order))
-        return folded(starts).groupBy(*part).agg(last.alias("_end"))
+    def ends_of(known: DataFrame) -> DataFrame:
+        return _last_states(from_starts(known), part, ["_pos"], [*starts, *inputs], ends, kinds, begun)
 
     in_key = W.partitionBy(*keys).orderBy("_chunk")
-    known = placed.select(*part).distinct().withColumn("_start", F.lit(0.0))
-    done = join_keys(known, ends(known), part).checkpoint()
+    known = placed.select(*part).distinct().withColumns(
+        {"_more": F.lead(F.lit(1)).over(in_key).isNotNull(), **dict(zip(starts, first))}
+    )
+    done = join_keys(known, ends_of(known.filter("_more")), part, "left").checkpoint()
     while True:
-        due = F.coalesce(F.lag("_end").over(in_key), F.lit(0.0))
-        linked = done.withColumn("_due", due)
-        changed = linked.filter(F.col("_due") != F.col("_start")).select(*part, F.col("_due").alias("_start"))
+        leads = F.lag(F.lit(1)).over(in_key).isNull()
+        due = {s: F.when(leads, v).otherwise(F.lag(e).over(in_key)) for s, v, e in zip(starts, first, ends)}
+        linked = done.withColumns({"_due" + s: c for s, c in due.items()})
+        differs = F.lit(False)
+        for s in starts:
+            differs = differs | ~F.col("_due" + s).eqNullSafe(F.col(s))
+        changed = linked.filter(differs).select(*part, "_more", *[F.col("_due" + s).alias(s) for s in starts])
         if changed.isEmpty():
             break
-        again = join_keys(changed, ends(changed), part).select(
-            *part, F.col("_start").alias("_start2"), F.col("_end").alias("_end2")
-        )
-        done = join_keys(done, again, part, "left").select(
-            *part,
-            F.coalesce("_start2", "_start").alias("_start"),
-            F.when(F.col("_start2").isNotNull(), F.col("_end2")).otherwise(F.col("_end")).alias("_end"),
+        again = join_keys(changed.drop("_more"), ends_of(changed.filter("_more")), part, "left")
+        new = again.withColumnsRenamed({c: "_new" + c for c in [*starts, *ends]}).withColumn("_again", F.lit(True))
+        done = join_keys(done, new, part, "left").select(
+            *part, "_more", *[F.when(F.col("_again"), F.col("_new" + c)).otherwise(F.col(c)).alias(c) for c in [*starts, *ends]]
         ).checkpoint()
-    return folded(done).drop("_start", "_chunk")
+    folded = fold_in_order(from_starts(done), part, ["_pos"], [*starts, *inputs], outputs, begun)
+    return folded.select(*kept, *[f.name for f in outputs.fields])
+
+
+def _last_states(rows: DataFrame, keys: list[str], order: list[str], inputs: list[str], names: list[str], kinds: list, step) -> DataFrame:
+    """One row per key: the state after its last row, in columns `names`."""
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, *order).select(*dict.fromkeys([*keys, *inputs]))
+    schema = T.StructType([*[ordered.schema[k] for k in keys], *[T.StructField(n, k) for n, k in zip(names, kinds)]])
+
+    def run(batches):
+        current, state, types = None, None, []
+
+        def record(found):
+            columns = [pa.array(c, t) for c, t in zip(zip(*found), types)]
+            return pa.RecordBatch.from_arrays(columns, names=[*keys, *names])
+
+        for batch in batches:
+            types = [*[batch.schema.field(k).type for k in keys], *[_ARROW[type(k)] for k in kinds]]
+            columns = [batch.column(c).to_pylist() for c in keys]
+            values = [batch.column(c).to_pylist() for c in inputs]
+            found = []
+            for key, row in zip(zip(*columns), zip(*values)):
+                if key != current:
+                    if current is not None:
+                        found.append((*current, *state))
+                    current, state = key, None
+                state, _ = step(state, *row)
+            if found:
+                yield record(found)
+        if current is not None:
+            yield record([(*current, *state)])
+
+    return ordered.mapInArrow(run, schema)

@@ -11,11 +11,14 @@ from ..operators.features import features, fit_scaler
 from ..operators.flows import flow_stats
 from ..operators.rules import rules
 from ..operators.scoring import Scorer, score_heuristic
-from ..operators.sequential import fold_in_order
+from ..operators.sequential import fold_in_order, fold_split
+from ..operators.spread import slot
 from ..operators.verdict import DETECTION_COLUMNS, decide, ml_flag
 from ..schemas import FLOW_KEY, NORMAL, SECOND_US, RuleThresholds
+from ..session import shared_dir
 
 NORMAL_GAP_MS = 500
+CHUNK_BLOCK_US = 10 * SECOND_US  # coarse time of a split fold
 
 
 def packet_features(packets: DataFrame, window_secs: int = 3, **how) -> DataFrame:
@@ -67,6 +70,7 @@ def detect_adaptive(
     window_secs: int = 3,
     gap_ms: int = NORMAL_GAP_MS,
     keep: list[str] = (),
+    chunk_rows: int | None = None,
     **how,
 ) -> DataFrame:
     """`detect` plus the traffic-spike rule over each source's own baseline: the verdict columns,
@@ -79,6 +83,10 @@ def detect_adaptive(
     Only packets no stateless rule matched go through that fold. The volumetric rule matches
     above `dos_rate`, so a source contributes at most dos_rate packets per second however hard
     it floods. Both halves read the same columns, so they share one shuffle of the packets.
+
+    `chunk_rows` also splits a source with more unmatched packets than that into chunks folded in
+    parallel (see `fold_split`); the result is the same. Then jobs run at once, and the scored
+    packets are written to the checkpoint folder and read from there.
     """
     scored = scorer(packet_features(packets, window_secs, **how)).withColumn("_ml", ml_flag())
     ruled = rules(scored, thresholds, window_secs)
@@ -95,10 +103,19 @@ def detect_adaptive(
     carry = list(dict.fromkeys(["src_ip", "ts_us", *_EVIDENCE, *keep]))
     # Packets of one flow and time have the same evidence, so their order does not matter.
     order = ["ts_us", *FLOW_KEY[1:]]
+    if chunk_rows is not None:
+        shared_dir(packets.sparkSession)
+        ruled = ruled.select(*dict.fromkeys([*carry, *order]), "_ml", "rule_type", "rule_reason", "rule_severity").checkpoint()
     plain = ruled.filter(F.col("rule_type").isNull())
-    folded = fold_in_order(
-        plain, ["src_ip"], order, ["ts_us", "packet_rate", "_ml"], _NORMAL_STATE, step, carry=[*carry, "_ml"]
-    )
+    read = ["ts_us", "packet_rate", "_ml"]
+    if chunk_rows is None:
+        folded = fold_in_order(plain, ["src_ip"], order, read, _NORMAL_STATE, step, carry=[*carry, "_ml"])
+    else:
+        state = T.StructType([T.StructField("usual", T.DoubleType()), T.StructField("last", T.LongType())])
+        folded = fold_split(
+            plain, ["src_ip"], slot("ts_us", CHUNK_BLOCK_US), order, read, _NORMAL_STATE, step, state, (0.0, None),
+            chunk_rows, carry=[*carry, "_ml"],
+        )
     adaptive = rules(folded.filter("kept"), thresholds, window_secs, baseline="baseline").drop("kept", "_ml")
     sure = ruled.filter(F.col("rule_type").isNotNull()).withColumn("baseline", F.lit(None).cast("double"))
     both = sure.select(*adaptive.columns).unionByName(adaptive)
@@ -106,23 +123,30 @@ def detect_adaptive(
 
 
 def limit_normals(
-    detections: DataFrame, gap_ms: int = NORMAL_GAP_MS, order: list[str] = ("ts_us",)
+    detections: DataFrame, gap_ms: int = NORMAL_GAP_MS, order: list[str] = ("ts_us",), chunk_rows: int | None = None
 ) -> DataFrame:
     """Keep a NORMAL row only if `gap_ms` passed since its source's last kept one; keep all others.
 
     Alerts bypass the fold, and a source's NORMAL rows stay below `dos_rate` per second (above it
     the volumetric rule makes them alerts), so a flood never reaches the fold's task; the rows
-    stream through it with one time as state. `order` settles which of several rows of one source
-    and time is kept.
+    stream through it with one time as state. `order`, which starts with ts_us, settles which of
+    several rows of one source and time is kept. `chunk_rows` splits a source with more NORMAL rows
+    than that into chunks folded in parallel (see `fold_split`); jobs then run at once.
     """
     gap_us = gap_ms * 1000
 
-    def step(last, ts):
+    def step(state, ts):
+        last, = state or (None,)
         if last is not None and ts - last < gap_us:
-            return last, (False,)
-        return ts, (True,)
+            return (last,), (False,)
+        return (ts,), (True,)
 
     quiet = detections.filter(F.col("severity") == NORMAL)
     kept = T.StructType([T.StructField("kept", T.BooleanType())])
-    limited = fold_in_order(quiet, ["src_ip"], list(order), ["ts_us"], kept, step).filter("kept").drop("kept")
-    return detections.filter(F.col("severity") != NORMAL).unionByName(limited)
+    if chunk_rows is None:
+        folded = fold_in_order(quiet, ["src_ip"], list(order), ["ts_us"], kept, step)
+    else:
+        state = T.StructType([T.StructField("last", T.LongType())])
+        block = slot("ts_us", CHUNK_BLOCK_US)
+        folded = fold_split(quiet, ["src_ip"], block, list(order), ["ts_us"], kept, step, state, (None,), chunk_rows)
+    return detections.filter(F.col("severity") != NORMAL).unionByName(folded.filter("kept").drop("kept"))

@@ -133,6 +133,12 @@ def test_adaptive_detector_matches_row_by_row(spark):
     want = by_hand(rows)
     assert got == want
     assert {"Traffic Spike", "", "Port Scan"} <= {k for _, _, k in want}
+    # the burst alone spans several chunks; one source has a null address
+    rows.append((None, *packet(1, 5)[1:]))
+    whole = packets(spark, rows)
+    columns = ["ts_us", "attack_type", "baseline"]
+    split = sorted(map(str, detect_adaptive(whole, chunk_rows=30).select("src_ip", *columns).collect()))
+    assert split == sorted(map(str, detect_adaptive(whole).select("src_ip", *columns).collect()))
 
 
 def test_normals_are_limited_to_one_per_gap(spark):
@@ -141,6 +147,9 @@ def test_normals_are_limited_to_one_per_gap(spark):
     df = spark.createDataFrame(rows, "src_ip long, ts_us long, severity int").repartition(3)
     got = table(limit_normals(df), "src_ip", "ts_us", "severity")
     assert [(s, t - START) for s, t, _ in got] == [(1, 0), (1, 10), (1, 500_000), (1, 1_000_000), (1, 5_000_000), (2, 1)]
+    for rows_each in (1, 2):
+        assert table(limit_normals(df, chunk_rows=rows_each), "src_ip", "ts_us", "severity") == got
+    assert limit_normals(df.filter("false"), chunk_rows=2).count() == 0
 
 
 def test_detect_needs_one_shuffle(spark):
