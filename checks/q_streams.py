@@ -47,11 +47,12 @@ def streamed_flow_statistics(spark, sf):
     return run(spark, stream_flow_stats(packet_stream(spark, sf))).drop("ts")
 
 
-@check(query(
-    """SELECT e - 3000000 AS start_us, e AS end_us, src_ip, count(*) AS packets, CAST(sum(packet_size) AS BIGINT) AS bytes,
+_SOURCE_WINDOWS = """SELECT e - 3000000 AS start_us, e AS end_us, src_ip, count(*) AS packets, CAST(sum(packet_size) AS BIGINT) AS bytes,
       CAST(sum(CASE WHEN protocol=6 AND (tcp_flags & 18)=2 THEN 1 ELSE 0 END) AS BIGINT) AS syns
-      FROM (SELECT *, (ts_us // 1000000 + unnest([1, 2, 3])) * 1000000 AS e FROM packets) GROUP BY ALL""", "packets"
-))
+      FROM (SELECT *, (ts_us // 1000000 + unnest([1, 2, 3])) * 1000000 AS e FROM packets) GROUP BY ALL"""
+
+
+@check(query(_SOURCE_WINDOWS, "packets"))
 def streamed_source_windows(spark, sf):
     return run(spark, stream_source_windows(packet_stream(spark, sf)), "complete")
 
@@ -92,3 +93,62 @@ def streamed_normals_limited(spark, sf):
 def streamed_detections_adaptive(spark, sf):
     scored = score_heuristic(packet_features(packets(spark, sf)))
     return run(spark, stream_adaptive(_stored(spark, scored))).select(*DETECTION_COLUMNS, "baseline")
+
+
+def in_parts(spark: SparkSession, df: DataFrame, parts: int = 4, files: int = 4) -> DataFrame:
+    """The rows as a stream of `parts` micro-batches that follow each other in time."""
+    home = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    bounds = df.approxQuantile("ts_us", [i / parts for i in range(1, parts)], 0.01)
+    part = sum((F.col("ts_us") > b).cast("int") for b in bounds)
+    for i in range(parts):
+        df.filter(part == i).repartition(files).write.mode("append").parquet(home)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(home)
+
+
+def _packet_parts(spark, sf):
+    return in_parts(spark, packets(spark, sf).withColumn("ts", F.timestamp_micros("ts_us")))
+
+
+# Append mode gives a window once the watermark (in whole milliseconds, 10 s behind) reaches its end.
+_FINAL = "(SELECT max(ts_us) // 1000 * 1000 - 10000000 FROM packets)"
+
+
+@check(f"SELECT * FROM ({ORACLE['flow_session_table']}) WHERE session_end + 9000001 <= (SELECT max(session_end) // 1000 * 1000 - 10000000 FROM ({ORACLE['flow_session_table']}))")
+def appended_flow_sessions(spark, sf):
+    return run(spark, stream_flow_sessions(_packet_parts(spark, sf)))
+
+
+@check(query(f"SELECT * FROM ({_SOURCE_WINDOWS}) WHERE end_us <= {_FINAL}", "packets"))
+def appended_source_windows(spark, sf):
+    return run(spark, stream_source_windows(_packet_parts(spark, sf)))
+
+
+@check(query(f"SELECT * FROM thru WHERE (sec + 1) * 1000000 <= {_FINAL}", "thru", "packets"))
+def appended_throughput(spark, sf):
+    return run(spark, stream_ticks(_packet_parts(spark, sf)))
+
+
+@check(query(
+    f"""SELECT ts_us // 1000000 AS sec, count(*) FILTER (severity = 1) AS suspicious, count(*) FILTER (severity = 2) AS attack
+      FROM det WHERE (ts_us // 1000000 + 1) * 1000000 <= {_FINAL} GROUP BY 1""", "det", "packets"
+))
+def appended_alert_counts(spark, sf):
+    verdicts = q_detect.detections(spark, sf).withColumn("ts", F.timestamp_micros("ts_us"))
+    return run(spark, stream_alert_ticks(in_parts(spark, verdicts)))
+
+
+@check(ORACLE["flow_statistics"])
+def streamed_flow_statistics_in_parts(spark, sf):
+    return run(spark, stream_flow_stats(_packet_parts(spark, sf))).drop("ts")
+
+
+@check(ORACLE["streamed_normals_limited"])
+def streamed_normals_limited_in_parts(spark, sf):
+    verdicts = q_detect.detections(spark, sf).select("src_ip", "ts_us", "severity")
+    return run(spark, stream_limit_normals(in_parts(spark, verdicts)))
+
+
+@check(ORACLE["detections_adaptive"])
+def streamed_detections_adaptive_in_parts(spark, sf):
+    scored = score_heuristic(packet_features(packets(spark, sf)))
+    return run(spark, stream_adaptive(in_parts(spark, scored))).select(*DETECTION_COLUMNS, "baseline")
