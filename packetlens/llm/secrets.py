@@ -1,8 +1,9 @@
 """Secrets in texts: key patterns, and a battery of randomness tests over other long tokens.
 
 Patterns give the base spans: assignments to a secret's name, access keys, long hexadecimal runs. Any other
-run of key characters is a candidate if its characters imply an encoding (hexadecimal, base 32, base 36,
-base 64; a plain word or number implies none) and it is long enough for the tests to tell text from noise. The battery
+run of at least 20 key characters is a candidate if its characters imply an encoding (hexadecimal, base 32, base 36,
+base 64). Where the whole implies none, its parts between '-', '_' and '/' are candidates if one is that long, and else
+their characters joined (prefixed keys, UUIDs). Words and numbers are left to the tests. The battery
 asks whether it can be a random string of that encoding: chi-squared for uniform use of the alphabet, the number of runs
 of a class of characters, and serial correlation, joined by Fisher's method. Short tokens are tested
 with less power than long ones, so the false-discovery control (Benjamini and Hochberg) runs within each
@@ -30,19 +31,22 @@ from packetlens.llm.common import record, slices, stored, strings
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}+")
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{20,}+={0,2}")
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}")
 KINDS = ("assign", "access", "hex", "random")
 
-#: Encodings from the narrowest, with their characters and the length from which a random string is told from text.
+LEAST = 20
+PART = re.compile(r"[^/_-]+")
+
+#: Encodings from the narrowest, with their characters.
 ENCODINGS = (
-    ("hex", "0123456789abcdef", 24),
-    ("hex", "0123456789ABCDEF", 24),
-    ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 24),
-    ("base36", "abcdefghijklmnopqrstuvwxyz0123456789", 24),
-    ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 20),
-    ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", 20),
+    ("hex", "0123456789abcdef"),
+    ("hex", "0123456789ABCDEF"),
+    ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    ("base36", "abcdefghijklmnopqrstuvwxyz0123456789"),
+    ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+    ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
-PLACES = [(name, {c: i for i, c in enumerate(chars)}, least) for name, chars, least in ENCODINGS]
+PLACES = [(name, {c: i for i, c in enumerate(chars)}) for name, chars in ENCODINGS]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -54,20 +58,33 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda s: (s[0], s[2]))
 
 
-def encoding_of(token: str) -> tuple[str, dict[str, int], int] | None:
-    """The narrowest encoding whose characters a token keeps to; none for plain words and numbers."""
+def encoding_of(token: str) -> tuple[str, dict[str, int]] | None:
+    """The narrowest encoding whose characters a token keeps to; base 64 only if it has capital and small letters."""
     used = set(token)
-    digits = used & set("0123456789")
-    letters = {c for c in used if c.isalpha()}
-    if not digits or not letters:
-        return None
-    mixed = any(c.islower() for c in letters) and any(c.isupper() for c in letters)
-    for name, places, least in PLACES:
+    mixed = any(c.islower() for c in used) and any(c.isupper() for c in used)
+    for name, places in PLACES:
         if used <= places.keys() and (mixed or not name.startswith("base64")):
-            return name, places, least
+            return name, places
     return None
 
 
+def tokens(text: str) -> Iterator[tuple[int, int, str, tuple[str, dict[str, int]]]]:
+    """(start, end, characters to judge, encoding) of each candidate."""
+    for m in TOKEN.finditer(text):
+        whole = m.group().rstrip("=")
+        kind = encoding_of(whole)
+        if kind is not None:
+            yield m.start(), m.end(), whole, kind
+            continue
+        parts = [(m.start() + p.start(), m.start() + p.end(), p.group()) for p in PART.finditer(whole)]
+        long = [p for p in parts if len(p[2]) >= LEAST]
+        joined = "".join(p[2] for p in parts)
+        for start, stop, part in long or [(m.start(), m.end(), joined)] * (len(joined) >= LEAST):
+            kind = encoding_of(part)
+            if kind is not None:
+                yield start, stop, part, kind
+
+
 def _upper_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
@@ -85,7 +102,7 @@ def _classes(chars: str) -> tuple[list[int], list[float]]:
     return [used.index(k) for k in own], [own.count(k) / len(own) for k in used]
 
 
-CLASSES = {len(places): _classes("".join(places)) for _, places, _ in PLACES}
+CLASSES = {len(places): _classes("".join(places)) for _, places in PLACES}
 
 
 def battery(symbols: list[int], size: int) -> float:
@@ -117,14 +134,11 @@ def battery(symbols: list[int], size: int) -> float:
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, float]]:
     """(start, end, encoding and length class, p) of the tokens to judge, none of them touching a base span."""
-    out = []
-    for m in TOKEN.finditer(text):
-        token = m.group().rstrip("=")
-        kind = encoding_of(token)
-        if kind is None or len(token) < kind[2] or any(a < m.end() and m.start() < b for a, b, _ in base):
-            continue
-        out.append((m.start(), m.end(), f"{kind[0]}:{len(token).bit_length()}", battery([kind[1][c] for c in token], len(kind[1]))))
-    return out
+    return [
+        (start, stop, f"{name}:{len(token).bit_length()}", battery([places[c] for c in token], len(places)))
+        for start, stop, token, (name, places) in tokens(text)
+        if not any(a < stop and start < b for a, b, _ in base)
+    ]
 
 
 SPANS = "array<struct<start:long,stop:long,kind:int>>"

@@ -42,3 +42,27 @@ def test_redaction(spark):
     found = secrets.scan_secrets(frame).join(frame, "doc_id")
     got = {r.doc_id: r.t for r in found.select("doc_id", secrets.redact(found["text"], found["spans"]).alias("t")).collect()}
     assert got == {1: "a [secret] b [secret]", 2: "clean ü text", 3: None}
+
+
+def test_tokens_after_names_and_in_any_encoding(spark):
+    """Values after '=', digitless, short and prefixed tokens are judged by the tests, not left out beforehand."""
+    rnd = random.Random(6)
+
+    def pick(chars, n):
+        return "".join(rnd.choice(chars) for _ in range(n))
+
+    small, mixed = "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    noise = ["AUTH=Zm9vYmFyMTIzNDU2Nzg5MGFiY2RlZkdI", "https://h/x?sig=" + pick(mixed, 32) + "=="]
+    noise += [f"CREDENTIAL={pick(mixed, 30)}" for _ in range(30)]
+    noise += [f"sk_live_{pick(small, 24)}" for _ in range(30)]
+    noise += ["-".join(pick("0123456789abcdef", n) for n in (8, 4, 4, 4, 12)) for _ in range(30)]
+    noise += [pick("0123456789ABCDEF", 22) for _ in range(30)]
+    noise += [pick(mixed[:52], 20) for _ in range(30)]
+    text = ["how-to-cook-the-rice-in-ten-minutes", "internationalization", "some_long_variable_name_of_words", "/usr/share/documentation/package/readme"]
+    frame = spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(noise + text * 3)], "doc_id long, text string")
+    found = {r.doc_id: [(s.start, s.stop) for s in r.spans] for r in secrets.scan_secrets(frame).collect()}
+    assert found[0] == [(9, 4 + len(noise[0]))]
+    assert found[1]
+    for at in range(2, len(noise), 30):
+        assert sum(bool(found[i]) for i in range(at, at + 30)) >= 24
+    assert not [i for i in found if i >= len(noise) and found[i]]
