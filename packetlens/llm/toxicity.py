@@ -3,11 +3,11 @@
 A word is the sum of hashed embeddings of itself and of its first four and five characters, so that unseen
 endings of a known stem are covered. Filters one, two and three words wide run over the whole text; each
 filter's largest response (never below zero) is kept, and a logistic layer turns them into a score. Only the
-text is an input. The model learns from a bounded sample of labelled rows, in one task. Further labelled rows,
-not used for its weights, set the threshold of each language.
+text is an input. The weights are learned from a bounded sample of labelled rows, in one task. All labelled rows of
+another fold, which the weights never see, set the threshold of each language: they are scored and counted by bins.
 
 Defined cases: null and empty texts have no response, so their score is the model's bias; null labels and
-ids are not learned from; a null or unknown language takes the threshold of all; without any labelled row the
+ids are not learned from; a null or unknown language, or one without a toxic row in that fold, takes the threshold of all; without any labelled row the
 score is 0 for all; equal rows are each returned; an empty table gives no rows; other columns are not read.
 """
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetlens.llm.common import encoded, fold_of, record, sampled, slices
+from packetlens.llm.common import encoded, fold_of, record, sampled, slices, stored
 
 MARKS = ".,;:!?\"'()[]{}*#$%&|<>-_"
 
@@ -157,56 +157,77 @@ class Model:
         return self
 
 
-def _threshold(score: np.ndarray, label: np.ndarray) -> float:
-    """The gap between scores with the best F1, the nearest to 0.3 of equals; in it, what is nearest to 0.3 of its inner half."""
-    ends = np.unique(np.concatenate([score, [0.0, 1.0]]))
-    low, high = ends[:-1] * 0.75 + ends[1:] * 0.25, ends[:-1] * 0.25 + ends[1:] * 0.75
-    cuts = np.clip(0.3, low, high)
-    best = max(cuts, key=lambda c: (2 * ((score >= c) & (label == 1)).sum() / ((score >= c).sum() + (label == 1).sum()), -abs(c - 0.3)))
-    return float(np.clip(best, 0.05, 0.95))
+BINS = 1 << 12
+
+
+def _threshold(bins: np.ndarray, label: np.ndarray, n: np.ndarray) -> float:
+    """The gap between bins of scores with the best F1, the nearest to 0.3 of equals; in it, what is nearest to 0.3 of its inner half.
+
+    Bin b holds `n` scores of a label from b / BINS to below (b + 1) / BINS; each cut lies between two bins.
+    """
+    used, place = np.unique(bins, return_inverse=True)
+    toxic, every = np.bincount(place, n * label), np.bincount(place, n)
+    hit, above = (np.concatenate([np.cumsum(x[::-1])[::-1], [0]]) for x in (toxic, every))
+    start, end = np.concatenate([[0], (used + 1) / BINS]), np.concatenate([used / BINS, [1]])
+    end = np.maximum(start, end)
+    cuts = np.clip(0.3, start * 0.75 + end * 0.25, start * 0.25 + end * 0.75)
+    f1 = 2 * hit / (above + toxic.sum())
+    return float(np.clip(cuts[np.lexsort((np.abs(cuts - 0.3), -f1))[0]], 0.05, 0.95))
+
+
+def _cut(table: pa.Table) -> pa.Table:
+    bins, label, n = table["bin"].to_numpy(), table["_toxic"].to_numpy() == 1, table["n"].to_numpy()
+    cuts = [_threshold(bins, label, n)] if label.any() else []
+    return pa.table({"name": table["name"][: len(cuts)], "cut": pa.array(cuts, pa.float64())})
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), folds: int = 4, held_out: int = 2) -> tuple[Model, dict[str | None, float]]:
     """The model, and thresholds by language (None: of all). Rows whose fold is `held_out` are not read.
 
-    Fold `held_out` - 1 sets thresholds, the rest the weights.
+    All labelled rows of fold `held_out` - 1 set thresholds, a sample of the rest the weights.
     """
     marked = labels.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).dropna().distinct()
-    fold = fold_of(F.col("_id"), folds)
-    marked = marked.filter(fold != held_out)
-    sample = marked.filter(sampled(F.col("_id"), settings.sample, marked.count()))
+    check = (held_out - 1) % folds
+    learned = marked.filter(~fold_of(F.col("_id"), folds).isin(held_out, check))
+    sample = learned.filter(sampled(F.col("_id"), settings.sample, learned.count()))
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("_doc"), F.col("text").cast("string").alias("text"), lang.cast("string").alias("lang"))
-    rows = texts.join(sample, F.col("_doc") == F.col("_id")).select("text", "lang", "_toxic", (fold == (held_out - 1) % folds).alias("_check"), "_doc")
+    rows = texts.join(sample, F.col("_doc") == F.col("_id")).select("text", "_toxic", "_doc")
 
     def fit(table: pa.Table) -> pa.Table:
         order = np.argsort(table["_doc"].to_numpy(), kind="stable")
         table = table.take(pa.array(order))
-        label, check = table["_toxic"].to_numpy(), np.array(table["_check"].to_pylist())
-        texts = [x or b"" for x in table["text"].cast(pa.binary()).to_pylist()]
+        label = table["_toxic"].to_numpy()
         model = Model(settings)
-        if label[~check].any():
-            model.train([word_ids(texts[i].split(), settings.buckets) for i in np.flatnonzero(~check)], label[~check])
+        if label.any():
+            model.train([word_ids((x or b"").split(), settings.buckets) for x in table["text"].cast(pa.binary()).to_pylist()], label)
         else:
             model.bias = np.float32(-30)
-        judged = np.flatnonzero(check)
-        score = np.concatenate([np.zeros(0), *[model.score(texts[i : i + 1]) for i in judged]])
-        langs = np.array([x or "" for x in table["lang"].to_pylist()])[judged]
-        names, cuts = [None], [_threshold(score, label[judged])] if label[judged].any() else [0.3]
-        for name in sorted(set(langs) - {""}):
-            mine = langs == name
-            if label[judged][mine].any():
-                names.append(name)
-                cuts.append(_threshold(score[mine], label[judged][mine]))
-        return pa.table({"weights": pa.array([model.dump()], pa.binary()), "names": pa.array([names], pa.list_(pa.string())), "cuts": pa.array([cuts], pa.list_(pa.float64()))})
+        return pa.table({"weights": pa.array([model.dump()], pa.binary())})
 
     # one task holds the sample, whose size `settings.sample` bounds
-    found = rows.withColumn("_all", F.lit(1)).groupBy("_all").applyInArrow(fit, "weights binary, names array<string>, cuts array<double>").first()
+    found = rows.withColumn("_all", F.lit(1)).groupBy("_all").applyInArrow(fit, "weights binary").first()
     if found is None:
         model = Model(settings)
         model.bias = np.float32(-30)
         return model, {None: 0.3}
-    return Model(settings).load(bytes(found["weights"])), dict(zip(found["names"], found["cuts"], strict=True))
+    model = Model(settings).load(bytes(found["weights"]))
+    weights = docs.sparkSession.sparkContext.broadcast(model.dump())
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(settings).load(weights.value)
+        schema = pa.schema([("_doc", pa.int64()), ("lang", pa.string()), ("bin", pa.int32())])
+        for batch in slices(batches):
+            bins = np.floor(own.score(encoded(batch)) * BINS).astype(np.int32)
+            yield record(schema, [batch.column("_doc"), batch.column("lang"), bins])
+
+    # texts stay where they are: the fold is chosen by id and only scores meet the labels
+    scored = texts.filter(fold_of(F.col("_doc"), folds) == check).mapInArrow(judge, "_doc long, lang string, bin int")
+    cells = scored.join(marked, F.col("_doc") == F.col("_id")).groupBy(F.coalesce("lang", F.lit("")).alias("name"), "_toxic", "bin").agg(F.count(F.lit(1)).alias("n"))
+    cells = stored(cells)
+    pooled = cells.groupBy("_toxic", "bin").agg(F.sum("n").alias("n")).select(F.lit("").alias("name"), "_toxic", "bin", "n")
+    cuts = cells.filter("name <> ''").union(pooled).groupBy("name").applyInArrow(_cut, "name string, cut double").collect()
+    return model, {None: 0.3} | {r["name"] or None: r["cut"] for r in cuts}
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), folds: int = 4, held_out: int = 2) -> DataFrame:

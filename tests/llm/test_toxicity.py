@@ -32,3 +32,28 @@ def test_without_labels(odd, empty, spark):
     found = toxicity.toxicity(odd, labels).collect()
     assert len(found) == odd.count() and not any(r.rejected for r in found)
     assert toxicity.toxicity(empty, labels).collect() == []
+
+
+def test_thresholds_cover_all_labelled_rows(spark):
+    """A small sample for the weights leaves no language's toxic rows out of its threshold."""
+    rows = [(i, "you idiot fool" if i % 3 == 0 else "a fine day", "en" if i % 40 else "is") for i in range(2400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(2400)], "doc_id long, toxic int")
+    settings = toxicity.Settings(buckets=256, sample=30, steps=200)
+    assert set(toxicity.train(docs, labels, settings)[1]) == {None, "en", "is"}
+
+
+def test_threshold_from_bins_is_the_best_cut():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        label = rng.integers(0, 2, 60)
+        bins = np.floor(np.clip(rng.normal(0.35 + 0.2 * label, 0.15), 0, 0.999) * toxicity.BINS).astype(int)
+        cut = toxicity._threshold(bins, label, np.ones(60))
+
+        def f1(c, bins=bins, label=label):
+            over = bins / toxicity.BINS >= c
+            return 2 * (over & (label == 1)).sum() / (over.sum() + label.sum())
+
+        assert f1(cut) >= max(f1(c) for c in np.unique(bins) / toxicity.BINS if 0.05 <= c <= 0.95) - 1e-12
