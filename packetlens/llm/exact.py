@@ -20,25 +20,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetlens.llm.common import encoded, fold_of, keyed_texts, record, slices, stored
+from packetlens.llm.common import encoded, fold_of, record, slices, stored
 
 WHITE = b" \t\n\x0b\x0c\r"
 LEVELS = 40
 NO_ID = np.iinfo(np.int64).max
 
 
-def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digest_batches(batches: Iterator[pa.RecordBatch], carry: list[str]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("digest", pa.binary())])
     for batch in slices(batches):
         texts = encoded(batch)
         chars = [len(t) if t.isascii() else len(t.decode()) for t in texts]
         found = [hashlib.sha256(t.translate(None, WHITE)).digest() for t in texts]
-        yield record(schema, [batch.column("doc_id"), chars, found])
+        own = record(schema, [batch.column("doc_id"), chars, found])
+        yield pa.RecordBatch.from_arrays([*own.columns, *[batch.column(c) for c in carry]], names=[*schema.names, *carry])
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, digest) of each row."""
-    return keyed_texts(docs).mapInArrow(_digest_batches, "doc_id long, n_chars long, digest binary")
+def digests(docs: DataFrame, carry: list[str] = ()) -> DataFrame:
+    """(doc_id, n_chars, digest) of each row, and its columns named in `carry`."""
+    names = list(carry)
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *names)
+    more = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in names)
+    return texts.mapInArrow(lambda batches: _digest_batches(batches, names), f"doc_id long, n_chars long, digest binary{more}")
 
 
 def _places(first: np.ndarray, second: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -151,21 +155,23 @@ def resolve(index: DataFrame, folded: DataFrame, shards: int) -> DataFrame:
     return index.groupBy("shard").cogroup(_winners(folded, shards).groupBy("shard")).applyInArrow(_resolve, GROUPS)
 
 
-def exact_duplicates(docs: DataFrame, historical: Column | None = None, rows_per_shard: int = 8192) -> DataFrame:
+def exact_duplicates(docs: DataFrame, historical: Column | None = None, rows_per_shard: int = 8192, carry: list[str] = ()) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, digest), one row per row of `docs`.
 
     `historical` says on `doc_id` which rows build the hash (by default half of them, by crc32);
     the others are looked up in it. The result does not depend on that choice.
+    Columns of `docs` named in `carry` are added. Rows that differ in them are told apart, so that several of an id,
+    length and digest may be `kept`.
     """
     old = fold_of(F.col("doc_id"), 2) == 0 if historical is None else historical
-    folded = stored(digests(docs).groupBy("doc_id", "n_chars", "digest").agg(F.count(F.lit(1)).alias("copies")))
+    folded = stored(digests(docs, carry).groupBy("doc_id", "n_chars", "digest", *carry).agg(F.count(F.lit(1)).alias("copies")))
     shards = max(1, -(-folded.count() // rows_per_shard))
     index = stored(build_index(folded.filter(old), shards))
     groups = resolve(index, folded.filter(~F.coalesce(old, F.lit(False))), shards)
-    own = folded.select("doc_id", "n_chars", F.col("digest").alias("_own"), "copies")
+    own = folded.select("doc_id", "n_chars", F.col("digest").alias("_own"), "copies", *carry)
     joined = own.join(groups, F.col("_own") == F.col("digest"))
     wins = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars"))
     copy = F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))
-    return joined.select("doc_id", "keep_id", "group_size", wins.alias("_wins"), "digest", copy.alias("_copy")).select(
-        "doc_id", "keep_id", "group_size", (F.col("_wins") & (F.col("_copy") == 1)).alias("kept"), "digest",
+    return joined.select("doc_id", "keep_id", "group_size", wins.alias("_wins"), "digest", copy.alias("_copy"), *carry).select(
+        "doc_id", "keep_id", "group_size", (F.col("_wins") & (F.col("_copy") == 1)).alias("kept"), "digest", *carry,
     )

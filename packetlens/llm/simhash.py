@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetlens.llm.common import encoded, keyed_texts, record, slices, stored
+from packetlens.llm.common import encoded, record, slices, stored
 from packetlens.llm.components import components
 
 BITS = 31
@@ -51,16 +51,20 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp) of each row, fp as a signed long."""
+def fingerprints(docs: DataFrame, words: int = 3, carry: list[str] = ()) -> DataFrame:
+    """(doc_id, fp) of each row, fp as a signed long, and its columns named in `carry`."""
+    names = list(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
         for batch in slices(batches):
             found = np.array([fingerprint(t, words) for t in encoded(batch)], dtype=np.uint64).view(np.int64)
-            yield record(schema, [batch.column("doc_id"), pa.array(found)])
+            own = record(schema, [batch.column("doc_id"), pa.array(found)])
+            yield pa.RecordBatch.from_arrays([*own.columns, *[batch.column(c) for c in names]], names=[*schema.names, *names])
 
-    return keyed_texts(docs).mapInArrow(run, "doc_id long, fp long")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *names)
+    more = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in names)
+    return texts.mapInArrow(run, f"doc_id long, fp long{more}")
 
 
 def _syndromes() -> np.ndarray:
@@ -218,12 +222,15 @@ def fingerprint_links(fps: DataFrame, distance: int = 3, most: int = MOST) -> Da
     return first.filter("anchor is null").select("u", "v").union(second.select("u", "v")).distinct()
 
 
-def simhash_components(docs: DataFrame, words: int = 3, distance: int = 3, most: int = MOST) -> DataFrame:
-    """(doc_id, fp, component_id), one row per row of `docs`: fingerprint and least id reachable over links."""
-    rows = stored(fingerprints(docs, words))
+def simhash_components(docs: DataFrame, words: int = 3, distance: int = 3, most: int = MOST, carry: list[str] = ()) -> DataFrame:
+    """(doc_id, fp, component_id), one row per row of `docs`: fingerprint and least id reachable over links.
+
+    With columns named in `carry` come these and the component's `root`, its least fingerprint.
+    """
+    rows = stored(fingerprints(docs, words, carry))
     classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(fingerprint_links(classes, distance, most))
     rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select(F.col("fp").alias("_fp"), F.col("root").alias("_root")).join(ids, F.col("_root") == F.col("root")).select("_fp", "component_id")
-    return rows.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    named = rooted.select(F.col("fp").alias("_fp"), F.col("root").alias("_root")).join(ids, F.col("_root") == F.col("root")).select("_fp", "component_id", F.col("_root").alias("root"))
+    return rows.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id", *(["root", *carry] if carry else []))

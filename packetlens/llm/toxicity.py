@@ -230,22 +230,28 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), f
     return model, {None: 0.3} | {r["name"] or None: r["cut"] for r in cuts}
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), folds: int = 4, held_out: int = 2) -> DataFrame:
-    """(doc_id, held_out, score, threshold, rejected) of each row; `rejected` goes by the language's threshold."""
+def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), folds: int = 4, held_out: int = 2, carry: list[str] = ()) -> DataFrame:
+    """(doc_id, held_out, score, threshold, rejected) of each row; `rejected` goes by the language's threshold.
+
+    Columns of `docs` named in `carry` are added, each under its name after an underscore.
+    """
     model, cuts = train(docs, labels, settings, folds, held_out)
     weights = docs.sparkSession.sparkContext.broadcast(model.dump())  # of the size that the settings fix
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.cast("string").alias("lang"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.cast("string").alias("lang"), *[F.col(c).alias(f"_{c}") for c in carry])
+    more = "".join(f", _{c} {docs.schema[c].dataType.simpleString()}" for c in carry)
+    names = [f"_{c}" for c in carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(settings).load(weights.value)
         schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("threshold", pa.float64())])
         for batch in slices(batches):
             limits = [cuts.get(x, cuts[None]) for x in batch.column("lang").to_pylist()]
-            yield record(schema, [batch.column("doc_id"), own.score(encoded(batch)), limits])
+            found = record(schema, [batch.column("doc_id"), own.score(encoded(batch)), limits])
+            yield pa.RecordBatch.from_arrays([*found.columns, *[batch.column(c) for c in names]], names=[*schema.names, *names])
 
-    scored = texts.mapInArrow(run, "doc_id long, score double, threshold double")
+    scored = texts.mapInArrow(run, f"doc_id long, score double, threshold double{more}")
     return scored.select(
         "doc_id", (fold_of(F.col("doc_id"), folds) == held_out).alias("held_out"), "score", "threshold",
-        (F.col("score") >= F.col("threshold")).alias("rejected"),
+        (F.col("score") >= F.col("threshold")).alias("rejected"), *names,
     )

@@ -66,3 +66,34 @@ def test_odd_rows_and_empty_tables(spark, odd, empty):
     assert pipeline.pack_sequences(spark, empty, SF).collect() == []
     one = spark.createDataFrame([(3, "a b", "en", "s", 3)] * 3, odd.select(columns).schema)
     assert pipeline.drop_exact(spark, one, SF).count() == 1
+
+
+def test_each_row_takes_its_own_verdict(spark, monkeypatch):
+    """Rows without an id, or with a shared one, do not go or stay together."""
+    rows = [(None, "a fine day " * 9), (None, "you idiot"), (7, "a calm night " * 9), (7, "stupid idiot"), (None, "a fine  day " * 9), (None, "a calm night" * 2)]
+    rows += [(None, " ".join(f"w{i}" for i in range(200))), (None, " ".join(f"w{i}" for i in range(200)) + " W199"), (7, "a  calm night " * 9)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+    model = toxicity.Model(toxicity.Settings())
+    model.words[:] = 0
+    model.words[toxicity.word_ids([b"idiot"], model.settings.buckets)[0]] = 1
+    for weights in (*model.filters, model.out):
+        weights[...] = 1
+    monkeypatch.setattr(toxicity, "train", lambda *a: (model, {None: 0.5}))
+    kept = pipeline.stored(pipeline.reject_toxic(spark, docs, SF))
+    assert rows_of(kept.select("doc_id", "text")) == sorted((r for r in rows if "idiot" not in r[1]), key=str)
+    left = pipeline.stored(pipeline.drop_exact(spark, kept, SF))
+    want = [rows[4], rows[8], rows[5], rows[6], rows[7]]
+    assert rows_of(left.select("doc_id", "text")) == sorted(want, key=str)
+    same = left.select("doc_id", "text").union(spark.createDataFrame([rows[4]] * 2, "doc_id long, text string"))
+    assert pipeline._one_of_each(*_grouped_by_text(same)).count() == 5
+    near = {r.text for r in pipeline.STAGES[2][1](spark, left, SF).collect()}
+    assert len(near & {rows[6][1], rows[7][1]}) == 1 and {rows[4][1], rows[8][1], rows[5][1]} <= near
+
+
+def _grouped_by_text(frame):
+    from pyspark.sql import functions as F
+
+    more = frame.select("*", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("bigint").alias("n_chars"))
+    keyed = pipeline._keyed(more)
+    return keyed, keyed.select(*pipeline.KEY, F.col("text").alias("group"), F.lit(0).alias("place"))
