@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetlens.llm import exact, packing, secrets, simhash, similar, toxicity
+from packetlens.llm import exact, packing, secrets, simhash, toxicity
 from packetlens.llm.common import documents, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -51,21 +51,13 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each component of op4's SimHash fingerprints. No stage of the pipeline: `drop_similar` goes further."""
+    """The smallest id of each component of SimHash fingerprints: three-word shingles, links at 3 differing bits or fewer."""
     keyed = _keyed(docs)
     found = simhash.simhash_components(keyed, carry=KEY)
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
     return _one_of_each(keyed, found.select(*KEY, F.col("root").alias("group"), place.alias("place")))
 
 
-def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each component of texts with a Jaccard similarity of 0.8 or more over five-word shingles."""
-    keyed = _keyed(docs)
-    found = similar.similar_components(keyed, KEY, carry=["doc_id"])
-    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
-    return _one_of_each(keyed, found.select(*KEY, F.col("root").alias("group"), place.alias("place")))
-
-
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in place of each secret."""
     found = secrets.scan_secrets(docs.select(COLUMNS), carry=["text", "lang", "source", "n_chars"])
@@ -82,7 +74,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("toxicity", reject_toxic),
     ("exact dedup", drop_exact),
-    ("simhash near-dedup", drop_similar),
+    ("simhash near-dedup", drop_near),
     ("secret scans", redact_secrets),
     ("best-fit packing", pack_sequences),
 ]
