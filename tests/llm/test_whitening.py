@@ -37,7 +37,7 @@ def check(found, ids, rows, most=32):
         assert {(r.n, int(r.deviation)) for r in parts.values()} == {(n, deviations[k])}
         assert np.allclose(line * signs, want[k], atol=1e-6)
         assert np.allclose([parts[c + 1].explained for c in range(len(values))], values / np.trace(cov), rtol=1e-9)
-    assert len({r.identity_error for r in found}) == 1 and found[0].identity_error < 1e-9
+    assert len({r.identity_error for r in found}) == 1 and found[0].identity_error < 1e-7
 
 
 def test_registered_query_against_exact_fractions(spark):
@@ -61,7 +61,7 @@ def test_odd_rows(spark):
     # a null id and repeated rows are rows; the third dimension repeats the first, so one component is missing
     twice = [(None, [1.0, 5.0, 1.0]), (1, [2.0, 1.0, 2.0]), (1, [2.0, 1.0, 2.0]), (2, [-1.0, 0.0, -1.0])]
     found = whitening.whiten(spark.createDataFrame(twice, "vec_id long, embedding array<float>")).collect()
-    assert len(found) == 8 and sum(r.vec_id is None for r in found) == 2 and found[0].identity_error < 1e-9
+    assert len(found) == 8 and sum(r.vec_id is None for r in found) == 2 and found[0].identity_error < 1e-7
 
 
 @pytest.mark.parametrize("size", [10, 1 << 30])
