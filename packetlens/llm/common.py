@@ -77,6 +77,16 @@ def record(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def unfolded(df: DataFrame, first: str, copies: str, name: str, most: int = 10_000) -> DataFrame:
+    """Each row `copies` times, `name` counting up from `first`. Large counts are cut into parts that are spread over tasks."""
+    parts = F.sequence(F.lit(0).cast("bigint"), F.expr(f"({copies} - 1) div {most}"))
+    cut = df.withColumn("_part", F.explode(parts))
+    large = cut.filter(F.col(copies) > most).repartition(F.col("_part"), F.col(first))
+    low = F.col(first) + F.col("_part") * most
+    high = F.least(low + most, F.col(first) + F.col(copies)) - 1
+    return cut.filter(F.col(copies) <= most).union(large).withColumn(name, F.explode(F.sequence(low, high))).drop("_part")
+
+
 class Recent(dict):
     """Computed values by key. At `keep` keys the table becomes the old one, from which keys in use come back."""
 

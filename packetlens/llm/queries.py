@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetlens.llm import bpe, exact, language, lines, lm, packing, quality, secrets, simhash, toxicity, whitening
+from packetlens.llm import bpe, exact, language, lines, lm, packing, quality, resampling, secrets, simhash, toxicity, whitening
 from packetlens.llm.common import documents
 
 QUERIES = {}
@@ -109,6 +109,40 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+@query(r"""
+  WITH crc AS (
+    SELECT list(list_reduce([i, 0, 1, 2, 3, 4, 5, 6, 7], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t
+    FROM (SELECT range AS i FROM range(256))
+  ), texts AS (
+    SELECT doc_id, true AS own, coalesce(text, '') AS text FROM documents
+    UNION ALL SELECT item_id, false, coalesce(text, '') FROM benchmark
+  ), lists AS (
+    SELECT doc_id, own, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM texts
+  ), w AS (SELECT doc_id, own, unnest(ws) AS word FROM lists),
+  d AS (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM w)),
+  b AS (
+    SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(h) // 2), lambda k: ('0x' || substr(h, CAST(2 * k + 1 AS INT), 2))::BIGINT)),
+      lambda c, y: xor(c // 256, t[1 + xor(c & 255, y)])), 4294967295) % 10000 AS bucket
+    FROM d, crc
+  ), n AS (
+    SELECT bucket, count(*) FILTER (own) AS s, count(*) FILTER (NOT own) AS t FROM w JOIN b USING (word) GROUP BY bucket
+  ), g AS (
+    SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE))) AS BIGINT) AS gain FROM n
+  ), m AS (
+    SELECT doc_id, CAST(floor(sum(gain)::DOUBLE / count(*)) AS BIGINT) AS weight FROM w JOIN b USING (word) JOIN g USING (bucket) WHERE own GROUP BY doc_id
+  ), e AS (
+    SELECT doc_id, len(ws) AS n_features, coalesce(weight, 0) AS weight,
+      coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+    FROM lists LEFT JOIN m USING (doc_id) WHERE own
+  ), r AS (
+    SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, 10 * count(*) FILTER (n_features >= 20) OVER () // 100 AS take FROM e
+  )
+  SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN n_features >= 20 AND place <= take THEN place END AS rank FROM r""")
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 @query()
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
