@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetlens.llm import bpe, exact, language, lines, lm, packing, quality, resampling, secrets, simhash, toxicity, whitening
+from packetlens.llm import bpe, exact, jaccard, language, lines, lm, packing, quality, resampling, secrets, simhash, toxicity, whitening
 from packetlens.llm.common import documents
 
 QUERIES = {}
@@ -143,6 +143,24 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+@query(r"""
+  WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+  ), s AS (
+    SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(1, len(ws) - 3) + 1), lambda i: array_to_string(ws[i:i + 3], ' '))) AS shingle FROM w WHERE len(ws) > 0
+  ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+  common AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS n FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+  links AS (
+    SELECT u, v FROM common JOIN n AS p ON p.doc_id = u JOIN n AS q ON q.doc_id = v WHERE 100 * common.n >= 85 * (p.n + q.n - common.n)
+  ), reach AS (
+    SELECT doc_id, doc_id AS other FROM documents
+    UNION SELECT reach.doc_id, v FROM reach JOIN links ON other = u
+  ), least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+  SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM least LEFT JOIN n USING (doc_id)""")
+def op12_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(documents(spark, sf_dir))
+
+
 @query()
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
