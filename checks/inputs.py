@@ -78,6 +78,27 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packets_of(table(spark, sf_dir, "lineitem"))
 
 
+# Packets in four bursts with silence in between, a ninth of them from many short-lived senders.
+_IDLE = {
+    "src_ip": "CAST(CASE WHEN packet_size % 9 = 0 THEN src_ip + 65536 * (1 + ts_us % 97) ELSE src_ip END AS BIGINT)",
+    "ts_us": "CAST(ts_us + ({ts} - 113594004) % 4 * 100000000 AS BIGINT)",
+}
+
+
+def idle_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = {c: F.expr(e.format(ts="ts_us div 15000000")) for c, e in _IDLE.items()}
+    return packets(spark, sf_dir).withColumns(moved)
+
+
+def idle_packets_sql(sql: str) -> str:
+    """An oracle over `packets`, over the idle ones instead."""
+    moved = ", ".join(f"{e.format(ts='ts_us // 15000000')} AS {c}" for c, e in _IDLE.items())
+    plain = f"packets AS ({PACKETS_SQL})"
+    if plain not in sql:
+        raise ValueError("no packets in this query")
+    return sql.replace(plain, f"packets AS (SELECT * REPLACE ({moved}) FROM ({PACKETS_SQL}))")
+
+
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(FLOW_SQL.replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
 

@@ -15,7 +15,7 @@ from packetlens.plans.detection import detect, detect_adaptive, fit_first, limit
 from packetlens.schemas import DERIVED_FEATURES, MODEL_FEATURES, RuleThresholds
 
 from . import sql
-from .inputs import packets, source_ticks, table
+from .inputs import idle_packets, idle_packets_sql, packets, source_ticks, table
 from .registry import ORACLE, check
 from .sql import BASE, DETECTION, query
 
@@ -336,22 +336,32 @@ def normals_limited_split(spark, sf):
     return limit_normals(detect(packets(spark, sf)).select("src_ip", "ts_us", "severity"), chunk_rows=500)
 
 
-_ADAPTIVE = {
-    "p": f"SELECT *, (ml_score >= 0.5 OR ml_label NOT IN ('Normal', 'Other', '')) AS ml, row_number() OVER (PARTITION BY src_ip ORDER BY {_TOTAL}) AS rn "
-         "FROM ruled WHERE rule_type IS NULL",
-    "a0": "SELECT src_ip, rn, ts_us, packet_rate, ml FROM p",
-    "a": f"""SELECT src_ip, rn, 0.0::DOUBLE AS baseline, CASE WHEN ml THEN 0.0::DOUBLE ELSE packet_rate END AS next,
+def _adaptive(key: str = "src_ip") -> dict[str, str]:
+    """The sequential detector over `ruled`, one fold for each value of `key` (columns of p)."""
+    same = " AND ".join(f"a0.{c} = a.{c}" for c in key.split(", "))
+    mine = ", ".join(f"a0.{c}" for c in key.split(", "))
+    return {
+        "p0": f"SELECT *, (ml_score >= 0.5 OR ml_label NOT IN ('Normal', 'Other', '')) AS ml, "
+              f"ts_us - lag(ts_us) OVER (PARTITION BY src_ip ORDER BY {_TOTAL}) AS quiet FROM ruled WHERE rule_type IS NULL",
+        "p1": f"SELECT *, count(*) FILTER (quiet > {_IDLE_US}) OVER (PARTITION BY src_ip ORDER BY {_TOTAL} ROWS UNBOUNDED PRECEDING) AS life FROM p0",
+        "p": f"SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {_TOTAL}) AS rn FROM p1",
+        "a0": f"SELECT {key}, rn, ts_us, packet_rate, ml FROM p",
+        "a": f"""SELECT {key}, rn, 0.0::DOUBLE AS baseline, CASE WHEN ml THEN 0.0::DOUBLE ELSE packet_rate END AS next,
         CASE WHEN ml THEN NULL ELSE ts_us END AS last, true AS kept FROM a0 WHERE rn = 1
-      UNION ALL SELECT src_ip, rn, b, CASE WHEN moves THEN {_next('b', 'packet_rate')} ELSE b END, CASE WHEN moves THEN ts_us ELSE l END,
+      UNION ALL SELECT {key}, rn, b, CASE WHEN moves THEN {_next('b', 'packet_rate')} ELSE b END, CASE WHEN moves THEN ts_us ELSE l END,
         alert OR moves FROM (SELECT *, NOT alert AND (l IS NULL OR ts_us - l >= 500000) AS moves FROM (
-          SELECT a0.src_ip, a0.rn, a0.ts_us, a0.packet_rate, a.next AS b, a.last AS l,
+          SELECT {mine}, a0.rn, a0.ts_us, a0.packet_rate, a.next AS b, a.last AS l,
             (a0.ml OR (a.next > 0 AND a0.packet_rate >= a.next * 5.0::DOUBLE)) AS alert
-          FROM a JOIN a0 ON a0.src_ip = a.src_ip AND a0.rn = a.rn + 1))""",
-    "joined": "SELECT p.* EXCLUDE (rule_type, rule_reason, rule_severity, ml, rn), a.baseline FROM p JOIN a USING (src_ip, rn) WHERE a.kept",
-    "again": sql.rules("joined", baseline=True),
-    "merged": "SELECT * FROM again UNION ALL BY NAME SELECT *, NULL::DOUBLE AS baseline FROM ruled WHERE rule_type IS NOT NULL",
-    "final": sql.decide("merged"),
-}
+          FROM a JOIN a0 ON {same} AND a0.rn = a.rn + 1))""",
+        "joined": f"SELECT p.* EXCLUDE (rule_type, rule_reason, rule_severity, ml, rn, quiet, life), a.baseline FROM p JOIN a USING ({key}, rn) WHERE a.kept",
+        "again": sql.rules("joined", baseline=True),
+        "merged": "SELECT * FROM again UNION ALL BY NAME SELECT *, NULL::DOUBLE AS baseline FROM ruled WHERE rule_type IS NOT NULL",
+        "final": sql.decide("merged"),
+    }
+
+
+_IDLE_US = 30_000_000
+_ADAPTIVE = _adaptive()
 
 
 @check(query(f"SELECT {DETECTION}, baseline FROM final", "ruled", recursive=True, **_ADAPTIVE))
@@ -362,3 +372,9 @@ def detections_adaptive(spark, sf):
 @check(ORACLE["detections_adaptive"])
 def detections_adaptive_split(spark, sf):
     return detect_adaptive(packets(spark, sf), chunk_rows=500).select(*DETECTION_COLUMNS, "baseline")
+
+
+@check(idle_packets_sql(query(f"SELECT {DETECTION}, baseline FROM final", "ruled", recursive=True, **_adaptive("src_ip, life"))))
+def detections_adaptive_idle(spark, sf):
+    """Sources that fall silent for a while, and many that are seen in one burst only."""
+    return detect_adaptive(idle_packets(spark, sf), idle_secs=_IDLE_US // 1_000_000).select(*DETECTION_COLUMNS, "baseline")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetlens.operators.verdict import DETECTION_COLUMNS
-from packetlens.plans.detection import packet_features
+from packetlens.plans.detection import detect, packet_features
 from packetlens.operators.scoring import score_heuristic
 from packetlens.session import shared_dir
 from packetlens.streaming.detect import stream_adaptive, stream_detect, stream_limit_normals
@@ -16,7 +16,7 @@ from packetlens.streaming.flows import stream_flow_sessions, stream_flow_stats,
 from packetlens.streaming.ticks import stream_alert_ticks, stream_ticks
 
 from . import q_detect, q_flows
-from .inputs import packets, packets_of, stored, table
+from .inputs import idle_packets, idle_packets_sql, packets, packets_of, stored, table
 from .registry import ORACLE, check
 from .sql import DETECTION, query
 
@@ -152,3 +152,16 @@ def streamed_normals_limited_in_parts(spark, sf):
 def streamed_detections_adaptive_in_parts(spark, sf):
     scored = score_heuristic(packet_features(packets(spark, sf)))
     return run(spark, stream_adaptive(in_parts(spark, scored))).select(*DETECTION_COLUMNS, "baseline")
+
+
+@check(ORACLE["detections_adaptive_idle"])
+def streamed_detections_adaptive_idle(spark, sf):
+    """In parts, with sources that the stream forgets in between."""
+    scored = score_heuristic(packet_features(idle_packets(spark, sf)))
+    return run(spark, stream_adaptive(in_parts(spark, scored), idle_secs=30)).select(*DETECTION_COLUMNS, "baseline")
+
+
+@check(idle_packets_sql(ORACLE["streamed_normals_limited"]))
+def streamed_normals_limited_idle(spark, sf):
+    verdicts = detect(idle_packets(spark, sf)).select("src_ip", "ts_us", "severity")
+    return run(spark, stream_limit_normals(in_parts(spark, verdicts)))

@@ -6,6 +6,7 @@ Arrow batches and holds one state, never a whole group.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -16,6 +17,19 @@ from ..session import shared_dir
 from .spread import join_keys, positions
 
 
+def kept_times(times: np.ndarray, last: int | None, gap: int) -> np.ndarray:
+    """Places in the sorted `times` of those kept if each kept one is at least `gap` after the one before (`last` before the first).
+
+    One search per kept time, not a step per row.
+    """
+    kept = []
+    at = 0 if last is None else int(np.searchsorted(times, last + gap, "left"))
+    while at < len(times):
+        kept.append(at)
+        at = max(at + 1, int(np.searchsorted(times, times[at] + gap, "left"))) if gap > 0 else at + 1
+    return np.array(kept, dtype=np.int64)
+
+
 def fold_in_order(
     df: DataFrame,
     keys: list[str],

@@ -18,6 +18,7 @@ from ..schemas import FLOW_KEY, NORMAL, SECOND_US, RuleThresholds
 from ..session import shared_dir
 
 NORMAL_GAP_MS = 500
+IDLE_SECS = 3600  # a source without a packet for longer starts with a new baseline
 CHUNK_BLOCK_US = 10 * SECOND_US  # coarse time of a split fold
 
 
@@ -71,6 +72,7 @@ def detect_adaptive(
     gap_ms: int = NORMAL_GAP_MS,
     keep: list[str] = (),
     chunk_rows: int | None = None,
+    idle_secs: int = IDLE_SECS,
     **how,
 ) -> DataFrame:
     """`detect` plus the traffic-spike rule over each source's own baseline: the verdict columns,
@@ -78,7 +80,8 @@ def detect_adaptive(
 
     Row by row per source: a packet spikes against the baseline so far; a packet that stays NORMAL
     is kept if `gap_ms` passed since the source's last kept one, and a kept one moves the baseline.
-    NORMAL packets that are not kept are left out of the result.
+    NORMAL packets that are not kept are left out of the result. A source none of whose packets came through the
+    fold for more than `idle_secs` starts anew, so that streams can forget it.
 
     Only packets no stateless rule matched go through that fold. The volumetric rule matches
     above `dos_rate`, so a source contributes at most dos_rate packets per second however hard
@@ -90,15 +93,17 @@ def detect_adaptive(
     """
     scored = scorer(packet_features(packets, window_secs, **how)).withColumn("_ml", ml_flag())
     ruled = rules(scored, thresholds, window_secs)
-    gap_us, times = gap_ms * 1000, thresholds.spike_multiplier
+    gap_us, idle_us, times = gap_ms * 1000, idle_secs * SECOND_US, thresholds.spike_multiplier
 
     def step(state, ts, rate, flagged):
-        usual, last = state or (0.0, None)
+        usual, last, seen = state or (0.0, None, None)
+        if seen is not None and ts - seen > idle_us:
+            usual, last = 0.0, None
         if flagged or (usual > 0 and rate >= usual * times):
-            return (usual, last), (usual, True)
+            return (usual, last, ts), (usual, True)
         if last is not None and ts - last < gap_us:
-            return (usual, last), (usual, False)
-        return (next_baseline(usual, rate), ts), (usual, True)
+            return (usual, last, ts), (usual, False)
+        return (next_baseline(usual, rate), ts, ts), (usual, True)
 
     carry = list(dict.fromkeys(["src_ip", "ts_us", *_EVIDENCE, *keep]))
     # Packets of one flow and time have the same evidence, so their order does not matter.
@@ -111,9 +116,9 @@ def detect_adaptive(
     if chunk_rows is None:
         folded = fold_in_order(plain, ["src_ip"], order, read, _NORMAL_STATE, step, carry=[*carry, "_ml"])
     else:
-        state = T.StructType([T.StructField("usual", T.DoubleType()), T.StructField("last", T.LongType())])
+        state = T.StructType([T.StructField("usual", T.DoubleType()), *[T.StructField(c, T.LongType()) for c in ("last", "seen")]])
         folded = fold_split(
-            plain, ["src_ip"], slot("ts_us", CHUNK_BLOCK_US), order, read, _NORMAL_STATE, step, state, (0.0, None),
+            plain, ["src_ip"], slot("ts_us", CHUNK_BLOCK_US), order, read, _NORMAL_STATE, step, state, (0.0, None, None),
             chunk_rows, carry=[*carry, "_ml"],
         )
     adaptive = rules(folded.filter("kept"), thresholds, window_secs, baseline="baseline").drop("kept", "_ml")

@@ -14,8 +14,9 @@ from ..operators.features import features
 from ..operators.rules import rules
 from ..operators.scoring import Scorer, score_heuristic
 from ..operators.verdict import decide, ml_flag
-from ..plans.detection import NORMAL_GAP_MS
-from ..schemas import NORMAL, RuleThresholds
+from ..operators.sequential import kept_times
+from ..plans.detection import IDLE_SECS, NORMAL_GAP_MS
+from ..schemas import NORMAL, SECOND_US, RuleThresholds
 from .flows import stream_flow_stats
 
 
@@ -32,31 +33,49 @@ def stream_detect(
 
 
 class _Normals(StatefulProcessor):
-    """State per source: the time of the last kept NORMAL row and, for the detector, its baseline."""
+    """State per source: the times of the last kept NORMAL row and of the last row, and, for the detector, its baseline.
+
+    A source has one timer. It fires `idle_us` after the row that set it; by then the source is either as
+    long without a row, and forgotten, or the timer is set on to its newest row.
+    """
 
     columns = ["ts_us"]
 
-    def __init__(self, gap_us: int):
-        self.gap_us = gap_us
+    def __init__(self, gap_us: int, idle_us: int):
+        self.gap_us, self.idle_us = gap_us, idle_us
 
     def init(self, handle) -> None:
-        self.state = handle.getValueState("state", "last long, usual double")
+        self.handle = handle
+        self.state = handle.getValueState("state", "last long, usual double, seen long")
+
+    def _due_ms(self, seen: int) -> int:
+        # a row of the first whole millisecond after the idle time starts anew
+        return (seen + self.idle_us) // 1000 + 1
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(rows, ignore_index=True).sort_values(self.columns, kind="stable", ignore_index=True)
-        last, usual = self.state.get() if self.state.exists() else (None, 0.0)
-        last, usual, out = self.fold(batch, last, usual)
-        if last is not None:
-            self.state.update((int(last), float(usual)))
+        known = self.state.exists()
+        last, usual, seen = self.state.get() if known else (None, 0.0, None)
+        last, usual, seen, out = self.fold(batch, last, usual, seen)
+        self.state.update((last, float(usual), int(seen)))
+        if not known:
+            self.handle.registerTimer(self._due_ms(int(seen)))
         yield out
 
-    def fold(self, batch, last, usual):
-        keep = []
-        for ts in batch["ts_us"].tolist():
-            fits = last is None or ts - last >= self.gap_us
-            last = ts if fits else last
-            keep.append(fits)
-        return last, usual, batch[keep]
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists():
+            due = self._due_ms(self.state.get()[2])
+            if due <= timerValues.getCurrentWatermarkInMs():
+                self.state.clear()
+            else:
+                self.handle.registerTimer(due)
+        return iter([])
+
+    def fold(self, batch, last, usual, seen):
+        times = batch["ts_us"].to_numpy()
+        kept = kept_times(times, last, self.gap_us)
+        newest = int(times[-1]) if seen is None else max(seen, int(times[-1]))
+        return (int(times[kept[-1]]) if len(kept) else last), usual, newest, batch.iloc[kept]
 
     def close(self) -> None:
         pass
@@ -65,14 +84,17 @@ class _Normals(StatefulProcessor):
 class _Adaptive(_Normals):
     columns = ["ts_us", "dst_ip", "src_port", "dst_port", "protocol", "packet_size", "tcp_flags"]
 
-    def __init__(self, gap_us: int, times: float):
-        super().__init__(gap_us)
+    def __init__(self, gap_us: int, idle_us: int, times: float):
+        super().__init__(gap_us, idle_us)
         self.times = times
 
-    def fold(self, batch, last, usual):
-        seen, keep = [], []
+    def fold(self, batch, last, usual, seen):
+        before, keep = [], []
         for ts, rate, sure in zip(batch["ts_us"].tolist(), batch["packet_rate"].tolist(), batch["sure"].tolist()):
-            seen.append(usual)
+            if seen is not None and ts - seen > self.idle_us:
+                last, usual = None, 0.0
+            seen = ts if seen is None else max(seen, ts)
+            before.append(usual)
             if sure or (usual > 0 and rate >= usual * self.times):
                 keep.append(True)
             elif last is not None and ts - last < self.gap_us:
@@ -80,34 +102,54 @@ class _Adaptive(_Normals):
             else:
                 keep.append(True)
                 last, usual = ts, next_baseline(usual, rate)
-        return last, usual, batch.assign(baseline=seen)[keep]
+        return last, usual, seen, batch.assign(baseline=before)[keep]
+
+
+def timed(stream: DataFrame, watermark_secs: int) -> DataFrame:
+    """The stream with a `ts` column under a watermark: the one it has, or one this late."""
+    if any("spark.watermarkDelayMs" in f.metadata for f in stream.schema.fields):
+        return stream
+    stamped = stream if "ts" in stream.columns else stream.withColumn("ts", F.timestamp_micros("ts_us"))
+    return stamped.withWatermark("ts", f"{watermark_secs} seconds")
 
 
 def _per_source(stream: DataFrame, processor: _Normals, extra: str = "") -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields) + extra
     return stream.groupBy("src_ip").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None"
+        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime"
     )
 
 
-def stream_limit_normals(detections: DataFrame, gap_ms: int = NORMAL_GAP_MS) -> DataFrame:
+def stream_limit_normals(detections: DataFrame, gap_ms: int = NORMAL_GAP_MS, watermark_secs: int = 10) -> DataFrame:
     """Thin a stream of NORMAL verdicts to one per source and gap. Filter alerts to their own sink:
     they never need to pass through the keyed state.
+
+    A source is forgotten once the watermark has passed its last row by the gap, which changes no result.
     """
-    return _per_source(detections.filter(F.col("severity") == NORMAL), _Normals(gap_ms * 1000))
+    quiet = detections.filter(F.col("severity") == NORMAL)
+    held = _per_source(timed(quiet, watermark_secs), _Normals(gap_ms * 1000, gap_ms * 1000))
+    return held.select(*detections.columns)
 
 
 def stream_adaptive(
-    scored: DataFrame, thresholds: RuleThresholds = RuleThresholds(), window_secs: int = 3, gap_ms: int = NORMAL_GAP_MS
+    scored: DataFrame,
+    thresholds: RuleThresholds = RuleThresholds(),
+    window_secs: int = 3,
+    gap_ms: int = NORMAL_GAP_MS,
+    idle_secs: int = IDLE_SECS,
+    watermark_secs: int = 10,
 ) -> DataFrame:
     """The sequential detector over a stream of scored feature rows (a table `stream_flow_stats`
     feeds). Spikes are judged against the source's baseline so far. Packets a stateless rule
-    matches, the bulk of any flood, go around the keyed state.
+    matches, the bulk of any flood, go around the keyed state. A source without a packet in it for more than `idle_secs`
+    starts with a new baseline, as in `detect_adaptive`; its state is dropped when the watermark is that far on.
     """
-    ruled = rules(scored, thresholds, window_secs)
+    columns = scored.columns
+    ruled = rules(timed(scored, watermark_secs), thresholds, window_secs)
     matched = F.col("rule_type").isNotNull()
     plain = ruled.filter(~matched).drop("rule_type", "rule_reason", "rule_severity").withColumn("sure", ml_flag())
-    folded = _per_source(plain, _Adaptive(gap_ms * 1000, thresholds.spike_multiplier), ", baseline double")
+    folded = _per_source(plain, _Adaptive(gap_ms * 1000, idle_secs * SECOND_US, thresholds.spike_multiplier), ", baseline double")
     adaptive = rules(folded, thresholds, window_secs, baseline="baseline").drop("sure")
     certain = ruled.filter(matched).withColumn("baseline", F.lit(None).cast("double"))
-    return decide(certain.unionByName(adaptive))
+    verdicts = decide(certain.unionByName(adaptive))
+    return verdicts if "ts" in columns else verdicts.drop("ts")
