@@ -87,6 +87,20 @@ def unfolded(df: DataFrame, first: str, copies: str, name: str, most: int = 10_0
     return cut.filter(F.col(copies) <= most).union(large).withColumn(name, F.explode(F.sequence(low, high))).drop("_part")
 
 
+_BYTES = np.arange(256)
+#: Each byte, A to Z as a to z.
+LOWER = np.where((_BYTES >= 0x41) & (_BYTES <= 0x5A), _BYTES + 32, _BYTES).astype(np.uint8)
+
+
+def word_slices(texts: list[bytes], inside: np.ndarray, separator: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes in lower case, start and length of each word in them, place of its text); `inside` tells the bytes of words."""
+    raw = np.frombuffer(separator.join(texts) + separator, np.uint8)
+    edges = np.flatnonzero(np.diff(np.r_[False, inside[raw], False]))
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return LOWER[raw], starts, lengths, np.searchsorted(ends, starts, side="right")
+
+
 class Recent(dict):
     """Computed values by key. At `keep` keys the table becomes the old one, from which keys in use come back."""
 

@@ -1,15 +1,15 @@
 """Joins of texts by the Jaccard similarity of their word n-grams, with signature trees.
 
-Two texts are linked if 100 * common >= 85 * joint holds for their sets of 4-word shingles (XXH64, 64 bits). Texts of one
-set are one node from the start. The result is exact: every pair of linked sets ends in one component.
+Two texts are linked if 100 * common >= 85 * joint holds for their sets of 4-word shingles (64 hashed bits of the XXH64 of each
+word). Texts of one set are one node from the start. The result is exact: every pair of linked sets ends in one component.
 
 Which sets meet: shingles have one global order, rare ones first, by a table of counts in `SLOTS` hash slots (any fixed order is
 right; a good one keeps groups small). Linked sets share one of their first size - ceil(0.85 * size) + 1 shingles, so the sets that
 hold such a shingle are a group; groups of the same members are one.
 
-How a group is compared: its sets are the leaves of a signature tree. A leaf has a bitmap of its shingles (`BITS` bits), its size and
-its excess (shingles beyond the bits set); inner nodes hold the OR of the bitmaps, the range of sizes and the
-largest excess. Two trees, or one with itself, are walked together from the top: two nodes can only hold linked sets if the bits
+How a group is compared: its sets are the leaves of a signature tree. A leaf has a bitmap of its shingles (a power of two of bits, at
+least `BITS` and twice its size; one of twice another's width is folded to meet it), its size and its excess (shingles beyond
+the bits set); inner nodes hold the OR of the bitmaps, the range of sizes and the largest excess. Two trees, or one with itself, are walked together from the top: two nodes can only hold linked sets if the bits
 common to both plus the smaller excess reach the overlap that their least sizes need, so most pairs of nodes end a
 walk early. Pairs that are in one component already are passed over as well.
 
@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetlens.llm.common import encoded, record, slices, stored
+from packetlens.llm.common import encoded, record, slices, stored, word_slices
 from packetlens.llm.components import components
 
 BITS = 1024
@@ -49,17 +49,45 @@ STEP = 4096
 MOST, MOST_SHINGLES, MOST_KEYS = 4096, 1 << 21, 1 << 20
 
 
-def shingles(text: bytes, words: int) -> np.ndarray:
-    """The distinct XXH64 (seed 42) hashes of all word shingles, sorted; of a shorter text that of all its words."""
-    found = text.lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    line = b" ".join(found)
-    ends = np.cumsum([len(w) + 1 for w in found]) - 1
-    starts = [0, *(ends[:-1] + 1).tolist()]
-    stops = ends[min(words, len(found)) - 1 :].tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(line[a:b], 42) for a, b in zip(starts, stops, strict=False)], dtype=np.uint64))
+#: White space separates words.
+IN_WORD = ~np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+FACTORS = np.random.default_rng(42).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """The finaliser of MurmurHash3; its constants are fixed values."""
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(33))
+
+
+def shingles(texts: list[bytes], words: int) -> list[np.ndarray]:
+    """For each text the distinct hashes of its word shingles, sorted; a shorter text is one shingle.
+
+    Words are hashed once a batch; a shingle's hash is a sum of its words' hashes, each times the factor of its place.
+    """
+    data, starts, lengths, owner = word_slices(texts, IN_WORD, b" ")
+    ends = np.cumsum(lengths)
+    offsets = np.r_[0, ends].astype(np.int64)
+    kept = data[np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], lengths)]
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(kept)]).dictionary_encode()
+    known = np.array([xxhash.xxh64_intdigest(w, 42) for w in found.dictionary.to_pylist()], np.uint64)
+    hashed = known[found.indices.to_numpy()] if len(starts) else np.zeros(0, np.uint64)
+    n = np.bincount(owner, minlength=len(texts))
+    size = max(0, len(hashed) - words + 1)
+    sums = np.zeros(size, np.uint64)
+    for k in range(words):
+        sums += hashed[k : k + size] * FACTORS[k]
+    sums = _mixed(sums)
+    first = np.cumsum(n) - n
+    out = []
+    for at, count in zip(first.tolist(), n.tolist(), strict=True):
+        if count >= words:
+            out.append(np.unique(sums[at : at + count - words + 1]))
+        else:
+            short = (hashed[at : at + count] * FACTORS[:count]).sum(dtype=np.uint64, keepdims=True)
+            out.append(_mixed(short + np.uint64(count)) if count else short[:0])
+    return out
 
 
 def _slot(hashes: np.ndarray) -> np.ndarray:
@@ -72,7 +100,7 @@ def slot_levels(texts: DataFrame, words: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SLOTS, np.int64)
         for batch in slices(batches):
-            found = [_slot(shingles(t, words)) for t in encoded(batch)]
+            found = [_slot(s) for s in shingles(encoded(batch), words)]
             if found:
                 counts += np.bincount(np.concatenate(found), minlength=SLOTS)
         parts = counts.reshape(-1, PART)
@@ -92,10 +120,11 @@ def slot_levels(texts: DataFrame, words: int) -> np.ndarray:
     return np.round(8 * np.log2(counts + 1.0)).astype(np.int16)
 
 
-def bitmap(hashes: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(hashes >> np.uint64(32)).astype(np.int64) % BITS] = 1
-    return np.packbits(bits, bitorder="little")
+def bitmap(hashes: np.ndarray) -> bytes:
+    width = max(BITS, 1 << (2 * len(hashes) - 1).bit_length()) if len(hashes) else BITS
+    bits = np.zeros(width, np.uint8)
+    bits[(hashes >> np.uint64(32)).astype(np.int64) % width] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
 
 
 def prefix(hashes: np.ndarray, levels: np.ndarray, numerator: int, denominator: int) -> np.ndarray:
@@ -104,33 +133,50 @@ def prefix(hashes: np.ndarray, levels: np.ndarray, numerator: int, denominator:
     return hashes[np.lexsort((hashes, levels[_slot(hashes)]))[:length]]
 
 
-SKETCH = "doc_id long, a long, b long, node long, size long, excess long, bits binary, prefix array<long>"
+SKETCH = "doc_id long, a long, b long, node long, size long, bits binary, prefix array<long>"
 
 
 def _sketched(texts: DataFrame, levels: np.ndarray, words: int, numerator: int, denominator: int) -> DataFrame:
-    schema = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("excess", pa.int64()), ("bits", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("bits", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [shingles(t, words) for t in encoded(batch)]
+            sets = shingles(encoded(batch), words)
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
-            bits = [bitmap(s) for s in sets]
-            excess = [len(s) - int(np.bitwise_count(b).sum()) for s, b in zip(sets, bits, strict=True)]
             first = [prefix(s, levels, numerator, denominator).view(np.int64) if len(s) else [] for s in sets]
-            own = record(schema, [nodes, [len(s) for s in sets], excess, [b.tobytes() for b in bits], first])
+            own = record(schema, [nodes, [len(s) for s in sets], [bitmap(s) for s in sets], first])
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "a", "b")], *own.columns], names=["doc_id", "a", "b", *schema.names])
 
     return texts.mapInArrow(run, SKETCH)
 
 
 class Leaves:
-    """Sets of a block: node, label of the component, size, excess, bitmap, and (where they are at hand) the hashes."""
+    """Sets of a block: node, label of the component, size, bitmaps, and (where they are at hand) the hashes.
 
-    def __init__(self, node, label, size, excess, bits, sets):
-        self.node, self.label, self.size, self.excess, self.bits, self.sets = node, label, size, excess, bits, sets
+    The bitmaps are bytes of any width, or rows of words of one width.
+    """
+
+    def __init__(self, node, label, size, bits, sets):
+        self.node, self.label, self.size, self.bits, self.sets = node, label, size, bits, sets
 
     def take(self, at: np.ndarray) -> Leaves:
-        return Leaves(self.node[at], self.label[at], self.size[at], self.excess[at], self.bits[at], self.sets and [self.sets[i] for i in at.tolist()])
+        bits = self.bits[at] if isinstance(self.bits, np.ndarray) else [self.bits[i] for i in at.tolist()]
+        return Leaves(self.node[at], self.label[at], self.size[at], bits, self.sets and [self.sets[i] for i in at.tolist()])
+
+    def by_width(self) -> dict[int, Leaves]:
+        """The leaves of each width of bitmap, as rows of words."""
+        width = np.array([len(b) for b in self.bits])
+        out = {}
+        for w in np.unique(width).tolist():
+            part = self.take(np.flatnonzero(width == w))
+            part.bits = np.frombuffer(b"".join(part.bits), np.uint64).reshape(len(part.size), -1)
+            out[w] = part.ordered()
+        return out
+
+    def folded(self) -> Leaves:
+        """The same with bitmaps of half the width."""
+        half = self.bits.shape[1] // 2
+        return Leaves(self.node, self.label, self.size, self.bits[:, :half] | self.bits[:, half:], self.sets)
 
     def ordered(self) -> Leaves:
         """Members of a component side by side, components by their least size."""
@@ -140,7 +186,8 @@ class Leaves:
 
     def tree(self) -> list[tuple]:
         """Levels of (bitmap, least and greatest size, largest excess, least and greatest label), leaves first."""
-        out = [(self.bits, self.size, self.size, self.excess, self.label, self.label)]
+        excess = self.size - np.bitwise_count(self.bits).sum(axis=1, dtype=np.int64)
+        out = [(self.bits, self.size, self.size, excess, self.label, self.label)]
         while len(out[-1][1]) > 2 * FAN:
             bits, low, high, excess, first, last = out[-1]
             at = np.arange(0, len(low), FAN)
@@ -197,44 +244,55 @@ def walk(one: list[tuple], other: list[tuple] | None, numerator: int, denominato
         stack.append((max(at - 1, 0), max(to - 1, 0), i[real], j[real]))
 
 
+def _sides(one: Leaves, other: Leaves | None) -> Iterator[tuple[Leaves, Leaves | None]]:
+    """What to walk: linked sets have bitmaps of one width, or one of twice the other's."""
+    mine = one.by_width()
+    theirs = mine if other is None else other.by_width()
+    for width, part in mine.items():
+        if other is None:
+            yield part, None
+        elif width in theirs:
+            yield part, theirs[width]
+        if 2 * width in theirs:
+            yield part, theirs[2 * width].folded()
+        if other is not None and 2 * width in mine and width in theirs:
+            yield mine[2 * width].folded(), theirs[width]
+
+
 def forest(one: Leaves, other: Leaves | None, numerator: int, denominator: int) -> list[tuple[int, int]]:
     """Links between nodes of different components that join all which are linked; labels are numbers from 0.
 
-    Without hashes every pair that the bitmaps let pass counts as linked.
+    Without hashes every pair that the bitmaps let pass counts as linked. The ratio must be over 1 / 2.
     """
-    one = one.ordered()
-    if other is not None:
-        other = other.ordered()
-    two = one if other is None else other
-    root = np.arange(1 + max(int(one.label.max()), int(two.label.max())))
+    root = np.arange(1 + max(int(one.label.max()), -1 if other is None else int(other.label.max())))
     out = []
-    for i, j in walk(one.tree(), None if other is None else two.tree(), numerator, denominator):
-        apart = root[one.label[i]] != root[two.label[j]]
-        for x, y in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
-            a, b = root[one.label[x]], root[two.label[y]]
-            if a == b:
-                continue
-            if one.sets is not None:
-                s, t = one.sets[x], two.sets[y]
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                if common * (numerator + denominator) < numerator * (len(s) + len(t)):
+    for mine, theirs in _sides(one, other):
+        two = mine if theirs is None else theirs
+        for i, j in walk(mine.tree(), None if theirs is None else theirs.tree(), numerator, denominator):
+            apart = root[mine.label[i]] != root[two.label[j]]
+            for x, y in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
+                a, b = root[mine.label[x]], root[two.label[y]]
+                if a == b:
                     continue
-            root[root == b] = a
-            out.append((int(one.node[x]), int(two.node[y])))
+                if mine.sets is not None:
+                    s, t = mine.sets[x], two.sets[y]
+                    common = len(np.intersect1d(s, t, assume_unique=True))
+                    if common * (numerator + denominator) < numerator * (len(s) + len(t)):
+                        continue
+                root[root == b] = a
+                out.append((int(mine.node[x]), int(two.node[y])))
     return out
 
 
 def _compared(blocks: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """Links (u, v) of blocks (g, i, j): a block's own rows with each other if i = j, else those at home with the others."""
     exact = "hashes" in blocks.columns
-    names = ["g", "i", "j", "home", "node", "root", "size", "excess", "bits", *(["hashes"] if exact else [])]
+    names = ["g", "i", "j", "home", "node", "root", "size", "bits", *(["hashes"] if exact else [])]
 
     def links(rows: list[tuple]) -> list[tuple[int, int]]:
-        node, root, size, excess = (np.array([r[k] for r in rows], np.int64) for k in (4, 5, 6, 7))
+        node, root, size = (np.array([r[k] for r in rows], np.int64) for k in (4, 5, 6))
         label = np.unique(root, return_inverse=True)[1]
-        bits = np.frombuffer(b"".join(r[8] for r in rows), np.uint64).reshape(len(rows), -1)
-        sets = [np.frombuffer(r[9], np.uint64) for r in rows] if exact else None
-        leaves = Leaves(node, label, size, excess, bits, sets)
+        leaves = Leaves(node, label, size, [r[7] for r in rows], [np.frombuffer(r[8], np.uint64) for r in rows] if exact else None)
         if rows[0][1] == rows[0][2]:
             return forest(leaves, None, numerator, denominator)
         home = np.array([r[3] for r in rows])
@@ -308,7 +366,7 @@ def _sets(texts: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingles(t, words).tobytes() for t in encoded(batch)], pa.binary())], names=["node", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in shingles(encoded(batch), words)], pa.binary())], names=["node", "hashes"])
 
     found = texts.join(keys, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))).select("node", "text")
     return stored(found.mapInArrow(run, "node long, hashes binary").dropDuplicates(["node"]))
@@ -316,11 +374,13 @@ def _sets(texts: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) ->
 
 def jaccard_components(docs: DataFrame, words: int = 4, numerator: int = 85, denominator: int = 100, most: int = MOST, most_shingles: int = MOST_SHINGLES) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of `docs`: set size and least id reachable over links."""
+    if 2 * numerator <= denominator:
+        raise ValueError("the ratio must be over one half")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.withColumn("a", F.xxhash64("doc_id", "text")).withColumn("b", F.xxhash64(F.lit(1), "text", "doc_id"))
     rows = stored(_sketched(texts, slot_levels(texts, words), words, numerator, denominator))
     nodes = stored(rows.filter("size > 0").dropDuplicates(["node"]))
-    light = nodes.select("node", "size", "excess", "bits")
+    light = nodes.select("node", "size", "bits")
 
     entries = nodes.select("node", F.explode("prefix").alias("token"))
     members = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"), F.min("node").alias("centre")]

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from packetlens.llm.common import encoded, record, slices, stored, unfolded
+from packetlens.llm.common import encoded, record, slices, stored, unfolded, word_slices
 
 POLYNOMIAL = 0xEDB88320
 #: Longer features are cut into rows of so many bytes.
@@ -85,20 +85,12 @@ def crcs(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarra
     return out
 
 
-_BYTES = np.arange(256)
-LOWER = np.where((_BYTES >= 0x41) & (_BYTES <= 0x5A), _BYTES + 32, _BYTES).astype(np.uint8)
 #: Digits, letters and all bytes of characters beyond ASCII.
-IN_WORD = np.isin(_BYTES, np.r_[0x30:0x3A, 0x41:0x5B, 0x61:0x7B, 0x80:0x100])
+IN_WORD = np.isin(np.arange(256), np.r_[0x30:0x3A, 0x41:0x5B, 0x61:0x7B, 0x80:0x100])
 
 
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, start and length of each word in them, its text's place), lower case."""
-    raw = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
-    inside = IN_WORD[raw]
-    edges = np.flatnonzero(np.diff(np.r_[False, inside, False]))
-    starts, lengths = edges[::2], edges[1::2] - edges[::2]
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    return LOWER[raw], starts, lengths, np.searchsorted(ends, starts, side="right")
+    return word_slices(texts, IN_WORD, b"\0")
 
 
 def _runs(data, starts, lengths, owner, k: int) -> Iterator[tuple[np.ndarray, pa.DictionaryArray]]:

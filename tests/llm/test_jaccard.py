@@ -85,21 +85,26 @@ def test_clusters_in_one_task_and_in_chunks(spark, odd, most):
 def test_other_settings_and_empty_tables(spark, empty):
     rows = list(enumerate(clusters(5)))
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    assert rows_of(jaccard.jaccard_components(frame, words=2, numerator=40)) == by_hand(rows, 2, 40)
+    assert rows_of(jaccard.jaccard_components(frame, words=2, numerator=60)) == by_hand(rows, 2, 60)
     assert jaccard.jaccard_components(empty).collect() == []
     assert rows_of(jaccard.jaccard_components(frame.limit(3).selectExpr("doc_id", "' ' AS text"))) == [(i, 0, i) for i in range(3)]
 
 
 def leaves_of(sets):
-    size = np.array([len(s) for s in sets])
-    bits = [jaccard.bitmap(s) for s in sets]
-    excess = size - np.array([int(np.bitwise_count(b).sum()) for b in bits])
-    return jaccard.Leaves(np.arange(len(sets)), np.arange(len(sets)), size, excess, np.stack([b.view(np.uint64) for b in bits]), sets)
+    return jaccard.Leaves(np.arange(len(sets)), np.arange(len(sets)), np.array([len(s) for s in sets]), [jaccard.bitmap(s) for s in sets], sets)
+
+
+def walked(one, other=None):
+    return {
+        (int(mine.node[a]), int((mine if theirs is None else theirs).node[b]))
+        for mine, theirs in jaccard._sides(one, other)
+        for i, j in jaccard.walk(mine.tree(), None if theirs is None else theirs.tree(), 85, 100) for a, b in zip(i, j, strict=True)
+    }
 
 
 def test_walk_loses_no_link_and_prunes():
     rng = np.random.default_rng(4)
-    pools = [np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64)) for _ in range(30)]
+    pools = [np.unique(rng.integers(0, 1 << 63, int(n), dtype=np.uint64)) for n in rng.choice([20, 300, 540, 1080], 30)]
     sets = [np.sort(rng.choice(p, int(rng.integers(len(p) * 8 // 10, len(p) + 1)), replace=False)) for p in pools for _ in range(20)]
     sets += [np.unique(rng.integers(0, 1 << 63, 3000, dtype=np.uint64)) for _ in range(5)]
     linked = set()
@@ -109,13 +114,11 @@ def test_walk_loses_no_link_and_prunes():
             linked.add((i, j))
     assert len(linked) > 300
     all_leaves = leaves_of(sets)
-    tree = all_leaves.tree()
-    assert len(tree) > 2
-    met = {(int(a), int(b)) for i, j in jaccard.walk(tree, None, 85, 100) for a, b in zip(i, j, strict=True)}
+    assert len({len(b) for b in all_leaves.bits}) > 3 and max(len(part.tree()) for part in all_leaves.by_width().values()) > 2
+    met = {tuple(sorted(p)) for p in walked(all_leaves)}
     assert linked <= met and len(met) < len(sets) ** 2 / 20
     one, two = all_leaves.take(np.arange(0, 300)), all_leaves.take(np.arange(300, len(sets)))
-    across = {(int(one.node[a]), int(two.node[b])) for i, j in jaccard.walk(one.tree(), two.tree(), 85, 100) for a, b in zip(i, j, strict=True)}
-    assert {(i, j) for i, j in linked if i < 300 <= j} <= across
+    assert {(i, j) for i, j in linked if i < 300 <= j} <= walked(one, two)
     found = jaccard.forest(all_leaves, None, 85, 100)
     assert {tuple(sorted(p)) for p in found} <= linked
     root = list(range(len(sets)))
@@ -126,3 +129,13 @@ def test_walk_loses_no_link_and_prunes():
             root = [a if r == b else r for r in root]
         merged = len(set(before)) - len(set(root))
         assert merged == (len(found) if links is found else 0)
+
+
+def test_shingles_of_batches():
+    texts = [b"", b" \t", b"One two", b"one TWO three four", b"one two three four five one two three four", "Größe 漢字 a b c".encode(), b"w " * 100_000]
+    found = jaccard.shingles(texts, 4)
+    assert [len(s) for s in found] == [0, 0, 1, 1, 5, 2, 1]
+    for text, own in zip(texts, found, strict=True):
+        assert jaccard.shingles([text], 4)[0].tolist() == own.tolist()
+    assert set(found[3].tolist()) < set(found[4].tolist()) and jaccard.shingles([], 4) == []
+    assert jaccard.shingles([b"b a", b"a b", b"a", b"a a"], 4) != jaccard.shingles([b"a b"] * 4, 4)
