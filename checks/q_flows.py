@@ -48,6 +48,12 @@ def flow_statistics_range(spark, sf):
     return flow_stats(packets(spark, sf), method="range")
 
 
+@check(query("SELECT * FROM stats", "stats"))
+def flow_statistics_slots(spark, sf):
+    """Sources with over 1,000 packets in a block are worked on in slots of 100 ms."""
+    return flow_stats(packets(spark, sf), most_rows=1000)
+
+
 def _islands(keys: str, idle: int = 9) -> dict[str, str]:
     return {
         "gaps": f"SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY {keys} ORDER BY ts_us) <= {idle * 1000000} THEN 0 ELSE 1 END AS fresh FROM packets",

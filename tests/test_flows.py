@@ -3,7 +3,7 @@ from helpers import START, packet, packets, random_packets, table, window_stats
 from pyspark.sql import functions as F
 
 from packetlens.operators import flowtable as ft
-from packetlens.operators.flows import flow_first_seen, flow_sessions, flow_stats, source_sessions, source_window
+from packetlens.operators.flows import flow_first_seen, flow_sessions, flow_stats, flow_window, source_sessions, source_window
 from packetlens.operators.ratecap import capture_counters, rate_cap
 from packetlens.operators.spread import positions, take_first
 
@@ -18,6 +18,29 @@ def test_sliding_statistics_match_brute_force(spark, method, block):
     assert table(flow_stats(packets(spark, rows), method=method, block_secs=block), *KEY, *STATS) == want
 
 
+@pytest.mark.parametrize("method,most,slot,quiet", [("sweep", 0, 100_000, 0), ("sweep", 40, 700_000, 0), ("sweep", 0, 9_000_000, 0), ("range", 100, 100_000, 20), ("range", 30, 300_000, 50)])
+def test_hot_sources_in_slots_match_brute_force(spark, method, most, slot, quiet):
+    rows = [*random_packets(400), *[packet(ts=i // 3, dport=80 + i % 2, flags=2) for i in range(40)]]
+    rows.append((None, None, 5, 80, 6, 100, 2, START + 29_999_999))
+    how = {"method": method, "most_rows": most, "slot_us": slot, "quiet_rows": quiet, "block_secs": 10}
+    want = sorted((tuple(r[c] for c in KEY + STATS) for r in window_stats(rows)), key=str)
+    frame = packets(spark, rows)
+    assert sorted((tuple(r) for r in flow_stats(frame, **how).select(*KEY, *STATS).collect()), key=str) == want
+    assert sorted((tuple(r) for r in source_window(frame, **how).select(*KEY, *STATS[:3]).collect()), key=str) == [r[:-2] for r in want]
+    assert sorted((tuple(r) for r in flow_window(frame, **how).select(*KEY, *STATS[3:]).collect()), key=str) == sorted(((*r[:8], *r[11:]) for r in want), key=str)
+
+
+def test_a_hot_source_spreads_over_all_tasks(spark):
+    rows = [packet(ts=i * 1000, dport=80 + i % 7) for i in range(18_000)] + [packet(src=2 + i, ts=i) for i in range(2_000)]
+    found = flow_stats(packets(spark, rows), most_rows=1000, block_secs=30)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        of_hot = found.filter("src_ip = 1").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(of_hot) >= int(spark.conf.get("spark.sql.shuffle.partitions")) and max(r["count"] for r in of_hot) < 9_000
+
+
 def test_other_window_length(spark):
     rows = random_packets(300, seed=3)
     want = sorted(tuple(r[c] for c in KEY + STATS) for r in window_stats(rows, 7_000_000))
@@ -37,8 +60,11 @@ def test_rate_and_mean_size(spark):
 
 
 def test_one_shuffle_of_the_packets(spark):
-    plan = flow_stats(packets(spark, random_packets(10), 1))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("hashpartitioning(src_ip") == 1
+    # one exchange for the sources that fit a task; what the others need does not read it
+    frame = flow_stats(packets(spark, random_packets(10), 1))
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("REPARTITION_BY_COL") == 1 and "SortMergeJoin" not in plan
 
 
 def test_idle_edge_of_sessions(spark):
