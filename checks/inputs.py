@@ -78,9 +78,11 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packets_of(table(spark, sf_dir, "lineitem"))
 
 
-# Packets in four bursts with silence in between, a ninth of them from many short-lived senders.
+# Packets in four bursts with silence in between, a ninth of them from many short-lived senders, some of a protocol that
+# the filter drops.
 _IDLE = {
     "src_ip": "CAST(CASE WHEN packet_size % 9 = 0 THEN src_ip + 65536 * (1 + ts_us % 97) ELSE src_ip END AS BIGINT)",
+    "protocol": "CAST(CASE WHEN packet_size % 13 = 5 THEN 47 ELSE protocol END AS INT)",
     "ts_us": "CAST(ts_us + ({ts} - 113594004) % 4 * 100000000 AS BIGINT)",
 }
 

@@ -9,7 +9,7 @@ from packetlens.operators import monitor as m
 from packetlens.plans.detection import detect
 from packetlens.plans.ticks import system_ticks
 
-from .inputs import packets
+from .inputs import idle_packets, idle_packets_sql, packets
 from .registry import check
 from .sql import DETECTION, fixed, query
 
@@ -172,6 +172,30 @@ def system_tick_table(spark, sf):
     return _system(spark, sf)
 
 
+# All seconds from the first packet to the last, also those without any.
+_EVERY = """SELECT sec, coalesce(packets, 0)::DOUBLE AS packets_per_sec, coalesce(bytes, 0)::DOUBLE AS bytes_per_sec,
+    CAST(sum(coalesce(packets, 0)) OVER w AS BIGINT) AS total_packets, CAST(sum(greatest(0, coalesce(kept, 0) - 1000)) OVER w AS BIGINT) AS dropped_packets,
+    CAST(sum(coalesce(suspicious, 0)) OVER w AS BIGINT) AS alerts_suspicious, CAST(sum(coalesce(attack, 0)) OVER w AS BIGINT) AS alerts_attack,
+    CAST(sum(coalesce(suspicious, 0) + coalesce(attack, 0)) OVER w AS BIGINT) AS total_alerts, coalesce(active_flows, 0) AS active_flows,
+    last_value(latency_avg_ns IGNORE NULLS) OVER w AS latency_avg_ns, last_value(latency_p99_ns IGNORE NULLS) OVER w AS latency_p99_ns
+  FROM (SELECT unnest(generate_series(min(sec), max(sec))) AS sec FROM thru) LEFT JOIN thru USING (sec) LEFT JOIN c USING (sec) LEFT JOIN act USING (sec)
+    LEFT JOIN lat USING (sec) LEFT JOIN (SELECT ts_us // 1000000 AS sec, count(*) AS kept FROM packets WHERE protocol IN (1, 6, 17) GROUP BY 1) k USING (sec)
+  WINDOW w AS (ORDER BY sec ROWS UNBOUNDED PRECEDING)"""
+_ACTIVE_IDLE = _ACTIVE | {"act": """SELECT sec, count(*) AS active_flows FROM
+      (SELECT DISTINCT src_ip, dst_ip, src_port, dst_port, protocol, sec + unnest(generate_series(0, 8)) AS sec FROM fs) GROUP BY 1"""}
+
+
+def _idle_latencies(spark, sf):
+    return idle_packets(spark, sf).selectExpr(f"{_DETECTED} AS detect_us", "ts_us", "src_ip", "dst_port")
+
+
+@check(idle_packets_sql(query(_EVERY, "thru", "det", c=_COUNTS, **_ACTIVE_IDLE, **_LATENCY)))
+def system_ticks_idle(spark, sf):
+    """With idle seconds, and protocols that the filter drops."""
+    p = idle_packets(spark, sf)
+    return system_ticks(p, detect(p), _idle_latencies(spark, sf), cap=1000)
+
+
 def _band(x: str, lo: float, hi: float) -> str:
     return f"CASE WHEN {x} < {lo} THEN 'good' WHEN {x} < {hi} THEN 'fair' ELSE 'high' END"
 

@@ -112,40 +112,74 @@ def hosts_tracked(detections: DataFrame, approximate: bool = False) -> DataFrame
     return alerts(detections).agg(count(F.col("src_ip")).alias("hosts"))
 
 
-def latency_summary(df: DataFrame, last_n: int = 10_000, q: float = 0.99, detected: str = "detect_us") -> DataFrame:
-    """Mean and nearest-rank quantile of detection latency over the newest `last_n` detections."""
-    rest = [c for c in df.columns if c != detected]
-    newest = take_first(df, last_n, -slot(detected, SECOND_US), [F.col(detected).desc(), *rest])
-    latency = (F.col(detected) - F.col("ts_us")) * 1000
-    return newest.select(latency.alias("latency_ns")).agg(
-        F.count(F.lit(1)).alias("samples"),
-        F.avg("latency_ns").alias("latency_avg_ns"),
-        F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY latency_ns)").cast("double").alias("latency_p99_ns"),
+def _newest(df: DataFrame, last_n: int, detected: str, key: Column) -> DataFrame:
+    """The newest `last_n` rows of each `key` and some more, as (key, at, ts_us, n): equal times are one row with a count.
+
+    Counts by millisecond, combined map-side, tell the millisecond in which a key's newest rows start; older rows
+    are dropped before any are shuffled. The cuts are one row for each key with more than `last_n` rows.
+    """
+    rows = df.select(key.alias("key"), F.col(detected).alias("at"), "ts_us")
+    fine = slot("at", 1000).alias("ms")
+    counts = rows.groupBy("key", fine).agg(F.count(F.lit(1)).alias("n"))
+    newer = F.coalesce(F.sum("n").over(W.partitionBy("key").orderBy(F.col("ms").desc()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    cuts = counts.withColumn("newer", newer).groupBy("key").agg(F.min(F.when(F.col("newer") < last_n, F.col("ms"))).alias("cut"), F.sum("n").alias("all"))
+    cuts = F.broadcast(cuts.filter(F.col("all") > last_n).select(F.col("key").alias("_key"), "cut"))
+    near = rows.join(cuts, F.col("key").eqNullSafe(F.col("_key")), "left").filter(F.col("cut").isNull() | (slot("at", 1000) >= F.col("cut")))
+    return near.groupBy("key", "at", "ts_us").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _rank(values: DataFrame, keys: list[str], q: float) -> DataFrame:
+    """Mean and nearest-rank quantile of `latency_ns`, each value `n` times, by key."""
+    counts = values.groupBy(*keys, "latency_ns").agg(F.sum("n").alias("n"))
+    over = W.partitionBy(*keys)
+    so_far = F.sum("n").over(over.orderBy("latency_ns").rowsBetween(W.unboundedPreceding, W.currentRow))
+    ranked = counts.withColumns({"so_far": so_far, "all": F.sum("n").over(over)})
+    reached = F.when(F.col("so_far") >= F.ceil(F.lit(q) * F.col("all")), F.col("latency_ns"))
+    return ranked.groupBy(*keys).agg(
+        F.sum("n").alias("samples"),
+        (F.sum(F.col("n") * F.col("latency_ns")) / F.sum("n")).alias("latency_avg_ns"),
+        F.min(reached).cast("double").alias("latency_p99_ns"),
     )
 
 
+def latency_summary(df: DataFrame, last_n: int = 10_000, q: float = 0.99, detected: str = "detect_us") -> DataFrame:
+    """Mean and nearest-rank quantile of detection latency over the newest `last_n` detections, of one time those captured first.
+
+    Counts by second and millisecond cut the input down to a few more rows than that before they meet in one task.
+    """
+    sized = df.groupBy(slot(detected, SECOND_US).alias("sec")).agg(F.count(F.lit(1)).alias("n"))
+    newer = F.coalesce(F.sum("n").over(W.orderBy(F.col("sec").desc()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    first = sized.withColumn("newer", newer).filter(F.col("newer") < last_n).agg(F.min("sec")).scalar()
+    near = _newest(df.filter(slot(detected, SECOND_US) >= first), last_n, detected, F.lit(0))
+    before = F.coalesce(F.sum("n").over(W.orderBy(F.col("at").desc(), "ts_us").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    kept = near.withColumn("n", F.least(F.col("n"), last_n - before)).filter("n > 0")
+    found = _rank(kept.select(((F.col("at") - F.col("ts_us")) * 1000).alias("latency_ns"), "n"), [], q)
+    return found.select(F.coalesce("samples", F.lit(0)).alias("samples"), "latency_avg_ns", "latency_p99_ns")
+
+
 def latency_ticks(df: DataFrame, last_n: int = 10_000, q: float = 0.99, detected: str = "detect_us") -> DataFrame:
-    """Per second: latency over the newest `last_n` detections up to its end.
+    """Per second: latency over the newest `last_n` detections up to its end, of one time those captured last.
 
-    Detections get exact positions; ticks and detections then meet by equal position slots of
-    `last_n` (a tick reaches into two at most), never by an open range.
+    A second sends on its newest `last_n` rows at most (and those of one millisecond). Their positions count
+    back from the number of detections up to the second's end; ticks and detections then meet by equal
+    position slots of `last_n` (a tick reaches into two at most), never by an open range.
     """
-    rest = [c for c in df.columns if c != detected]
-    numbered = positions(df, [], second(detected), [detected, *rest], "pos").select(
-        "pos", ((F.col(detected) - F.col("ts_us")) * 1000).alias("latency_ns"), second(detected).alias("sec")
-    )
-    ticks = numbered.groupBy("sec").agg(F.max("pos").alias("hi")).withColumn(
-        "lo", F.greatest(F.lit(1), F.col("hi") - (last_n - 1))
-    )
-    reach = ticks.withColumn(
-        "part", F.explode(F.sequence(F.expr(f"(lo - 1) div {last_n}"), F.expr(f"(hi - 1) div {last_n}")))
-    )
-    parts = numbered.select("pos", "latency_ns", F.expr(f"(pos - 1) div {last_n}").alias("part"))
-    met = reach.join(parts, "part").filter(F.col("pos").between(F.col("lo"), F.col("hi")))
-    return met.groupBy("sec").agg(
-        F.avg("latency_ns").alias("latency_avg_ns"),
-        F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY latency_ns)").cast("double").alias("latency_p99_ns"),
-    )
+    totals = df.groupBy(second(detected).alias("sec")).agg(F.count(F.lit(1)).alias("n")).select("sec", _so_far("n").alias("hi"))
+    newer = W.partitionBy("key").orderBy(F.col("at").desc(), F.col("ts_us").desc()).rowsBetween(W.unboundedPreceding, -1)
+    near = _newest(df, last_n, detected, second(detected)).withColumn("newer", F.coalesce(F.sum("n").over(newer), F.lit(0)))
+    near = near.withColumn("n", F.least(F.col("n"), last_n - F.col("newer"))).filter("n > 0")
+    placed = near.join(totals, F.col("key") == F.col("sec")).withColumn("last", F.col("hi") - F.col("newer")).select(
+        ((F.col("at") - F.col("ts_us")) * 1000).alias("latency_ns"), (F.col("last") - F.col("n") + 1).alias("first"), "last")
+    ticks = totals.withColumn("lo", F.greatest(F.lit(1), F.col("hi") - (last_n - 1)))
+
+    def parts(low: str, high: str) -> Column:
+        return F.explode(F.sequence(F.expr(f"({low} - 1) div {last_n}"), F.expr(f"({high} - 1) div {last_n}"))).alias("part")
+
+    met = ticks.select("*", parts("lo", "hi")).join(placed.select("*", parts("first", "last")), "part")
+    # a row that reaches over the border of two slots counts in each with what lies there
+    low = F.greatest("first", "lo", F.col("part") * last_n + 1)
+    high = F.least("last", "hi", (F.col("part") + 1) * last_n)
+    return _rank(met.select("sec", "latency_ns", (high - low + 1).alias("n")).filter("n > 0"), ["sec"], q).drop("samples")
 
 
 def active_flows(packets: DataFrame, idle_secs: int = 9, changes: bool = False) -> DataFrame:
