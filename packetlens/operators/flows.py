@@ -149,7 +149,8 @@ def _windowed(df, window_secs, method, block_secs, source, flow, most_rows, slot
     window_us, block_us = window_secs * SECOND_US, max(block_secs, window_secs) * SECOND_US
     rows = time_blocks(df.withColumn("_syn", is_syn().cast("int")), block_us, window_us)
     key, payload = ["src_ip", "_block"], df.columns
-    counted = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
+    # a block's own rows; the copies of its history are a window's worth more
+    counted = df.groupBy("src_ip", slot("ts_us", block_us).alias("_block")).agg(F.count(F.lit(1)).alias("_rows"))
 
     def over(limit: int) -> DataFrame:
         # at most one row for each `limit` rows of packets
