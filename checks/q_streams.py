@@ -13,9 +13,10 @@ from packetlens.operators.scoring import score_heuristic
 from packetlens.session import shared_dir
 from packetlens.streaming.detect import stream_adaptive, stream_detect, stream_limit_normals
 from packetlens.streaming.flows import stream_flow_sessions, stream_flow_stats, stream_source_windows
-from packetlens.streaming.ticks import stream_alert_ticks, stream_ticks
+from packetlens.streaming.flowtable import CurrentFlows, write_current_flows
+from packetlens.streaming.ticks import stream_alert_ticks, stream_system_ticks, stream_ticks
 
-from . import q_detect, q_flows
+from . import q_detect, q_flows, q_monitor
 from .inputs import idle_packets, idle_packets_sql, packets, packets_of, stored, table
 from .registry import ORACLE, check
 from .sql import DETECTION, query
@@ -165,3 +166,53 @@ def streamed_detections_adaptive_idle(spark, sf):
 def streamed_normals_limited_idle(spark, sf):
     verdicts = detect(idle_packets(spark, sf)).select("src_ip", "ts_us", "severity")
     return run(spark, stream_limit_normals(in_parts(spark, verdicts)))
+
+
+def _idle_parts(spark, sf):
+    return in_parts(spark, idle_packets(spark, sf).withColumn("ts", F.timestamp_micros("ts_us")))
+
+
+@check(ORACLE["current_flow_table"])
+def streamed_current_flows(spark, sf):
+    """Four micro-batches merged into the table, each of them twice, as after a failure."""
+    home = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    held = CurrentFlows(f"{home}/flows", ttl_secs=None)
+
+    def twice(stats, batch_id):
+        arrived = spark.read.parquet(stored(stats))
+        held.merge(arrived, batch_id)
+        held.merge(arrived, batch_id)
+
+    stats = in_parts(spark, q_flows._stats(spark, sf).withColumn("ts_us", F.col("last_seen"))).drop("ts_us")
+    writer = stats.writeStream.option("checkpointLocation", f"{home}/state").trigger(availableNow=True)
+    writer.foreachBatch(twice).start().awaitTermination()
+    return held.read(spark)
+
+
+@check(idle_packets_sql(ORACLE["flows_unexpired"]))
+def streamed_flows_unexpired(spark, sf):
+    """Sliding statistics as a stream, kept as the table of flows of the last 30 s."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    home = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    held = CurrentFlows(f"{home}/flows", ttl_secs=30)
+    stats = stream_flow_stats(_idle_parts(spark, sf)).select(*q_flows._CURRENT)
+    write_current_flows(stats, held, f"{home}/state", availableNow=True).awaitTermination()
+    return held.read(spark)
+
+
+def _ticks_cut(sql: str) -> str:
+    return f"SELECT * FROM ({sql}) WHERE (sec + 1) * 1000000 <= (SELECT max(sec) FROM ({sql})) * 1000000 - 10000000"
+
+
+def _closed(ticks: DataFrame, p: DataFrame) -> DataFrame:
+    """The seconds that both engines count as over: those of ten whole seconds before the last."""
+    return ticks.filter(F.col("sec") + 1 <= p.agg(F.max(F.expr("ts_us div 1000000"))).scalar() - 10)
+
+
+@check(_ticks_cut(ORACLE["system_ticks_idle"]))
+def streamed_system_ticks(spark, sf):
+    p = idle_packets(spark, sf)
+    stamped = F.timestamp_micros("ts_us")
+    verdicts = in_parts(spark, detect(p).select("ts_us", "severity").withColumn("ts", stamped))
+    late = in_parts(spark, q_monitor._idle_latencies(spark, sf).select("detect_us", "ts_us"))
+    return _closed(run(spark, stream_system_ticks(_idle_parts(spark, sf), verdicts, late, cap=1000)), p)

@@ -4,14 +4,19 @@ import pytest
 from helpers import START, packet, packets, random_packets, table, window_stats
 from pyspark.sql import functions as F
 
-from packetlens.operators.flows import flow_sessions
+from packetlens.operators.flows import flow_sessions, flow_stats
+from packetlens.operators.flowtable import current_flows, expire_flows
+from packetlens.operators.monitor import latency_ticks
 from packetlens.operators.scoring import score_heuristic
 from packetlens.operators.verdict import DETECTION_COLUMNS
 from packetlens.plans.detection import detect, detect_adaptive, limit_normals, packet_features
+from packetlens.plans.ticks import system_ticks
+from packetlens.schemas import FLOW_KEY
 from packetlens.sources.sinks import write_detections
 from packetlens.streaming.detect import stream_adaptive, stream_detect, stream_limit_normals
 from packetlens.streaming.flows import stream_flow_sessions, stream_flow_stats, stream_source_windows
-from packetlens.streaming.ticks import stream_alert_ticks, stream_ticks
+from packetlens.streaming.flowtable import CurrentFlows
+from packetlens.streaming.ticks import stream_alert_ticks, stream_system_ticks, stream_ticks
 
 KEY = ["src_ip", "dst_ip", "src_port", "dst_port", "protocol", "packet_size", "tcp_flags", "ts_us"]
 STATS = ["src_total_packets", "syn_count", "src_unique_dst_ports", "packet_count", "byte_count"]
@@ -93,3 +98,79 @@ def test_windows_sessions_and_ticks(spark, tmp_path):
     assert windows.agg(F.sum("packets")).first()[0] == 3 * len(rows)
     alerts = finish(spark, tmp_path, stream_alert_ticks(batches(spark, tmp_path, detect(whole).select("ts_us", "severity"))), "complete")
     assert alerts.agg(F.sum("attack")).first()[0] == detect(whole).filter("severity = 2").count()
+
+
+def rows_of_state(query, operator=0):
+    return [p["stateOperators"][operator]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+
+
+def started(spark, tmp_path, stream):
+    """The stream run to its end in memory of its progress, and what it wrote."""
+    out, state = (str(tmp_path / uuid.uuid4().hex) for _ in range(2))
+    query = write_detections(stream, out, state, availableNow=True)
+    query.awaitTermination()
+    return query, spark.read.schema(stream.schema).parquet(out)
+
+
+def test_idle_sources_are_forgotten(spark, tmp_path):
+    # source 1 is seen all the time, 2 falls silent and comes back, 30 others are seen once
+    often = [packet(src=1, ts=i * 1_000_000) for i in range(100)]
+    once = [packet(src=100 + i, ts=i * 100_000) for i in range(30)]
+    back = [packet(src=2, ts=t) for t in (0, 200_000, 1_000_000, 90_000_000, 90_400_000)]
+    rows = sorted([*often, *once, *back], key=lambda r: r[7])
+    verdicts = packets(spark, rows, 1).select("src_ip", "ts_us", F.lit(0).alias("severity"))
+    parts = [verdicts.filter(F.expr(f"(ts_us - {START}) div 25000000 = {k}")) for k in range(4)]
+    query, got = started(spark, tmp_path, stream_limit_normals(batches(spark, tmp_path, *parts)))
+    assert table(got, "src_ip", "ts_us") == table(limit_normals(verdicts), "src_ip", "ts_us")
+    assert max(rows_of_state(query)) >= 32 and rows_of_state(query)[-1] <= 3
+    scored = score_heuristic(packet_features(packets(spark, rows, 1))).persist()
+    parts = [scored.filter(F.expr(f"(ts_us - {START}) div 25000000 = {k}")) for k in range(4)]
+    query, got = started(spark, tmp_path, stream_adaptive(batches(spark, tmp_path, *parts), idle_secs=20))
+    want = detect_adaptive(packets(spark, rows), idle_secs=20)
+    assert table(got, *DETECTION_COLUMNS, "baseline") == table(want, *DETECTION_COLUMNS, "baseline")
+    assert {r.baseline for r in got.filter(f"src_ip = 2 and ts_us = {START + 90_000_000}").collect()} == {0.0}
+    assert max(rows_of_state(query)) >= 32 and rows_of_state(query)[-1] <= 3
+
+
+def test_current_flows_over_batches_replays_and_expiry(spark, tmp_path):
+    rows = random_packets(200, seed=15)
+    stats = flow_stats(packets(spark, rows)).select(*FLOW_KEY, "last_seen", "packet_count").persist()
+    want = current_flows(stats)
+    for ttl in (None, 30, 5):
+        held = CurrentFlows(str(tmp_path / f"flows{ttl}"), ttl)
+        for k in range(5):
+            part = stats.filter(F.expr(f"(last_seen - {START}) div 14000000 = {k}"))
+            held.merge(part, k)
+            if k == 3:  # the batch before was written, its end was not noticed
+                held.merge(part, k)
+            assert held.version(spark) == k
+        kept = want if ttl is None else expire_flows(want, want.agg(F.max("last_seen")).first()[0], ttl)
+        columns = [*FLOW_KEY, "last_seen", "packet_count"]
+        assert table(held.read(spark), *columns) == table(kept, *columns)
+    with pytest.raises(ValueError):
+        CurrentFlows("x", keep=1)
+
+
+@pytest.mark.parametrize("last_n", [10_000, 25])
+def test_system_ticks_as_a_stream(spark, tmp_path, last_n):
+    gap = [packet(ts=t, dport=9, proto=p) for t, p in [(75_000_000, 6), (75_000_001, 47), (95_000_000, 6)]]
+    rows = [*random_packets(300, seed=16), *gap]
+    whole = packets(spark, rows)
+    verdicts = detect(whole).select("ts_us", "severity").persist()
+    late = whole.selectExpr("ts_us + 1 + packet_size % 50 AS detect_us", "ts_us").persist()
+
+    def parts(df):
+        return [df.filter(F.expr(f"(ts_us - {START}) div 25000000 = {k}")) for k in range(4)]
+
+    stream = stream_system_ticks(
+        batches(spark, tmp_path, *parts(whole)), batches(spark, tmp_path, *parts(verdicts)), batches(spark, tmp_path, *parts(late)),
+        cap=3, idle_secs=4, last_n=last_n)
+    got = finish(spark, tmp_path, stream)
+    until = START // 1_000_000 + 85
+    ticks = system_ticks(whole, verdicts, None, cap=3, idle_secs=4).join(latency_ticks(late, last_n), "sec", "left")
+    columns = ["sec", "packets_per_sec", "bytes_per_sec", "total_packets", "dropped_packets", "alerts_suspicious", "alerts_attack", "total_alerts", "active_flows"]
+    assert table(got, *columns) == table(ticks.filter(F.col("sec") < until), *columns)
+    assert got.count() == 85 and got.filter("latency_p99_ns is null").count() == 0
+    measured = [(r.sec, r.latency_avg_ns, r.latency_p99_ns) for r in ticks.filter(F.col("sec") < until).collect() if r.latency_avg_ns]
+    streamed = {r.sec: (r.latency_avg_ns, r.latency_p99_ns) for r in got.collect()}
+    assert all(streamed[sec] == pytest.approx((avg, p99)) for sec, avg, p99 in measured) and len(measured) > 50
