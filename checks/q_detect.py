@@ -89,15 +89,18 @@ def _fit(n: int, where: str = "true") -> dict[str, str]:
     }
 
 
-def _scaled_sql(mode: str, ready: str) -> str:
+def _scaled_sql(mode: str, ready: str, **fit: str) -> str:
+    """The scaled rows; the fit, one row, is a scalar subquery."""
     out = []
     for c in MODEL_FEATURES:
         if mode == "minmax":
-            v = f"CASE WHEN {c}_hi - {c}_lo < 1e-9 THEN 0 ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, (f.{c} - {c}_lo) / ({c}_hi - {c}_lo))) END"
+            v = f"CASE WHEN p.{c}_hi - p.{c}_lo < 1e-9 THEN 0 ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, (f.{c} - p.{c}_lo) / (p.{c}_hi - p.{c}_lo))) END"
         else:
-            v = f"CASE WHEN {c}_sd < 1e-9 THEN 0 ELSE (f.{c} - {c}_mean) / {c}_sd END"
+            v = f"CASE WHEN p.{c}_sd < 1e-9 THEN 0 ELSE (f.{c} - p.{c}_mean) / p.{c}_sd END"
         out.append(f"round(CASE WHEN {ready} THEN {v} ELSE f.{c} END, 6) AS {c}")
-    return ", ".join(out)
+    rows = "(SELECT *, (SELECT fit FROM fit) AS p FROM feats) f"
+    whole = query(f"SELECT {_FB}, {', '.join(out)}, {_DERIVED} FROM {rows}", "feats", **fit)
+    return whole.replace("feats AS (", "feats AS MATERIALIZED (").replace("fit AS (", "fit AS MATERIALIZED (")
 
 
 _ROW = "(" + ", ".join(f"f.{c}" for c in _ORDER) + ")"
@@ -109,21 +112,19 @@ def _rounded(df):
     return df.select(*_KEY, *[F.round(c, 6).alias(c) for c in MODEL_FEATURES], *DERIVED_FEATURES)
 
 
-@check(query(f"SELECT {_FB}, {_scaled_sql('minmax', 'n >= 200')}, {_DERIVED} FROM feats f, fit", "feats", **_fit(200)))
+@check(_scaled_sql("minmax", "p.n >= 200", **_fit(200)))
 def scaled_minmax(spark, sf):
     rows = _features(spark, sf)
     return _rounded(apply_scaler(rows, fit_first(packets(spark, sf), _ORDER), "minmax"))
 
 
-@check(query(f"SELECT {_FB}, {_scaled_sql('zscore', 'n >= 200')}, {_DERIVED} FROM feats f, fit", "feats", **_fit(200)))
+@check(_scaled_sql("zscore", "p.n >= 200", **_fit(200)))
 def scaled_zscore(spark, sf):
     rows = _features(spark, sf)
     return _rounded(apply_scaler(rows, fit_first(packets(spark, sf), _ORDER), "zscore"))
 
 
-@check(query(
-    f"SELECT {_FB}, {_scaled_sql('minmax', f'n >= 200 AND {_ROW} >= last')}, {_DERIVED} FROM feats f, fit", "feats", **_fit(200)
-))
+@check(_scaled_sql("minmax", f"p.n >= 200 AND {_ROW} >= p.last", **_fit(200)))
 def scaled_after_warmup(spark, sf):
     return _rounded(fit_transform(_features(spark, sf), _ORDER, stats=fit_first(packets(spark, sf), _ORDER)))
 
@@ -132,7 +133,7 @@ _LATER_US = 1704067220000000
 _LATER = f"ts_us >= {_LATER_US}"
 
 
-@check(query(f"SELECT {_FB}, {_scaled_sql('zscore', 'n >= 300')}, {_DERIVED} FROM feats f, fit", "feats", **_fit(300, _LATER)))
+@check(_scaled_sql("zscore", "p.n >= 300", **_fit(300, _LATER)))
 def scaled_recalibrated(spark, sf):
     rows = _features(spark, sf)
     return _rounded(apply_scaler(rows, fit_first(packets(spark, sf), _ORDER, 300, _LATER_US), "zscore"))

@@ -11,13 +11,14 @@ from packetlens.operators.verdict import DETECTION_COLUMNS
 from packetlens.plans.detection import detect, packet_features
 from packetlens.operators.scoring import score_heuristic
 from packetlens.session import shared_dir
+from packetlens.sources.frames import decode_frames, read_frames
 from packetlens.streaming.detect import stream_adaptive, stream_detect, stream_limit_normals
 from packetlens.streaming.flows import stream_flow_sessions, stream_flow_stats, stream_source_windows
 from packetlens.streaming.flowtable import CurrentFlows, write_current_flows
 from packetlens.streaming.ticks import stream_alert_ticks, stream_system_ticks, stream_ticks
 
-from . import q_detect, q_flows, q_monitor
-from .inputs import idle_packets, idle_packets_sql, packets, packets_of, stored, table
+from . import q_detect, q_flows, q_monitor, q_packets  # noqa: F401  (oracles)
+from .inputs import frames, idle_packets, idle_packets_sql, packets, packets_of, stored, table
 from .registry import ORACLE, check
 from .sql import DETECTION, query
 
@@ -216,3 +217,10 @@ def streamed_system_ticks(spark, sf):
     verdicts = in_parts(spark, detect(p).select("ts_us", "severity").withColumn("ts", stamped))
     late = in_parts(spark, q_monitor._idle_latencies(spark, sf).select("detect_us", "ts_us"))
     return _closed(run(spark, stream_system_ticks(_idle_parts(spark, sf), verdicts, late, cap=1000)), p)
+
+
+@check(ORACLE["decode_ethernet_frames"])
+def streamed_ethernet_frames(spark, sf):
+    """Captured frames that arrive as files, decoded as they come."""
+    arrived = read_frames(spark, stored(frames(spark, sf)), streaming=True)
+    return run(spark, decode_frames(arrived)).drop("ts")

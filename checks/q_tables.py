@@ -12,7 +12,7 @@ from packetlens.operators.forest import IsolationSettings, score_isolation, trai
 from packetlens.operators.verdict import DETECTION_COLUMNS
 from packetlens.plans.detection import detect
 from packetlens.session import shared_dir
-from packetlens.sources.sinks import load_isolation, save_isolation, write_detections, write_predictions, write_training
+from packetlens.sources.sinks import load_isolation, save_isolation, write_detections, write_prediction_stream, write_predictions, write_training
 from packetlens.sources.tables import read_flow_csv, read_prediction_log, read_training
 from packetlens.streaming.detect import stream_detect
 
@@ -74,6 +74,18 @@ def prediction_log_files(spark, sf):
     return read_prediction_log(spark, path)
 
 
+@check(query("SELECT actual, pred FROM labelled", "labelled"))
+def prediction_log_stream(spark, sf):
+    """Written by a stream that stops half way and goes on from its checkpoint when more rows have come."""
+    home = _home(spark)
+    rows = labelled(spark, sf)
+    for half in (rows.filter("actual = 'A'"), rows.filter("actual <> 'A'")):
+        half.repartition(3).write.mode("append").parquet(f"{home}/in")
+        arrived = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{home}/in")
+        write_prediction_stream(arrived, f"{home}/log", f"{home}/state", availableNow=True).awaitTermination()
+    return read_prediction_log(spark, f"{home}/log")
+
+
 @check(query(f"SELECT {DETECTION} FROM det", "det"))
 def detection_sink(spark, sf):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)

@@ -102,12 +102,16 @@ def apply_scaler(df: DataFrame, stats: DataFrame, mode: str = "minmax") -> DataF
 
     The one-row statistics enter as a scalar subquery: no join and no shuffle of `df`.
     """
-    names = _features_of(stats)
-    row = stats.select(F.struct(*stats.columns)).scalar()
+    row = F.col("_fit")
     fitted = row["rows_fitted"] >= row["fit_size"]
-    return df.withColumns({
-        c: F.when(fitted, _scaled(F.col(c), row[c], mode)).otherwise(F.col(c)) for c in names
-    })
+    return _with_fit(df, stats).withColumns({
+        c: F.when(fitted, _scaled(F.col(c), row[c], mode)).otherwise(F.col(c)) for c in _features_of(stats)
+    }).drop("_fit")
+
+
+def _with_fit(df: DataFrame, stats: DataFrame) -> DataFrame:
+    """Add the statistics as a struct `_fit`: planned once, however often it is used."""
+    return df.withColumn("_fit", stats.select(F.struct(*stats.columns)).scalar())
 
 
 def fit_transform(
@@ -118,11 +122,11 @@ def fit_transform(
     `stats` are statistics fitted before over the same first rows.
     """
     stats = fit_scaler(df, order, n) if stats is None else stats
-    row = stats.select(F.struct(*stats.columns)).scalar()
+    row = F.col("_fit")
     ready = (row["rows_fitted"] >= row["fit_size"]) & (F.struct(*order) >= row["last"])
-    return df.withColumns({
+    return _with_fit(df, stats).withColumns({
         c: F.when(ready, _scaled(F.col(c), row[c], mode)).otherwise(F.col(c)) for c in MODEL_FEATURES
-    })
+    }).drop("_fit")
 
 
 def scaler_stats(stats: DataFrame) -> DataFrame:

@@ -30,6 +30,16 @@ def write_predictions(df: DataFrame, path: str) -> None:
     prediction_lines(df).write.mode("append").text(path)
 
 
+def write_prediction_stream(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Start appending a stream of (actual, pred) rows to a prediction log.
+
+    Spark's file sink notes each micro-batch's files in the folder, so a batch that is run again after a restart from the checkpoint
+    adds its lines once; read the folder with `read_prediction_log`.
+    """
+    writer = prediction_lines(stream).writeStream.format("text").outputMode("append").option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"processingTime": "1 second"})).start(path)
+
+
 def write_detections(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Start appending a detection stream to a Parquet table (exactly once per checkpoint)."""
     writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from itertools import groupby
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,20 +23,22 @@ def read_flow_csv(spark: SparkSession, path) -> DataFrame:
     Only the six needed of the many columns are parsed. Files are grouped by their header line, and
     each group is read by its own; empty files have no rows.
     """
-    layouts = _headers(spark, path).groupBy("header").agg(F.collect_list("file").alias("files")).orderBy("header")
-    parts = [_flow_rows(spark, row.files) for row in layouts.collect()]  # one row per layout
+    layouts = groupby(_headers(spark, path), key=itemgetter(0))
+    parts = [_flow_rows(spark, [file for _, file in found]) for _, found in layouts]
     if not parts:
         raise ValueError(f"no flow rows in {path}")
     return reduce(DataFrame.unionByName, parts)
 
 
-def _headers(spark: SparkSession, path) -> DataFrame:
-    """(file, header): the first line of each file. Its split starts at byte 0, and a split's lines are read in order."""
-    lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("line"),
-    )
-    return lines.filter("start = 0").groupBy("file").agg(F.min_by("value", "line").alias("header"))
+def _headers(spark: SparkSession, path, threads: int = 16) -> list[tuple[str, str]]:
+    """(header, file) of each file with any line. One small job reads a file's first block and stops; several run at a time."""
+    files = [r[0] for r in spark.read.format("binaryFile").load(path).select("path").collect()]  # names only
+
+    def first(file: str) -> list:
+        return spark.read.text(file).head(1)
+
+    with ThreadPoolExecutor(threads) as pool:
+        return sorted((found[0][0], file) for file, found in zip(files, pool.map(first, files), strict=True) if found)
 
 
 def _flow_rows(spark: SparkSession, files: list[str]) -> DataFrame:
