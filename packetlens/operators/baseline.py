@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .sequential import fold_in_order, fold_split
+from .sequential import CHUNK_ROWS, fold, long_keys
 from .spread import join_keys, positions
 
 # Fixed values: (jump ratio above which it applies, weight of the new value).
@@ -28,13 +28,13 @@ def next_baseline(b: float, x: float | None) -> float:
 
 
 def baseline_ewma(
-    df: DataFrame, keys: list[str], order: list[str], value: str, block: Column | None = None, chunk_rows: int = 100_000
+    df: DataFrame, keys: list[str], order: list[str], value: str, block: Column | None = None, chunk_rows: int | None = CHUNK_ROWS
 ) -> DataFrame:
     """Add `baseline` (before the row) and `baseline_after` per key, in order.
 
-    With `block`, a coarse prefix of the order, keys of more than `chunk_rows` rows are folded in
-    parallel chunks. Without keys there is one baseline for all rows, which needs `block`. A null
-    value leaves the baseline as it is; a null key is a key like any other.
+    The rows of each key are counted first; keys of more than `chunk_rows` are folded in parallel chunks. `block` is a
+    coarse prefix of the order for these (by default from the range of its first column). Without keys there is one
+    baseline for all rows. A null value leaves the baseline as it is; a null key is a key like any other.
     """
     outputs = T.StructType([
         T.StructField("baseline", T.DoubleType()), T.StructField("baseline_after", T.DoubleType())
@@ -45,10 +45,9 @@ def baseline_ewma(
         after = next_baseline(before, x)
         return (after,), (before, after)
 
-    if block is None:
-        return fold_in_order(df, keys, order, [value], outputs, step)
     state = T.StructType([T.StructField("baseline", T.DoubleType())])
-    return fold_split(df, keys, block, order, [value], outputs, step, state, (0.0,), chunk_rows)
+    long = long_keys(df, keys, chunk_rows) if keys and chunk_rows else None
+    return fold(df, keys, order, [value], outputs, step, state, (0.0,), block, chunk_rows or CHUNK_ROWS, long=long)
 
 
 def final_baseline(df: DataFrame, keys: list[str], order: list[str], value: str, **how) -> DataFrame:

@@ -141,6 +141,93 @@ def fold_split(
     return folded.select(*kept, *[f.name for f in outputs.fields])
 
 
+#: Rows of a key beyond which it is folded in chunks.
+CHUNK_ROWS = 1_000_000
+
+
+def coarse(df: DataFrame, column: str, blocks: int = 4096) -> Column:
+    """A coarse prefix of the order by `column`, which is a number, a time or a text. Reads its range."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.StringType):
+        return F.substring(column, 1, 4)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        value = F.unix_micros(F.col(column).cast("timestamp")).cast("double")
+    elif isinstance(kind, T.NumericType):
+        value = F.col(column).cast("double")
+    else:
+        raise ValueError(f"name a block for the order by {column}")
+    low, high = df.agg(F.min(value), F.max(value)).first()
+    if low is None or high == low:
+        return F.when(F.col(column).isNotNull(), F.lit(0))
+    return F.floor((value - low) / (high - low) * blocks).cast("bigint")
+
+
+def long_keys(df: DataFrame, keys: list[str], chunk_rows: int) -> DataFrame | None:
+    """The keys with more than `chunk_rows` rows, at most one for each so many; None if there are none. Runs a job."""
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > chunk_rows).select(*keys)
+    found = counted.collect()
+    return F.broadcast(df.sparkSession.createDataFrame(found, counted.schema)) if found else None
+
+
+def fold(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    inputs: list[str],
+    outputs: T.StructType,
+    step,
+    state: T.StructType,
+    initial: tuple,
+    block: Column | None = None,
+    chunk_rows: int = CHUNK_ROWS,
+    carry: list[str] | None = None,
+    long: DataFrame | None = None,
+) -> DataFrame:
+    """`fold_split` for the keys in `long` (see `long_keys`), `fold_in_order` for all others."""
+    how = (order, inputs, outputs, step)
+    if not keys:
+        return fold_split(df, keys, block if block is not None else coarse(df, order[0]), *how, state, initial, chunk_rows, carry)
+    if long is None:
+        return fold_in_order(df, keys, *how, carry)
+    short = fold_in_order(join_keys(df, long, keys, "left_anti"), keys, *how, carry)
+    rest = join_keys(df, long, keys, "left_semi")
+    split = fold_split(rest, keys, block if block is not None else coarse(rest, order[0]), *how, state, initial, chunk_rows, carry)
+    return short.unionByName(split)
+
+
+def keep_spaced(df: DataFrame, keys: list[str], order: list[str], gap: int) -> DataFrame:
+    """The rows that are kept if each kept one is at least `gap` (in the first column of `order`, a long) after its key's last.
+
+    One search per kept row; a task holds one time.
+    """
+    ordered = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    def run(batches):
+        current, last = None, None
+        for batch in batches:
+            times = batch.column(order[0]).to_numpy(zero_copy_only=False)
+            columns = [batch.column(k) for k in keys]
+            if not len(times):
+                continue
+            changed = np.zeros(len(times), dtype=bool)
+            for c in columns:
+                codes = c.dictionary_encode(null_encoding="encode").indices.to_numpy()
+                changed[1:] |= codes[1:] != codes[:-1]
+            starts = np.r_[0, np.flatnonzero(changed), len(times)]
+            kept = []
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                key = tuple(c[a].as_py() for c in columns)
+                if key != current:
+                    current, last = key, None
+                found = kept_times(times[a:b], last, gap)
+                if len(found):
+                    last = int(times[a + found[-1]])
+                    kept.append(found + a)
+            yield batch.take(pa.array(np.concatenate(kept) if kept else np.zeros(0, np.int64)))
+
+    return ordered.mapInArrow(run, df.schema)
+
+
 def _last_states(rows: DataFrame, keys: list[str], order: list[str], inputs: list[str], names: list[str], kinds: list, step) -> DataFrame:
     """One row per key: the state after its last row, in columns `names`."""
     ordered = rows.repartition(*keys).sortWithinPartitions(*keys, *order).select(*dict.fromkeys([*keys, *inputs]))

@@ -11,8 +11,8 @@ from ..operators.features import features, fit_scaler
 from ..operators.flows import flow_stats
 from ..operators.rules import rules
 from ..operators.scoring import Scorer, score_heuristic
-from ..operators.sequential import fold_in_order, fold_split
-from ..operators.spread import slot
+from ..operators.sequential import CHUNK_ROWS, fold, fold_split, keep_spaced, long_keys
+from ..operators.spread import join_keys, slot
 from ..operators.verdict import DETECTION_COLUMNS, decide, ml_flag
 from ..schemas import FLOW_KEY, NORMAL, SECOND_US, RuleThresholds
 from ..session import shared_dir
@@ -71,7 +71,7 @@ def detect_adaptive(
     window_secs: int = 3,
     gap_ms: int = NORMAL_GAP_MS,
     keep: list[str] = (),
-    chunk_rows: int | None = None,
+    chunk_rows: int | None = CHUNK_ROWS,
     idle_secs: int = IDLE_SECS,
     **how,
 ) -> DataFrame:
@@ -87,9 +87,9 @@ def detect_adaptive(
     above `dos_rate`, so a source contributes at most dos_rate packets per second however hard
     it floods. Both halves read the same columns, so they share one shuffle of the packets.
 
-    `chunk_rows` also splits a source with more unmatched packets than that into chunks folded in
-    parallel (see `fold_split`); the result is the same. Then jobs run at once, and the scored
-    packets are written to the checkpoint folder and read from there.
+    The packets of each source are counted first. One with more than `chunk_rows` is folded in parallel chunks
+    (see `fold_split`); the result is the same. Then more jobs run at once, and the scored packets are written to
+    the checkpoint folder and read from there. With None, nothing is counted or split.
     """
     scored = scorer(packet_features(packets, window_secs, **how)).withColumn("_ml", ml_flag())
     ruled = rules(scored, thresholds, window_secs)
@@ -108,19 +108,17 @@ def detect_adaptive(
     carry = list(dict.fromkeys(["src_ip", "ts_us", *_EVIDENCE, *keep]))
     # Packets of one flow and time have the same evidence, so their order does not matter.
     order = ["ts_us", *FLOW_KEY[1:]]
-    if chunk_rows is not None:
+    long = long_keys(packets, ["src_ip"], chunk_rows) if chunk_rows else None
+    if long is not None:
         shared_dir(packets.sparkSession)
         ruled = ruled.select(*dict.fromkeys([*carry, *order]), "_ml", "rule_type", "rule_reason", "rule_severity").checkpoint()
     plain = ruled.filter(F.col("rule_type").isNull())
     read = ["ts_us", "packet_rate", "_ml"]
-    if chunk_rows is None:
-        folded = fold_in_order(plain, ["src_ip"], order, read, _NORMAL_STATE, step, carry=[*carry, "_ml"])
-    else:
-        state = T.StructType([T.StructField("usual", T.DoubleType()), *[T.StructField(c, T.LongType()) for c in ("last", "seen")]])
-        folded = fold_split(
-            plain, ["src_ip"], slot("ts_us", CHUNK_BLOCK_US), order, read, _NORMAL_STATE, step, state, (0.0, None, None),
-            chunk_rows, carry=[*carry, "_ml"],
-        )
+    state = T.StructType([T.StructField("usual", T.DoubleType()), *[T.StructField(c, T.LongType()) for c in ("last", "seen")]])
+    folded = fold(
+        plain, ["src_ip"], order, read, _NORMAL_STATE, step, state, (0.0, None, None), slot("ts_us", CHUNK_BLOCK_US),
+        chunk_rows or CHUNK_ROWS, [*carry, "_ml"], long,
+    )
     adaptive = rules(folded.filter("kept"), thresholds, window_secs, baseline="baseline").drop("kept", "_ml")
     sure = ruled.filter(F.col("rule_type").isNotNull()).withColumn("baseline", F.lit(None).cast("double"))
     both = sure.select(*adaptive.columns).unionByName(adaptive)
@@ -128,15 +126,15 @@ def detect_adaptive(
 
 
 def limit_normals(
-    detections: DataFrame, gap_ms: int = NORMAL_GAP_MS, order: list[str] = ("ts_us",), chunk_rows: int | None = None
+    detections: DataFrame, gap_ms: int = NORMAL_GAP_MS, order: list[str] = ("ts_us",), chunk_rows: int | None = CHUNK_ROWS
 ) -> DataFrame:
     """Keep a NORMAL row only if `gap_ms` passed since its source's last kept one; keep all others.
 
     Alerts bypass the fold, and a source's NORMAL rows stay below `dos_rate` per second (above it
     the volumetric rule makes them alerts), so a flood never reaches the fold's task; the rows
     stream through it with one time as state. `order`, which starts with ts_us, settles which of
-    several rows of one source and time is kept. `chunk_rows` splits a source with more NORMAL rows
-    than that into chunks folded in parallel (see `fold_split`); jobs then run at once.
+    several rows of one source and time is kept. The rows of each source are counted first; one with more NORMAL
+    rows than `chunk_rows` is folded in parallel chunks (see `fold_split`). With None, nothing is counted or split.
     """
     gap_us = gap_ms * 1000
 
@@ -147,11 +145,12 @@ def limit_normals(
         return (ts,), (True,)
 
     quiet = detections.filter(F.col("severity") == NORMAL)
-    kept = T.StructType([T.StructField("kept", T.BooleanType())])
-    if chunk_rows is None:
-        folded = fold_in_order(quiet, ["src_ip"], list(order), ["ts_us"], kept, step)
-    else:
-        state = T.StructType([T.StructField("last", T.LongType())])
-        block = slot("ts_us", CHUNK_BLOCK_US)
-        folded = fold_split(quiet, ["src_ip"], block, list(order), ["ts_us"], kept, step, state, (None,), chunk_rows)
-    return detections.filter(F.col("severity") != NORMAL).unionByName(folded.filter("kept").drop("kept"))
+    long = long_keys(quiet, ["src_ip"], chunk_rows) if chunk_rows else None
+    short = quiet if long is None else join_keys(quiet, long, ["src_ip"], "left_anti")
+    kept = keep_spaced(short, ["src_ip"], list(order), gap_us)
+    if long is not None:
+        state, flag = T.StructType([T.StructField("last", T.LongType())]), T.StructType([T.StructField("kept", T.BooleanType())])
+        rest = join_keys(quiet, long, ["src_ip"], "left_semi")
+        split = fold_split(rest, ["src_ip"], slot("ts_us", CHUNK_BLOCK_US), list(order), ["ts_us"], flag, step, state, (None,), chunk_rows)
+        kept = kept.unionByName(split.filter("kept").drop("kept"))
+    return detections.filter(F.col("severity") != NORMAL).unionByName(kept)

@@ -1,6 +1,7 @@
 import math
 import statistics
 
+import numpy as np
 import pytest
 from helpers import START, as_dicts, packet, packets, random_packets, table, window_stats
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from packetlens.operators.features import apply_scaler, fit_scaler, fit_transfor
 from packetlens.operators.rules import rules
 from packetlens.operators.scoring import bucket_reuse, combine_scores, score_bucketed, score_heuristic
 from packetlens.operators.verdict import decide, prediction_class
+from packetlens.operators.sequential import coarse, keep_spaced, kept_times, long_keys
 from packetlens.plans.detection import detect, detect_adaptive, limit_normals, packet_features
 
 FEATURES = (
@@ -150,6 +152,42 @@ def test_normals_are_limited_to_one_per_gap(spark):
     for rows_each in (1, 2):
         assert table(limit_normals(df, chunk_rows=rows_each), "src_ip", "ts_us", "severity") == got
     assert limit_normals(df.filter("false"), chunk_rows=2).count() == 0
+    assert table(limit_normals(df, chunk_rows=None), "src_ip", "ts_us", "severity") == got
+
+
+def test_kept_times_match_a_plain_loop(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(rng.choice([None, 1, 1, 1, 2, 3]), rng.randrange(4000)) for _ in range(600)]
+    want = []
+    for key in (None, 1, 2, 3):
+        last = None
+        for t in sorted(t for k, t in rows if k == key):
+            if last is None or t - last >= 37:
+                last = t
+                want.append((key, t))
+    df = spark.createDataFrame(rows, "k long, t long").repartition(4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = [tuple(r) for r in keep_spaced(df, ["k"], ["t"], 37).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert kept_times(np.array([1, 1, 2]), None, 0).tolist() == [0, 1, 2] and kept_times(np.array([5]), 1, 10).tolist() == []
+
+
+@pytest.mark.parametrize("order", ["i", "t", "s", "d"])
+def test_long_keys_are_split_without_being_told_how(spark, order):
+    rows = [(k, i, float(i % 7 * (1 + k))) for k, n in [(1, 300), (2, 20)] for i in range(n)]
+    df = spark.createDataFrame(rows, "k int, i long, v double").repartition(3).withColumns({
+        "t": F.timestamp_seconds(F.col("i") * 3600), "s": F.format_string("%05d", "i"), "d": F.col("i").cast("decimal(10,2)")})
+    columns = ["k", "i", "baseline", "baseline_after"]
+    want = table(baseline_ewma(df, ["k"], [order], "v", chunk_rows=None), *columns)
+    assert table(baseline_ewma(df, ["k"], [order], "v", chunk_rows=50), *columns) == want
+    assert long_keys(df, ["k"], 300) is None and [r.k for r in long_keys(df, ["k"], 50).collect()] == [1]
+    with pytest.raises(ValueError):
+        coarse(df.withColumn("x", F.array("i")), "x")
 
 
 def test_detect_needs_one_shuffle(spark):
