@@ -23,16 +23,26 @@ _PACKET = "src_ip long, dst_ip long, src_port int, dst_port int, protocol int, p
 _STATS = _PACKET + (
     ", ts timestamp, src_total_packets long, syn_count long, src_unique_dst_ports long, packet_count long, byte_count long"
 )
-# Rows a (source, block) still needs: enough of a packet to count it in later windows.
-_RECENT = "dst_ip long, src_port int, dst_port int, protocol int, packet_size int, syn int, ts_us long"
+# The columns of a packet in memory, as longs; later windows need those up to KEPT.
+_COLUMNS = ["dst_ip", "src_port", "dst_port", "protocol", "packet_size", "syn", "ts_us", "tcp_flags", "owned"]
+_DST_IP, _SRC_PORT, _PORT, _PROTOCOL, _SIZE, _SYN, _TS, _FLAGS, _OWNED = range(len(_COLUMNS))
+_KEPT = _TS + 1
+_NULL = -1  # of addresses, ports, sizes and flags, which are never negative
+_PART = 1 << 16  # packets of one entry of the state
 
 
-def window_sums(rows: pd.DataFrame, at: np.ndarray, flow_at: np.ndarray, window_us: int) -> dict[str, np.ndarray]:
-    """Totals over [t - window, t] for the times `at` of the flows numbered `flow_at`.
+def _before(order: np.ndarray, groups: np.ndarray, ts: np.ndarray, window_us: int) -> np.ndarray:
+    """Whether each row, in `order` by group and time, has a row of its group at most the window before."""
+    g, t = groups[order], ts[order]
+    near = np.zeros(len(order), dtype=bool)
+    near[1:] = (g[1:] == g[:-1]) & (t[1:] - t[:-1] <= window_us)
+    return near
 
-    `rows` is the history of one source, sorted by `ts_us`, with `flow` numbers.
-    """
-    ts = rows["ts_us"].to_numpy()
+
+def window_sums(rows: np.ndarray, wanted: np.ndarray, window_us: int) -> dict[str, np.ndarray]:
+    """Totals over [t - window, t] for the `wanted` rows of the history `rows` of one source, which is sorted by time."""
+    ts = rows[:, _TS]
+    at = ts[wanted]
 
     def between(times, low, high, values=None):
         first, last = np.searchsorted(times, low, "left"), np.searchsorted(times, high, "right")
@@ -41,58 +51,95 @@ def window_sums(rows: pd.DataFrame, at: np.ndarray, flow_at: np.ndarray, window_
         sums = np.concatenate([[0], np.cumsum(values)])
         return sums[last] - sums[first]
 
-    use = rows.groupby("dst_port")["ts_us"]
-    opens = ts[~(ts - use.shift(1).to_numpy() <= window_us)]
-    closes = np.sort(ts[~(use.shift(-1).to_numpy() - ts <= window_us)]) + window_us + 1
-    ports = np.searchsorted(opens, at, "right") - np.searchsorted(closes, at, "right")
+    ports = rows[:, _PORT]
+    by_port = np.lexsort((ts, ports))
+    near = _before(by_port, ports, ts, window_us)
+    opens = np.sort(ts[by_port[~near]])
+    closes = np.sort(ts[by_port[~np.r_[near[1:], False]]]) + window_us + 1
 
     # One sorted axis for all flows: flow number, then time since the start of the history.
+    keys = [rows[:, c] for c in (_DST_IP, _SRC_PORT, _PORT, _PROTOCOL)]
+    by_flow = np.lexsort((ts, *keys))
+    changes = np.zeros(len(rows), dtype=bool)
+    for key in keys:
+        sorted_key = key[by_flow]
+        changes[1:] |= sorted_key[1:] != sorted_key[:-1]
+    number = np.cumsum(changes)
+    flow = np.empty(len(rows), np.int64)
+    flow[by_flow] = number
     base, span = ts[0], int(ts[-1] - ts[0]) + window_us + 1
-    axis = rows["flow"].to_numpy() * span + (ts - base)
-    order = np.argsort(axis, kind="stable")
-    axis, sizes = axis[order], rows["packet_size"].to_numpy()[order]
-    high = flow_at * span + (at - base)
-    low = np.maximum(high - window_us, flow_at * span)
+    axis = number * span + (ts[by_flow] - base)
+    high = flow[wanted] * span + (at - base)
+    low = np.maximum(high - window_us, flow[wanted] * span)
     return {
         "src_total_packets": between(ts, at - window_us, at),
-        "syn_count": between(ts, at - window_us, at, rows["syn"].to_numpy()),
-        "src_unique_dst_ports": ports,
+        "syn_count": between(ts, at - window_us, at, np.maximum(rows[:, _SYN], 0)),
+        "src_unique_dst_ports": np.searchsorted(opens, at, "right") - np.searchsorted(closes, at, "right"),
         "packet_count": between(axis, low, high),
-        "byte_count": between(axis, low, high, sizes),
+        "byte_count": between(axis, low, high, np.maximum(rows[by_flow, _SIZE], 0)),
     }
 
 
+def _matrix(frame: pd.DataFrame) -> np.ndarray:
+    """The packets of a frame as rows of longs."""
+    out = np.empty((len(frame), len(_COLUMNS)), np.int64)
+    for i, c in enumerate(_COLUMNS):
+        column = frame[c]
+        out[:, i] = column.fillna(_NULL) if column.isna().any() else column
+    return out
+
+
 class _Sliding(StatefulProcessor):
-    """Keeps the packets later windows of one (source, block) can still reach."""
+    """Keeps the packets later windows of one (source, block) can still reach.
+
+    Each micro-batch adds its own packets as entries and drops the entries that have become too old, so it writes in
+    proportion to what is new. Frames become compact arrays as they come.
+    """
 
     def __init__(self, window_us: int, late_us: int, block_us: int):
         self.window_us, self.late_us, self.block_us = window_us, late_us, block_us
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.recent = handle.getListState("recent", _RECENT)
+        self.recent = handle.getMapState("recent", "entry long", "newest long, packets binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(rows, ignore_index=True)
-        columns = [c.split()[0] for c in _RECENT.split(", ")]
-        old = pd.DataFrame(list(self.recent.get()), columns=columns)
-        history = pd.concat([old, new[columns]], ignore_index=True) if len(old) else new[columns]
-        history = history.sort_values("ts_us", kind="stable", ignore_index=True).astype("int64")
-        flow_columns = FLOW_KEY[1:]
-        numbers = history.groupby(flow_columns, sort=False).ngroup()
-        history = history.assign(flow=numbers.to_numpy())
-        out = new[new["owned"]]
-        if len(out):
-            flows = history[[*flow_columns, "flow"]].drop_duplicates()
-            flow_at = out[flow_columns].astype("int64").merge(flows, on=flow_columns, how="left")["flow"].to_numpy()
-            sums = window_sums(history, out["ts_us"].to_numpy(), flow_at, self.window_us)
-            yield out[[f.split()[0] for f in (_PACKET + ", ts timestamp").split(", ")]].assign(**sums)
-        reach = history["ts_us"].iloc[-1] - self.window_us - self.late_us
-        kept = history.loc[history["ts_us"] >= reach, columns]
-        self.recent.put([tuple(int(v) for v in row) for row in kept.itertuples(index=False)])
+        new = np.concatenate([_matrix(frame) for frame in rows])
+        held = {k[0]: v for k, v in self.recent.iterator()}
+        old = [np.frombuffer(packets, np.int64).reshape(-1, _KEPT) for _, packets in held.values()]
+        history = np.concatenate([*old, new[:, :_KEPT]])
+        order = np.argsort(history[:, _TS], kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        history = history[order]
+        owned = new[:, _OWNED] == 1
+        if owned.any():
+            out = new[owned]
+            sums = window_sums(history, place[len(history) - len(new) :][owned], self.window_us)
+            yield self._rows(None if pd.isna(key[0]) else key[0], out, sums)
+        reach = int(history[-1, _TS]) - self.window_us - self.late_us
+        for entry, (newest, _) in held.items():
+            if newest < reach:
+                self.recent.removeKey((entry,))
+        kept = new[new[:, _TS] >= reach, :_KEPT]
+        kept = kept[np.argsort(kept[:, _TS], kind="stable")]
+        first = max(held, default=-1) + 1
+        for i in range(0, len(kept), _PART):
+            part = kept[i : i + _PART]
+            self.recent.updateValue((first + i // _PART,), (int(part[-1, _TS]), part.tobytes()))
         # The block needs no state once the watermark has passed its end.
         self.handle.registerTimer((int(key[1]) + 1) * self.block_us // 1000)
 
+    def _rows(self, source, packets: np.ndarray, sums: dict[str, np.ndarray]) -> pd.DataFrame:
+        columns = {"src_ip": np.full(len(packets), -1 if source is None else int(source), np.int64)}
+        for name in ("dst_ip", "src_port", "dst_port", "protocol", "packet_size", "tcp_flags", "ts_us"):
+            columns[name] = packets[:, _COLUMNS.index(name)]
+        columns["ts"] = columns["ts_us"].astype("datetime64[us]")
+        out = pd.DataFrame(columns | sums, copy=False)
+        nulls = ["src_ip"] if source is None else []
+        nulls += [c for c in columns if c not in ("src_ip", "ts_us", "ts") and (columns[c] == _NULL).any()]
+        return out.assign(**{c: out[c].astype("Int64").mask(out[c] == _NULL) for c in nulls}) if nulls else out
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.recent.clear()
         return iter([])

@@ -174,3 +174,27 @@ def test_system_ticks_as_a_stream(spark, tmp_path, last_n):
     measured = [(r.sec, r.latency_avg_ns, r.latency_p99_ns) for r in ticks.filter(F.col("sec") < until).collect() if r.latency_avg_ns]
     streamed = {r.sec: (r.latency_avg_ns, r.latency_p99_ns) for r in got.collect()}
     assert all(streamed[sec] == pytest.approx((avg, p99)) for sec, avg, p99 in measured) and len(measured) > 50
+
+
+def test_null_fields_and_many_frames(spark, tmp_path):
+    rows = list({r[7]: r for r in random_packets(240, seed=18)}.values())
+    rows = [tuple(None if (i + j) % 17 == 0 and j != 7 else v for j, v in enumerate(r)) for i, r in enumerate(rows)]
+
+    def flat(df):  # a sum over nulls alone is null or 0
+        return sorted((tuple(r[c] for c in KEY) + tuple(r[c] or 0 for c in STATS) for r in df.collect()), key=str)
+
+    want = flat(flow_stats(packets(spark, rows)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = finish(spark, tmp_path, stream_flow_stats(batches(spark, tmp_path, *by_time(spark, rows, 3)), block_secs=12))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert flat(got) == want
+
+
+def test_state_holds_what_later_windows_reach(spark, tmp_path):
+    rows = [packet(ts=i * 100_000) for i in range(400)]
+    query, got = started(spark, tmp_path, stream_flow_stats(batches(spark, tmp_path, *by_time(spark, rows, 10)), block_secs=1000, watermark_secs=2))
+    assert got.count() == 400
+    # one entry a micro-batch of 4 s; a window of 3 s and lateness of 2 s reach into three of them at most
+    assert max(rows_of_state(query)) <= 4
