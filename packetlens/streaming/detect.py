@@ -17,7 +17,7 @@ from ..operators.verdict import decide, ml_flag
 from ..operators.sequential import kept_times
 from ..plans.detection import IDLE_SECS, NORMAL_GAP_MS
 from ..schemas import NORMAL, SECOND_US, RuleThresholds
-from .flows import stream_flow_stats
+from .flows import no_null_source, null_source, stream_flow_stats
 
 
 def stream_detect(
@@ -115,9 +115,9 @@ def timed(stream: DataFrame, watermark_secs: int) -> DataFrame:
 
 def _per_source(stream: DataFrame, processor: _Normals, extra: str = "") -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields) + extra
-    return stream.groupBy("src_ip").transformWithStateInPandas(
+    return null_source(no_null_source(stream).groupBy("src_ip").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime"
-    )
+    ))
 
 
 def stream_limit_normals(detections: DataFrame, gap_ms: int = NORMAL_GAP_MS, watermark_secs: int = 10) -> DataFrame:

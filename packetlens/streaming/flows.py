@@ -116,7 +116,7 @@ class _Sliding(StatefulProcessor):
         if owned.any():
             out = new[owned]
             sums = window_sums(history, place[len(history) - len(new) :][owned], self.window_us)
-            yield self._rows(None if pd.isna(key[0]) else key[0], out, sums)
+            yield self._rows(int(key[0]), out, sums)
         reach = int(history[-1, _TS]) - self.window_us - self.late_us
         for entry, (newest, _) in held.items():
             if newest < reach:
@@ -130,14 +130,13 @@ class _Sliding(StatefulProcessor):
         # The block needs no state once the watermark has passed its end.
         self.handle.registerTimer((int(key[1]) + 1) * self.block_us // 1000)
 
-    def _rows(self, source, packets: np.ndarray, sums: dict[str, np.ndarray]) -> pd.DataFrame:
-        columns = {"src_ip": np.full(len(packets), -1 if source is None else int(source), np.int64)}
+    def _rows(self, source: int, packets: np.ndarray, sums: dict[str, np.ndarray]) -> pd.DataFrame:
+        columns = {"src_ip": np.full(len(packets), source, np.int64)}
         for name in ("dst_ip", "src_port", "dst_port", "protocol", "packet_size", "tcp_flags", "ts_us"):
             columns[name] = packets[:, _COLUMNS.index(name)]
         columns["ts"] = columns["ts_us"].astype("datetime64[us]")
         out = pd.DataFrame(columns | sums, copy=False)
-        nulls = ["src_ip"] if source is None else []
-        nulls += [c for c in columns if c not in ("src_ip", "ts_us", "ts") and (columns[c] == _NULL).any()]
+        nulls = [c for c in columns if c not in ("src_ip", "ts_us", "ts") and (columns[c] == _NULL).any()]
         return out.assign(**{c: out[c].astype("Int64").mask(out[c] == _NULL) for c in nulls}) if nulls else out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -148,6 +147,16 @@ class _Sliding(StatefulProcessor):
         pass
 
 
+def no_null_source(stream: DataFrame) -> DataFrame:
+    """A null source as a number that is no address: a null key reaches a stateful processor row by row, as unequal keys."""
+    return stream.withColumn("src_ip", F.coalesce("src_ip", F.lit(_NULL).cast("bigint")))
+
+
+def null_source(stream: DataFrame) -> DataFrame:
+    """The inverse of `no_null_source`."""
+    return stream.withColumn("src_ip", F.nullif("src_ip", F.lit(_NULL).cast("bigint")))
+
+
 def stream_flow_stats(
     stream: DataFrame, window_secs: int = 3, watermark_secs: int = 10, block_secs: int = 30
 ) -> DataFrame:
@@ -159,7 +168,7 @@ def stream_flow_stats(
     """
     block_us = max(block_secs, window_secs) * SECOND_US
     rows = time_blocks(
-        stream.withWatermark("ts", f"{watermark_secs} seconds").withColumn("syn", is_syn().cast("int")),
+        no_null_source(stream.withWatermark("ts", f"{watermark_secs} seconds")).withColumn("syn", is_syn().cast("int")),
         block_us, window_secs * SECOND_US,
     ).withColumnsRenamed({"_block": "block", "_owned": "owned"})
     stats = rows.groupBy("src_ip", "block").transformWithStateInPandas(
@@ -168,7 +177,7 @@ def stream_flow_stats(
         outputMode="Append",
         timeMode="EventTime",
     )
-    return stats.withColumns({
+    return null_source(stats).withColumns({
         "avg_packet_size": F.col("byte_count") / F.col("packet_count"),
         "unique_dst_ports": F.lit(1).cast("bigint"),
         "connection_attempts": F.col("src_total_packets"),
