@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 from packetlens.llm import quality
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.1"
 
@@ -57,3 +58,10 @@ def test_agrees_with_labels(spark):
 def test_main_path_is_native(docs):
     plan = quality.quality(docs[0])._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_a_text_of_a_million_words(spark):
+    """All words differ but for three that come again at the end."""
+    text = F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1_000_000)), lambda i: F.concat(F.lit("w"), i.cast("string"))), " "), F.lit(" w5 w6 w7"))
+    got = quality.counts(spark.range(1).select(F.col("id").alias("doc_id"), text.alias("text"))).first()
+    assert (got.n_words, got.n_repeat_words) == (1_000_003, 6)
