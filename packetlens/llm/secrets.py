@@ -19,7 +19,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -133,11 +135,21 @@ def battery(symbols: list[int], size: int) -> float:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, float]]:
-    """(start, end, encoding and length class, p) of the tokens to judge, none of them touching a base span."""
+    """(start, end, encoding and length class, p) of the tokens to judge, none of them touching a base span.
+
+    Base spans are in order of their starts: of those that start before a token's end, the furthest end decides.
+    """
+    starts = [a for a, _, _ in base]
+    reach = list(accumulate((b for _, b, _ in base), max))
+
+    def free(start: int, stop: int) -> bool:
+        before = bisect_left(starts, stop)
+        return before == 0 or reach[before - 1] <= start
+
     return [
         (start, stop, f"{name}:{len(token).bit_length()}", battery([places[c] for c in token], len(places)))
         for start, stop, token, (name, places) in tokens(text)
-        if not any(a < stop and start < b for a, b, _ in base)
+        if free(start, stop)
     ]
 
 
@@ -198,14 +210,21 @@ def span_text(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
+def redacted(text: str, spans: list, mark: str = "[secret]") -> str:
+    """`text` with a mark in place of its spans (in order of their starts); one that starts within an earlier span is part of it."""
+    parts, at = [], 0
+    for span in spans:
+        if span["start"] >= at:
+            parts += [text[at : span["start"]], mark]
+        at = max(at, span["stop"])
+    return "".join([*parts, text[at:]])
+
+
 def redact(text, spans, mark: str = "[secret]"):
-    """`text` without its spans; spans that touch become one mark. Both are columns."""
-    step = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
+    """`redacted` of two columns. Only texts with spans go to Python."""
 
-    def add(state, s):
-        fresh = s["start"] >= state["at"]
-        out = F.when(fresh, F.concat(state["out"], F.substring(text, (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int")), F.lit(mark)))
-        return F.struct(out.otherwise(state["out"]).alias("out"), F.greatest(state["at"], s["stop"]).alias("at"))
+    @F.udf("string", useArrow=True)
+    def run(text, spans):
+        return None if text is None else redacted(text, spans, mark)
 
-    done = F.aggregate(spans, step, add, lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    return F.coalesce(run(F.when(F.size(spans) > 0, text), spans), text)

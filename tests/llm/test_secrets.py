@@ -1,6 +1,7 @@
 import base64
 import random
 import re
+import time
 
 from packetlens.llm import secrets
 
@@ -66,3 +67,25 @@ def test_tokens_after_names_and_in_any_encoding(spark):
     for at in range(2, len(noise), 30):
         assert sum(bool(found[i]) for i in range(at, at + 30)) >= 24
     assert not [i for i in found if i >= len(noise) and found[i]]
+
+
+def test_a_text_with_many_spans_takes_time_in_proportion():
+    token = "Zk3x9Qw7Lp2Vt8Rb5Nc1"
+    line = "password=abcdef12 " + f"note: {token} "
+    text = line * 100_000
+    start = time.time()
+    base = secrets.base_spans(text)
+    found = secrets.candidates(text, base)
+    spans = sorted(({"start": a, "stop": b} for a, b, *_ in [*base, *found]), key=lambda s: s["start"])
+    out = secrets.redacted(text, spans)
+    assert len(base) == 100_000 and len(text) > 4_000_000 and time.time() - start < 60
+    assert out.count("[secret]") == len(spans) and "abcdef12" not in out
+
+
+def test_tokens_that_touch_a_base_span_are_not_judged():
+    text = "a Zk3x9Qw7Lp2Vt8Rb5Nc1 b Yk3x9Qw7Lp2Vt8Rb5Nc2 c Xk3x9Qw7Lp2Vt8Rb5Nc3"
+    every = [(a, b) for a, b, *_ in secrets.candidates(text, [])]
+    assert len(every) == 3
+    for base in ([(0, 60, 0), (3, 4, 1)], [(0, 2, 0), (22, 25, 1)], [(21, 26, 0)], [(2, 3, 0), (50, 51, 2)]):
+        want = [(a, b) for a, b in every if not any(x < b and a < y for x, y, _ in base)]
+        assert [(a, b) for a, b, *_ in secrets.candidates(text, base)] == want
