@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetlens.llm.common import encoded, fold_of, record, slices, stored
+from packetlens.llm.common import encoded, fold_of, record, slices, stored, unfolded
 
 WHITE = b" \t\n\x0b\x0c\r"
 LEVELS = 40
@@ -171,7 +171,7 @@ def exact_duplicates(docs: DataFrame, historical: Column | None = None, rows_per
     own = folded.select("doc_id", "n_chars", F.col("digest").alias("_own"), "copies", *carry)
     joined = own.join(groups, F.col("_own") == F.col("digest"))
     wins = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars"))
-    copy = F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))
-    return joined.select("doc_id", "keep_id", "group_size", wins.alias("_wins"), "digest", copy.alias("_copy"), *carry).select(
+    each = joined.select("doc_id", "keep_id", "group_size", wins.alias("_wins"), "digest", "copies", F.lit(1).cast("bigint").alias("_one"), *carry)
+    return unfolded(each, "_one", "copies", "_copy").select(
         "doc_id", "keep_id", "group_size", (F.col("_wins") & (F.col("_copy") == 1)).alias("kept"), "digest", *carry,
     )

@@ -134,3 +134,10 @@ def test_components_of_chains_hubs_and_loops(spark):
     found = components.components(spark.createDataFrame(links, "u long, v long")).collect()
     want = {i: 0 for i in range(41)} | {i: 100 for i in range(100, 150)} | {300: 300, 301: 300}
     assert {r.node: r.root for r in found} == want
+
+
+def test_one_row_repeated_many_times(spark):
+    one = spark.range(25_000).selectExpr("CAST(7 AS BIGINT) AS doc_id", "'same  text' AS text").union(spark.createDataFrame([(3, "same text"), (None, "x")], "doc_id long, text string"))
+    got = exact.exact_duplicates(one)
+    assert got.count() == 25_002 and got.filter("kept").count() == 2
+    assert got.filter("kept and keep_id = 7 and group_size = 25001").count() == 1
