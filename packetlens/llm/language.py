@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from packetlens.llm.common import encoded, fold_of, record, slices, stored
 
 BUCKETS = 1 << 14
-MOST_LANGUAGES = 64
+#: Languages with a table of their own; the rarest beyond them count as one, OTHER.
+MOST_LANGUAGES, OTHER = 256, "other"
 SCRIPT = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
 TAG = re.compile(r"<[^>]*>")
 DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", re.I)
@@ -74,8 +75,6 @@ def trigram_counts(texts: DataFrame) -> DataFrame:
             bucket, starts, stops = _trigrams([_normal(t) for t in encoded(batch)])
             for lang, a, b in zip(batch.column("lang").to_pylist(), starts, stops, strict=True):
                 if lang not in total:
-                    if len(total) == MOST_LANGUAGES:
-                        raise ValueError(f"more than {MOST_LANGUAGES} languages")
                     total[lang] = np.zeros(BUCKETS, np.int64)
                 total[lang] += np.bincount(bucket[a:b], minlength=BUCKETS)
         for lang, n in total.items():
@@ -87,11 +86,12 @@ def trigram_counts(texts: DataFrame) -> DataFrame:
 
 
 def train(texts: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages, and log probabilities (language, bucket); at most MOST_LANGUAGES x BUCKETS numbers."""
-    rows = trigram_counts(texts).collect()
+    """Languages, and log probabilities (language, bucket); at most (MOST_LANGUAGES + 1) x BUCKETS numbers."""
+    sizes = texts.filter("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    most = [r.lang for r in sizes.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()]
+    named = F.when(F.col("lang").isin(most), F.col("lang")).when(F.col("lang").isNotNull(), OTHER)
+    rows = trigram_counts(texts.select("text", named.alias("lang"))).collect()
     names = sorted({r.lang for r in rows})
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     n = np.full((len(names), BUCKETS), 0.5)
     for r in rows:
         n[names.index(r.lang), r.bucket] += r.n

@@ -64,3 +64,13 @@ def test_odd_rows(spark, odd, empty, docs):
     assert language.identify(rows_of(empty), docs[0], IDS).collect() == []
     none = language.identify(rows_of(odd), docs[0].withColumn("lang", F.lit(None).cast("string")), IDS).collect()
     assert len(none) == odd.count() and not any(r.predicted for r in none)
+
+
+def test_more_languages_than_tables(spark, monkeypatch):
+    rows = [(f"l{i:02d}", f"word{i} " * (5 + i)) for i in range(70) for _ in range(2 if i < 60 else 1)]
+    texts = spark.createDataFrame(rows, "lang string, text string")
+    names, model = language.train(texts)
+    assert len(names) == 70 and model.shape == (70, language.BUCKETS)
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 60)
+    names, model = language.train(texts)
+    assert names == [*[f"l{i:02d}" for i in range(60)], "other"]
