@@ -102,12 +102,17 @@ def word_slices(texts: list[bytes], inside: np.ndarray, separator: bytes) -> tup
 
 
 class Recent(dict):
-    """Computed values by key. At `keep` keys the table becomes the old one, from which keys in use come back."""
+    """Computed values by key. At `keep` keys the table becomes the old one, from which keys in use come back.
 
-    def __init__(self, compute, keep: int):
-        self.compute, self.keep, self.old = compute, keep, {}
+    Values of keys longer than `longest` are computed each time, so that the table is bounded in bytes.
+    """
+
+    def __init__(self, compute, keep: int, longest: int = 64):
+        self.compute, self.keep, self.longest, self.old = compute, keep, longest, {}
 
     def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.compute(key)
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
