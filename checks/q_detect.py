@@ -73,6 +73,12 @@ def bucketed_scores(spark, sf):
     return score_bucketed(_features(spark, sf), score_heuristic, _ORDER).select(*_KEY, "ml_score", "ml_label")
 
 
+@check(ORACLE["bucketed_scores"])
+def bucketed_scores_dealt(spark, sf):
+    """Buckets of over 100 rows meet in several tasks."""
+    return score_bucketed(_features(spark, sf), score_heuristic, _ORDER, rows_each=100).select(*_KEY, "ml_score", "ml_label")
+
+
 @check(query(f"SELECT {BASE}, ml_score, ml_label FROM scored", "scored"))
 def heuristic_scores(spark, sf):
     return score_heuristic(_features(spark, sf)).select(*_KEY, "ml_score", "ml_label")

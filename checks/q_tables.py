@@ -100,7 +100,7 @@ def isolation_model_files(spark, sf):
     path = _home(spark)
     rows = prepare_training(flows(spark, sf), ["row_a", "row_b", "row_c", "row_d", "row_e"])
     key = ["row_a", "row_b", "row_c", "row_d", "row_e"]
-    save_isolation(train_isolation_forest(rows.filter("label = 'Normal'"), IsolationSettings(trees=25), key), path)
+    save_isolation(train_isolation_forest(rows.filter("label = 'Normal'"), IsolationSettings(), key), path)
     scored = score_isolation(rows, load_isolation(spark, path))
     return scored.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_anomaly").alias("anomalies"))
 

@@ -45,21 +45,24 @@ def combine_scores(df: DataFrame) -> DataFrame:
     return df.withColumns({"ml_score": F.floor(score * 10000.0 + 0.5) / 10000.0, "ml_label": label})
 
 
-def score_bucketed(df: DataFrame, scorer: Scorer, order: list[str], salts: int = 16) -> DataFrame:
+def score_bucketed(df: DataFrame, scorer: Scorer, order: list[str], rows_each: int = 1_000_000) -> DataFrame:
     """Score one row per feature bucket (the first by `order`) and give its result to the bucket.
 
-    Buckets are reduced with map-side combine. The join back is salted: each scored bucket is
-    copied `salts` times, so a bucket holding much of the traffic meets its rows in many tasks.
+    Buckets are reduced with map-side combine. A bucket of more than `rows_each` rows has its scored row copied once for
+    each so many and its rows dealt to the copies, so that it meets them in as many tasks as its size asks; all others
+    have one copy. Large buckets, at most one for each `rows_each` rows, are known to all tasks.
     """
-    rows = feature_bucket(df).withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+    rows = feature_bucket(df)
     columns = [*MODEL_FEATURES, "syn_ratio", "port_scan_rate", "bytes_per_sec"]
     first = F.min(F.struct(*order, *[F.col(c).alias("f_" + c) for c in columns])).alias("first")
-    sample = rows.groupBy("bucket").agg(first).select(
-        "bucket", *[F.col("first.f_" + c).alias(c) for c in columns]
-    )
-    scored = scorer(sample).select("bucket", "ml_score", "ml_label")
-    copies = scored.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.join(copies, ["bucket", "_salt"]).drop("bucket", "_salt")
+    sized = rows.groupBy("bucket").agg(first, F.ceil(F.count(F.lit(1)) / rows_each).cast("int").alias("_copies"))
+    sample = sized.select("bucket", "_copies", *[F.col("first.f_" + c).alias(c) for c in columns])
+    scored = scorer(sample).select("bucket", "_copies", "ml_score", "ml_label")
+    copies = scored.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies")
+    large = F.broadcast(sized.filter("_copies > 1").select(F.col("bucket").alias("_large"), "_copies"))
+    dealt = rows.join(large, F.col("bucket").eqNullSafe(F.col("_large")), "left")
+    salt = F.when(F.col("_copies").isNull(), 0).otherwise(F.pmod(F.xxhash64(*order), F.col("_copies"))).cast("int")
+    return dealt.withColumn("_salt", salt).drop("_large", "_copies").join(copies, ["bucket", "_salt"]).drop("bucket", "_salt")
 
 
 def bucket_reuse(df: DataFrame) -> DataFrame:
