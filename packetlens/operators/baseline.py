@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .sequential import CHUNK_ROWS, fold, long_keys
-from .spread import join_keys, positions
+from .spread import join_keys
 
 # Fixed values: (jump ratio above which it applies, weight of the new value).
 JUMP_WEIGHTS = ((5.0, 0.7), (2.0, 0.5))
@@ -73,35 +73,36 @@ def adaptive_threshold(
     is_suspicious (above mean + k sigma) and is_attack (above mean + 2k sigma). To reset, add a
     segment column to `keys`.
 
-    `block` is a coarse prefix of `order`. Rows get exact positions, then chunks of `chunk_rows`
-    positions (plus the `window` rows before) are worked on independently, so a key of any length
-    is spread over many tasks.
+    `block` is a coarse prefix of `order`. Counts and extremes by block give each row its exact position and its key's lifetime
+    extremes; chunks of `chunk_rows` positions (plus the `window` rows before) are then worked on
+    independently, so a key of any length is spread over many tasks.
     """
     chunk_rows = max(chunk_rows, window)
-    placed = positions(df, keys, block, order, "_pos").withColumn(
-        "_home", F.floor((F.col("_pos") - 1) / chunk_rows).cast("bigint")
+    # One small row per block says what came before it: how many rows, and the lifetime extremes.
+    sized = df.groupBy(*keys, block.alias("_block")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    earlier = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    before = sized.select(
+        *keys, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+        F.min("_lo").over(earlier).alias("_lo"), F.max("_hi").over(earlier).alias("_hi"),
     )
-    # Lifetime extremes: those of earlier chunks come from one small row per chunk.
-    sized = placed.groupBy(*keys, "_home").agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    earlier = W.partitionBy(*keys).orderBy("_home").rowsBetween(W.unboundedPreceding, -1)
-    extremes = sized.select(
-        *keys, F.col("_home").alias("_chunk"), F.min("_lo").over(earlier).alias("_lo"),
-        F.max("_hi").over(earlier).alias("_hi"),
-    )
-    near_end = (F.col("_pos") - 1) % chunk_rows >= chunk_rows - window
+    in_block = W.partitionBy(*keys, "_block").orderBy(*order)
+    so_far = in_block.rowsBetween(W.unboundedPreceding, -1)
+    placed = join_keys(df.withColumn("_block", block), before, [*keys, "_block"]).withColumns({
+        "seen": F.col("_before") + F.row_number().over(in_block) - 1,
+        "lifetime_min": F.least("_lo", F.min(value).over(so_far)),
+        "lifetime_max": F.greatest("_hi", F.max(value).over(so_far)),
+    }).drop("_before", "_lo", "_hi", "_block")
+    # The last rows of a chunk are copied into the next one, as its history.
+    homed = placed.withColumn("_home", F.floor(F.col("seen") / chunk_rows).cast("bigint"))
+    near_end = F.col("seen") % chunk_rows >= chunk_rows - window
     chunks = F.when(near_end, F.array("_home", F.col("_home") + 1)).otherwise(F.array("_home"))
-    rows = join_keys(placed.withColumn("_chunk", F.explode(chunks)), extremes, [*keys, "_chunk"])
-    in_order = W.partitionBy(*keys, "_chunk").orderBy("_pos")
-    past = in_order.rowsBetween(-window, -1)
-    own = F.when(F.col("_home") == F.col("_chunk"), F.col(value))
-    own_past = in_order.rowsBetween(W.unboundedPreceding, -1)
+    rows = homed.withColumn("_chunk", F.explode(chunks))
+    past = W.partitionBy(*keys, "_chunk").orderBy("seen").rowsBetween(-window, -1)
     scored = rows.withColumns({
-        "seen": F.col("_pos") - 1,
         "samples": F.count(value).over(past),
         "mean": F.avg(value).over(past),
         "stddev": F.stddev_samp(value).over(past),
-        "lifetime_min": F.least("_lo", F.min(own).over(own_past)),
-        "lifetime_max": F.greatest("_hi", F.max(own).over(own_past)),
     }).filter(F.col("_home") == F.col("_chunk"))
     enough = F.col("samples") >= 2
     ready = (F.col("seen") >= warmup) & enough
@@ -113,4 +114,4 @@ def adaptive_threshold(
         "is_attack": F.coalesce(
             ready & (F.col(value) > F.col("mean") + 2 * k * F.col("stddev")), F.lit(False)
         ),
-    }).drop("_pos", "_home", "_chunk", "_lo", "_hi")
+    }).drop("_home", "_chunk")
