@@ -119,3 +119,12 @@ def test_flow_table(spark):
     assert ft.active_flow_count(live).first()[0] == 3
     newer = current.filter("dst_port = 2").withColumn("last_seen", F.lit(now)).withColumn("packet_rate", F.lit(99.0))
     assert ft.top_flows(ft.merge_flows(current, newer), 1).first().dst_port == 2
+
+
+def test_tasks_grow_with_the_packets(spark, monkeypatch):
+    monkeypatch.setattr("packetlens.operators.spread.tasks_for.__defaults__", (50,))
+    rows = [packet(src=1 + i % 300, ts=i * 1000) for i in range(1200)]
+    for stats in (flow_stats, flow_window, source_window):
+        found = stats(packets(spark, rows))
+        sizes = found.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert max(r["count"] for r in sizes) < 150 and sum(r["count"] for r in sizes) == 1200
