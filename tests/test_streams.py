@@ -198,3 +198,26 @@ def test_state_holds_what_later_windows_reach(spark, tmp_path):
     assert got.count() == 400
     # one entry a micro-batch of 4 s; a window of 3 s and lateness of 2 s reach into three of them at most
     assert max(rows_of_state(query)) <= 4
+
+
+def test_many_short_lived_sources_take_few_states(spark, tmp_path):
+    rows = [packet(src=i * 7, ts=i * 1000, dport=80 + i % 3) for i in range(3000)]
+    query, got = started(spark, tmp_path, stream_flow_stats(batches(spark, tmp_path, packets(spark, rows, 1)), block_secs=1000))
+    assert table(got, "src_total_packets") == [(1,)] * 3000 and max(rows_of_state(query)) <= 1024
+    verdicts = packets(spark, rows, 1).select("src_ip", "ts_us", F.lit(0).alias("severity"))
+    query, got = started(spark, tmp_path, stream_limit_normals(batches(spark, tmp_path, verdicts), gap_ms=100_000))
+    assert got.count() == 3000 and max(rows_of_state(query)) <= 1024
+
+
+def test_parts_of_a_stream_are_worked_out_once(spark):
+    from checks.q_streams import in_parts
+
+    worked = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def seen(x):
+        worked.add(1)
+        return x
+
+    got = in_parts(spark, spark.range(40).select(seen("id").alias("ts_us")))
+    assert got.isStreaming and worked.value == 40
