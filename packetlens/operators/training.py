@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.labels import CONN_BOUNDS, RATE_BOUNDS, SIZE_BOUNDS, SYN_BOUNDS, bin_port, clip, normalise_label
-from .spread import COPIES, content_key, fold_copies, key_block, positions, take_first, unfold_copies
+from .spread import COPIES, content_key, fold_copies, join_keys, key_block, take_first, unfold_copies
 
 # Columns of the labelled flow files, most with a leading space in their header.
 FLOW_COLUMNS = {
@@ -79,21 +80,34 @@ def stratified_split(
 ) -> DataFrame:
     """Add `is_test`: the first ceil(test * n) rows of every label in content-key order.
 
-    Ranks come from counts per (label, key prefix), so the dominant label is spread out.
+    Counts per (label, key prefix) tell the prefix in which a label's test rows end. Rows of other prefixes are on one side
+    as they are; only those of that prefix are shuffled and ranked. The labels are few.
     """
     keyed, order, copies = _keyed(df, key, seed)
-    ranked = positions(
-        keyed, [label], key_block(F.col("_key")), ["_key", *order], "_rank", total="_size", copies=copies
-    )
-    tested = F.ceil(F.col("_size") * test)
+    weight = F.col(copies) if copies else F.lit(1).cast("bigint")
+    placed = keyed.withColumn("_block", key_block(F.col("_key")))
+    sized = placed.groupBy(label, "_block").agg(F.sum(weight).alias("_n"))
+    running = W.partitionBy(label).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    starts = sized.withColumns({
+        "_before": F.coalesce(F.sum("_n").over(running), F.lit(0)), "_tested": F.ceil(F.sum("_n").over(W.partitionBy(label)) * test),
+    })
+    edges = starts.filter(F.col("_before") < F.col("_tested")).groupBy(label).agg(
+        F.max(F.struct("_block", "_before", "_tested")).alias("_edge"))
+    sides = join_keys(placed, F.broadcast(edges), [label], "left")
+    at_edge = F.col("_block").eqNullSafe(F.col("_edge._block"))
+    count = F.col(copies) if copies else F.lit(1).cast("bigint")
+    clear = sides.filter(~at_edge).withColumn("_within", F.when(F.col("_block") < F.col("_edge._block"), count).otherwise(0))
+    before = F.coalesce(F.sum(weight).over(W.partitionBy(label).orderBy("_key", *order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    room = F.col("_edge._tested") - F.col("_edge._before") - before
+    ranked = sides.filter(at_edge).withColumn("_within", F.greatest(F.lit(0), F.least(count, room)))
+    split = clear.unionByName(ranked)
     if not copies:
-        return ranked.withColumn("is_test", F.col("_rank") <= tested).drop("_key", "_rank", "_size")
-    within = F.greatest(F.lit(0), F.least(F.col(COPIES), tested - F.col("_rank") + 1))
-    sides = F.array(
-        F.struct(F.lit(True).alias("is_test"), within.alias("n")),
-        F.struct(F.lit(False).alias("is_test"), (F.col(COPIES) - within).alias("n")),
+        return split.select(*df.columns, (F.col("_within") > 0).alias("is_test"))
+    parts = F.array(
+        F.struct(F.lit(True).alias("is_test"), F.col("_within").alias("n")),
+        F.struct(F.lit(False).alias("is_test"), (F.col(COPIES) - F.col("_within")).alias("n")),
     )
-    split = ranked.withColumn("_side", F.explode(sides)).filter("_side.n > 0")
+    split = split.withColumn("_side", F.explode(parts)).filter("_side.n > 0")
     return unfold_copies(split.select(*df.columns, "_side.is_test", F.col("_side.n").alias(COPIES)))
 
 

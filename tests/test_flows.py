@@ -128,3 +128,10 @@ def test_tasks_grow_with_the_packets(spark, monkeypatch):
         found = stats(packets(spark, rows))
         sizes = found.groupBy(F.spark_partition_id().alias("p")).count().collect()
         assert max(r["count"] for r in sizes) < 150 and sum(r["count"] for r in sizes) == 1200
+
+
+def test_taking_the_first_moves_only_the_last_block(spark):
+    df = spark.range(0, 1000, 1, 4).select(F.expr("id * 7919 % 1000").alias("v"), F.spark_partition_id().alias("p"))
+    got = take_first(df, 505, F.expr("v div 10"), ["v"]).withColumn("q", F.spark_partition_id()).collect()
+    assert sorted(r.v for r in got) == list(range(505))
+    assert all(r.p == r.q for r in got if r.v < 500)

@@ -178,3 +178,13 @@ def test_exact_quantile(spark):
     df = spark.createDataFrame([(v,) for v in values], "raw_score double").repartition(3)
     for q in (0.0, 0.01, 0.37, 0.5, 1.0):
         assert _quantile(df, q) == pytest.approx(df.agg(F.percentile("raw_score", q)).first()[0], abs=1e-12)
+
+
+def test_a_split_moves_only_the_prefix_in_which_test_rows_end(spark):
+    rows = spark.range(0, 2000, 1, 4).select("id", F.expr("IF(id % 3 = 0, NULL, id % 3)").alias("label"), F.spark_partition_id().alias("p"))
+    got = tr.stratified_split(rows, key=["id"]).withColumn("q", F.spark_partition_id()).collect()
+    assert sorted(r.id for r in got) == list(range(2000))
+    for label, n in ((None, 667), (1, 667), (2, 666)):
+        of = [r for r in got if r.label == label]
+        assert (len(of), sum(r.is_test for r in of)) == (n, 134)
+    assert sum(r.p == r.q for r in got) > 1900
