@@ -188,3 +188,12 @@ def test_a_split_moves_only_the_prefix_in_which_test_rows_end(spark):
         of = [r for r in got if r.label == label]
         assert (len(of), sum(r.is_test for r in of)) == (n, 134)
     assert sum(r.p == r.q for r in got) > 1900
+
+
+def test_tenths_are_those_of_percentile_disc(spark):
+    from checks.q_models import TRAINING_FEATURES, _tenths
+
+    rows = spark.range(137).select(*[F.expr(f"CAST(IF(id % 11 = 0, NULL, id * id % {31 + i}) AS DOUBLE)").alias(c) for i, c in enumerate(TRAINING_FEATURES)])
+    marks = [F.expr(f"percentile_disc({k / 10}) WITHIN GROUP (ORDER BY {c})") for c in TRAINING_FEATURES for k in range(1, 10)]
+    flat = list(rows.agg(*[m.alias(f"m{i}") for i, m in enumerate(marks)]).first())
+    assert _tenths(rows) == [flat[9 * i : 9 * i + 9] for i in range(5)]
