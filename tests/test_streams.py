@@ -176,6 +176,45 @@ def test_system_ticks_as_a_stream(spark, tmp_path, last_n):
     assert all(streamed[sec] == pytest.approx((avg, p99)) for sec, avg, p99 in measured) and len(measured) > 50
 
 
+@pytest.mark.parametrize("batch", [10_000, 3])
+def test_active_flows_of_a_stream_are_held_once_a_second(spark, tmp_path, batch):
+    # flows that come back before and after they were idle, null keys, a late packet and one behind the watermark
+    rows = [packet(src=i % 40, ts=i * 37_000 + (i % 7) * 3_000_000, dport=80 + i % 3) for i in range(1500)]
+    rows = [tuple(None if i % 50 == j else v for j, v in enumerate(r)) if i % 50 in (1, 3) else r for i, r in enumerate(rows)]
+    whole = packets(spark, rows)
+    parts = [whole.filter(F.expr(f"(ts_us - {START}) div 15000000 = {k}")) for k in range(6)]
+    late = packets(spark, [packet(src=900, ts=44_000_000), packet(src=901, ts=2_000_000)], 1)
+    parts[3] = parts[3].unionByName(late)  # all before 45 s has come; 2 s is beyond the watermark
+    none = detect(whole).select("ts_us", "severity").persist()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        stream = stream_system_ticks(batches(spark, tmp_path, *parts), batches(spark, tmp_path, none), idle_secs=4)
+        query, got = started(spark, tmp_path, stream)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = system_ticks(whole.unionByName(late.filter("src_ip = 900")), none, idle_secs=4).select("sec", "active_flows")
+    last = got.agg(F.max("sec")).first()[0]
+    assert last > START // 1_000_000 + 55
+    assert table(got, "sec", "active_flows") == table(want.filter(F.col("sec") <= last), "sec", "active_flows")
+    # no state holds a row for each window of a flow: parts of the flows, seconds, and timers of both
+    most = max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"])
+    flows = whole.select(*FLOW_KEY, F.expr("ts_us div 1000000")).distinct().count()
+    assert most < flows / 2
+
+
+def test_ticks_of_a_stream_with_its_own_watermark(spark, tmp_path):
+    rows = random_packets(200, seed=19)
+    whole = packets(spark, rows)
+    parts = by_time(spark, rows, 3)
+    none = detect(whole).select("ts_us", "severity").persist()
+    stream = batches(spark, tmp_path, *parts).withWatermark("ts", "5 seconds")
+    got = finish(spark, tmp_path, stream_system_ticks(stream, batches(spark, tmp_path, none), idle_secs=4, watermark_secs=5))
+    want = system_ticks(whole, none, idle_secs=4)
+    last = got.agg(F.max("sec")).first()[0]
+    assert last > START // 1_000_000 + 55
+    assert table(got, "sec", "active_flows") == table(want.filter(F.col("sec") <= last), "sec", "active_flows")
+
+
 def test_null_fields_and_many_frames(spark, tmp_path):
     rows = list({r[7]: r for r in random_packets(240, seed=18)}.values())
     rows = [tuple(None if (i + j) % 17 == 0 and j != 7 else v for j, v in enumerate(r)) for i, r in enumerate(rows)]
