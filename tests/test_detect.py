@@ -13,6 +13,7 @@ from packetlens.operators.scoring import bucket_reuse, combine_scores, score_buc
 from packetlens.operators.verdict import decide, prediction_class
 from packetlens.operators.sequential import coarse, keep_spaced, kept_times, long_keys
 from packetlens.plans.detection import detect, detect_adaptive, limit_normals, packet_features
+from packetlens.schemas import FLOW_KEY
 
 FEATURES = (
     "src_ip long, src_unique_dst_ports long, packet_rate double, syn_ratio double, syn_count double, connection_count double, "
@@ -291,3 +292,16 @@ def test_bucketed_scores_equal_direct_ones_for_single_rows(spark):
 
 def test_brute_force_helper_agrees_on_itself():
     assert as_dicts([packet()])[0]["ts_us"] == START
+
+
+def test_scores_meet_their_rows_in_tasks_by_counted_rows(spark):
+    rows = random_packets(300, seed=23)
+    order = ["ts_us", *FLOW_KEY, "packet_size", "tcp_flags"]
+    f = packet_features(packets(spark, rows)).persist()
+    columns = [*order, "ml_score", "ml_label"]
+    whole = score_bucketed(f, score_heuristic, order)
+    for rows_each in (1_000_000, 10):
+        got = score_bucketed(f, score_heuristic, order, rows_each=rows_each, task_rows=20)
+        plan = got._jdf.queryExecution().toString()
+        assert plan.count(", 15)") >= 2 and "_salt" in plan  # both sides of the join, 300 rows by 20
+        assert table(got, *columns) == table(whole, *columns)
