@@ -5,9 +5,10 @@ layer, one hidden layer) and the id within its class from counts over the whole
 has a probability. Windows overlap: each id is scored once, with at least `WINDOW - STRIDE` ids of context
 unless the text is younger than that; a batch of windows is one masked attention.
 
-Weights are learned from windows that a hash takes from anywhere in the training texts, a fixed share of a large corpus. They are
-dealt to shards, as many as the corpus asks for; each shard's task takes the weights on by some steps of descent, and their mean is
-where the next round starts. Classes come from what stands before and after the frequent ids in all these windows.
+Weights are learned from all training texts: each id of each text, and each end, is predicted once in a pass. Texts are cut to pieces, which
+are dealt to shards, as many as the corpus asks for. A round takes its part of the texts: each shard's task takes the weights on
+by steps of descent over all windows of its pieces, and the mean over the windows is where the next round starts. Classes come from what
+stands before and after the frequent ids in all training texts.
 
 Word counts cover every training text. The most frequent words, at most `head` of them, travel to all tasks;
 of all other words each text sends its own counts to a join. So no frequent word is a hot key.
@@ -41,16 +42,17 @@ LN10 = np.log(10)
 
 @dataclass(frozen=True)
 class Settings:
-    """`shard_ids` is how much of the corpus a shard stands for, `shard_windows` how many windows it learns from, `head` bounds the words that are broadcast."""
+    """`shard_ids` is how many ids a shard learns from, `steps` how many steps it makes at least: a small shard is passed more than once.
+    `head` bounds the words that are broadcast, `shard_windows` the windows of a shard in `sampled_windows`."""
 
     size: int = 16
     hidden: int = 32
     own: int = 2048  # ids with an embedding of their own; the rest share their class's
     classes: int = 64
-    shard_ids: int = 96_000_000
+    shard_ids: int = 8_000_000
     shard_windows: int = 40_000
     rounds: int = 2
-    steps: int = 1200  # of a shard, over all rounds
+    steps: int = 1200  # of a shard at least, over all rounds
     batch: int = 64
     rate: float = 0.004
     seed: int = 11
@@ -102,6 +104,7 @@ class Model:
             "down": start(s.hidden, d), "read": start(d, s.classes + 2), "read_b": np.zeros(s.classes + 2, np.float32),
         }
         self.mask = np.where(np.tri(WINDOW, dtype=bool), 0, -1e9).astype(np.float32)
+        self.seen = np.tri(WINDOW, dtype=np.float32)
 
     # classes of ids
 
@@ -155,16 +158,17 @@ class Model:
         """Last hidden states (window, place, size) of embedding rows, and what the way back needs."""
         p, d = self.p, self.settings.size
         n = len(rows)
-        x = p["embed"][rows] + p["place"]
-        qkv = (p["embed"] @ p["qkv"])[rows]  # rows are few, places many
+        x = p["embed"].take(rows, axis=0)
+        x += p["place"]
+        qkv = (p["embed"] @ p["qkv"]).take(rows, axis=0)  # rows are few, places many
         qkv += p["place"] @ p["qkv"]
         q, k, v = qkv[..., :d], qkv[..., d : 2 * d], qkv[..., 2 * d :]
         weight = np.matmul(q, k.transpose(0, 2, 1))
         weight *= np.float32(1 / np.sqrt(d))
-        weight += self.mask
-        weight -= weight.max(axis=2, keepdims=True)
+        weight = _steady(weight, self.mask)
         np.exp(weight, out=weight)
-        weight /= weight.sum(axis=2, keepdims=True)
+        weight *= self.seen
+        weight /= (weight @ np.ones(WINDOW, weight.dtype))[..., None]
         heard = np.matmul(weight, v).reshape(-1, d)
         h = x.reshape(-1, d) + heard @ p["out"]
         up = np.maximum(h @ p["up"] + p["up_b"], 0)
@@ -179,14 +183,19 @@ class Model:
         """Mean log loss over places of weight 1, and its gradient."""
         p, d, n = self.p, self.settings.size, len(rows)
         last, m = self.forward(rows)
-        logs = self.log_classes(last)
         flat, used = target.ravel(), weight.ravel() / max(weight.sum(), 1)
         at = np.arange(len(flat))
-        loss = -float((logs[at, flat] * used).sum())
-        back = np.exp(logs)
+        back = last @ p["read"]
+        back += p["read_b"]
+        back = _steady(back)
+        picked = back[at, flat]
+        np.exp(back, out=back)
+        mass = back @ np.ones(back.shape[1], back.dtype)
+        loss = -float(((picked - np.log(mass)) * used).sum())
+        back /= mass[:, None]
         back[at, flat] -= 1
         back *= used[:, None]
-        g = {"read": last.T @ back, "read_b": back.sum(axis=0)}
+        g = {"read": last.T @ back, "read_b": np.ones(len(back), back.dtype) @ back}
         to_last = back @ p["read"].T
         g["down"] = m["up"].T @ to_last
         to_up = (to_last @ p["down"].T) * (m["up"] > 0)
@@ -196,37 +205,44 @@ class Model:
         to_heard = (to_h @ p["out"].T).reshape(n, WINDOW, d)
         a = m["weight"]
         to_a = np.matmul(to_heard, m["v"].transpose(0, 2, 1))
-        to_score = a * (to_a - (to_a * a).sum(axis=2, keepdims=True)) * np.float32(1 / np.sqrt(d))
+        to_a -= np.einsum("nij,nij->ni", to_a, a)[..., None]
+        to_a *= a
+        to_a *= np.float32(1 / np.sqrt(d))
+        to_score = to_a
         to_qkv = np.concatenate([np.matmul(to_score, m["k"]), np.matmul(to_score.transpose(0, 2, 1), m["q"]), np.matmul(a.transpose(0, 2, 1), to_heard)], axis=2).reshape(-1, 3 * d)
         x = m["x"].reshape(-1, d)
         g["qkv"] = x.T @ to_qkv
         to_x = to_h + to_qkv @ p["qkv"].T
         g["place"] = to_x.reshape(n, WINDOW, d).sum(axis=0)
         g["embed"] = np.zeros_like(p["embed"])
-        np.add.at(g["embed"], rows.ravel(), to_x)
+        own = rows.ravel().astype(np.min_scalar_type(len(g["embed"])))  # the narrowest sorts fastest
+        order = np.argsort(own, kind="stable")
+        own = own[order]
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        g["embed"][own[first]] = np.add.reduceat(to_x[order], first)
         return loss, g
 
     def train(self, texts: list[np.ndarray]) -> list[float]:
-        """Adam over random windows of texts that are at hand; returns the losses."""
+        """Adam over all windows of texts that are at hand; returns the losses."""
         read, starts, stops = self.windows(texts)
-        windows = [read[a : min(a + WINDOW, b) + 1] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
-        return self.learn(windows, self.settings.steps, [self.settings.seed + 1], self.settings.rate)
+        return self.learn(read, starts, stops, self.settings.steps, [self.settings.seed + 1], self.settings.rate)
 
-    def learn(self, windows: list[np.ndarray], steps: int, seed: list[int], most: float) -> list[float]:
-        """Adam over random picks of windows, each with the id after it; returns the losses."""
+    def learn(self, read: np.ndarray, starts: np.ndarray, stops: np.ndarray, steps: int, seed: list[int], most: float) -> list[float]:
+        """Adam over all windows in random order, again until `steps` steps are made; returns the losses."""
         s = self.settings
-        if not windows:
+        if not len(starts):
             return []
-        sizes = np.array([len(w) - 1 for w in windows])
-        held = np.stack([np.pad(w, (0, WINDOW + 1 - len(w)), mode="edge") for w in windows])
         rng = np.random.default_rng(seed)
+        many = -(-len(starts) // s.batch)  # steps of a pass
+        steps = -(-max(steps, many) // many) * many
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
         losses = []
         for step in range(1, steps + 1):
-            pick = rng.integers(0, len(held), s.batch)
-            ids, target = held[pick, :-1], held[pick, 1:]
-            inside = np.arange(WINDOW) < sizes[pick, None]
+            if step % many == 1 or many == 1:
+                order = rng.permutation(len(starts))
+            pick = order[(step - 1) % many :: many]
+            ids, target, inside = self.cut(read, starts[pick], stops[pick])
             loss, g = self.gradients(self.row[ids], self.kind[target], inside.astype(np.float32))
             losses.append(loss)
             rate = most * min(1, 2 * (1 - step / (steps + 1)))
@@ -356,7 +372,7 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def sampled_windows(docs: DataFrame, path: str, settings: Settings, total_ids: int, total_texts: int) -> tuple[DataFrame, int]:
-    """(shard, ids) of windows to learn from, each with the id after it, and the number of shards.
+    """(shard, ids) of some windows, each with the id after it, and the number of shards. For a look at a corpus: `train` learns from all.
 
     There is a shard for each `shard_ids` ids of the corpus, with about `shard_windows` windows. A hash chooses texts and then their
     windows, from any place of a text, so that every place of the corpus has the same chance.
@@ -385,29 +401,69 @@ def sampled_windows(docs: DataFrame, path: str, settings: Settings, total_ids: i
     return texts.mapInArrow(run, "shard long, ids array<int>"), shards
 
 
-def context_counts(windows: DataFrame, top: np.ndarray, end: int) -> np.ndarray:
-    """How often each context id stands before (first half) and after each id of `top`, over all windows."""
+#: Ids to predict in one piece of a text.
+PIECE = 32 * WINDOW
+
+
+def pieces(docs: DataFrame, path: str, settings: Settings, shards: int, turn: int) -> DataFrame:
+    """(shard, key, piece, ids) of all texts of a round, each with an end before and after: ids to predict, after the one before them.
+
+    A hash of its row tells the round of a text, and with the number of a piece the shard of the piece.
+    """
+    texts = keyed_texts(docs).withColumn("key", F.xxhash64(F.lit(settings.seed), "doc_id", "text"))
+    texts = texts.filter(F.pmod("key", F.lit(settings.rounds)) == turn).select("key", "text")
+    end = _vocabulary(path)
+    kind = _narrow(end)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("shard", pa.int64()), ("key", pa.int64()), ("piece", pa.int64()), ("ids", pa.binary())])
+        for batch in slices(batches, most_bytes=1 << 20):
+            out = [[], [], [], []]
+            for key, ids in zip(batch.column("key").to_pylist(), subwords(list(map(words_of, encoded(batch))), path), strict=True):
+                read = np.concatenate([[end], ids, [end]]).astype(kind)
+                for piece, at in enumerate(range(0, len(read) - 1, PIECE)):
+                    for column, value in zip(out, ((key // settings.rounds + piece) % shards, key, piece, read[at : at + PIECE + 1].tobytes()), strict=True):
+                        column.append(value)
+            yield record(schema, out)
+
+    return texts.mapInArrow(run, "shard long, key long, piece long, ids binary")
+
+
+def _narrow(end: int) -> type:
+    """The type in which ids up to `end` travel."""
+    return np.uint16 if end < 1 << 16 else np.int32
+
+
+def _piece_windows(ids: list[bytes], kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces in one array; start of each window, which do not overlap; end of its piece."""
+    read = np.frombuffer(b"".join(ids), kind).astype(np.int32)
+    sizes = np.array([len(x) // kind().itemsize for x in ids], np.int64)
+    many = -(-(sizes - 1) // WINDOW)
+    begin = np.repeat(np.cumsum(sizes) - sizes, many)
+    number = np.arange(len(begin)) - np.repeat(np.cumsum(many) - many, many)
+    return read, begin + number * WINDOW, begin + np.repeat(sizes, many) - 1
+
+
+def context_counts(docs: DataFrame, path: str, top: np.ndarray, end: int) -> np.ndarray:
+    """How often each context id stands before (first half) and after each id of `top`, over all texts."""
     place, context = _places(top, end)
     wide = 2 * CONTEXTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(top) * wide, np.int64)
-        for batch in batches:
-            column = batch.column("ids")
-            flat, sizes = column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            same = owner[1:] == owner[:-1]
-            before, after = flat[:-1][same], flat[1:][same]
-            known = place[after] >= 0
-            total += np.bincount(place[after][known] * wide + context[before][known], minlength=len(total))
-            known = place[before] >= 0
-            total += np.bincount(place[before][known] * wide + CONTEXTS + context[after][known], minlength=len(total))
+        for batch in slices(batches, most_bytes=1 << 20):
+            ids = subwords(list(map(words_of, encoded(batch))), path)
+            flat = np.concatenate([[end], *(x for t in ids for x in (t, [end]))], dtype=np.int32)
+            known = np.flatnonzero(place[flat] >= 0)
+            at = place[flat[known]] * wide
+            total += np.bincount(at + context[flat[known - 1]], minlength=len(total))
+            total += np.bincount(at + CONTEXTS + context[flat[known + 1]], minlength=len(total))
         at = np.flatnonzero(total)
         yield record(pa.schema([("cell", pa.int64()), ("n", pa.int64())]), [at, total[at]])
 
-    out = np.zeros(len(top) * wide, np.float32)
-    for row in windows.select("ids").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
-        out[row["cell"]] = row["n"]
+    found = keyed_texts(docs).select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(top) * wide, np.float32)  # a row for each pair of a frequent id and a context at most
+    out[found["cell"].to_numpy()] = found["n"].to_numpy()
     return out.reshape(len(top), wide)
 
 
@@ -428,30 +484,32 @@ def _added(dumps: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, path: str, ids: np.ndarray, counts: np.ndarray, texts: int, settings: Settings = Settings()) -> Model:
-    """Classes and weights from windows of all of `docs`; `counts` of `ids` and the number of `texts` are those of the corpus.
+    """Classes and weights from all of `docs`; `counts` of `ids` and the number of `texts` are those of the corpus.
 
-    Each shard of the windows takes the weights on by some steps, all shards side by side; their mean is where the next round starts.
+    Each shard of a round takes the weights on over all its windows, all shards side by side; their mean, by windows, is where the next round starts.
     """
     model = Model(settings, _vocabulary(path))
     model.count(ids, counts)
-    found, shards = sampled_windows(docs, path, settings, int(counts.sum()), texts)
-    windows = stored(found)
-    model.group(ids[np.argsort(-counts, kind="stable")], lambda top: context_counts(windows, top, model.end))
+    model.group(ids[np.argsort(-counts, kind="stable")], lambda top: context_counts(docs, path, top, model.end))
     model.count(ids, counts)  # within the classes that are now known
+    shards = max(1, round((int(counts.sum()) + texts) / settings.shard_ids))
     steps = -(-settings.steps // settings.rounds)
 
     def taken_on(start: dict[str, bytes], turn: int):
         def fit(table: pa.Table) -> pa.Table:
             shard = table["shard"][0].as_py()
             own = Model(settings, model.end).load(start)
-            rows = sorted(table["ids"].to_pylist())  # in any order of arrival
-            own.learn([np.array(r, np.int64) for r in rows], steps, [settings.seed, turn, shard], settings.rate / (1 + turn))
-            return pa.table({"name": pa.array(list(own.p), pa.string()), "data": pa.array([v.tobytes() for v in own.p.values()], pa.binary()), "n": pa.array([1] * len(own.p))})
+            table = table.sort_by([("key", "ascending"), ("piece", "ascending")])  # in any order of arrival
+            read, starts, stops = _piece_windows(table["ids"].to_pylist(), _narrow(model.end))
+            own.learn(read, starts, stops, steps, [settings.seed, turn, shard], settings.rate / (1 + turn))
+            data = [(v * np.float32(len(starts))).tobytes() for v in own.p.values()]
+            return pa.table({"name": pa.array(list(own.p), pa.string()), "data": pa.array(data, pa.binary()), "n": pa.array([len(starts)] * len(own.p))})
 
         return fit
 
     for turn in range(settings.rounds):
-        dumps = windows.groupBy("shard").applyInArrow(taken_on(model.dump(), turn), "name string, data binary, n long")
+        dealt = pieces(docs, path, settings, shards, turn).repartition(shards, "shard")  # a task for a shard or a few
+        dumps = dealt.groupBy("shard").applyInArrow(taken_on(model.dump(), turn), "name string, data binary, n long")
         for row in _added(_added(dumps).repartition("name")).collect():  # a row for each array of the model
             shape = model.p[row["name"]].shape
             model.p[row["name"]] = (np.frombuffer(row["data"], np.float32) / row["n"]).astype(np.float32).reshape(shape)

@@ -170,3 +170,40 @@ def test_weights_are_the_mean_of_the_shards(spark, docs):
     plain = lm.Model(settings, lm._vocabulary(PATH))
     plain.kind, plain.row, plain.within = model.kind, model.row, model.within
     assert model.score(ids).sum() > plain.score(ids).sum() and np.isfinite(model.score(ids)).all()
+
+
+def test_every_id_is_learned_from_in_one_round(spark, docs):
+    long = " ".join(f"w{i % 700}" for i in range(30_000))
+    rows = [(1, long), (2, "a few words"), (3, ""), (None, None), (5, long), (5, long)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    texts = lm.subwords([lm.words_of((t or "").encode()) for _, t in rows], PATH)
+    end = lm._vocabulary(PATH)
+    settings, want, got, shards = lm.Settings(), Counter(), Counter(), set()
+    for text in texts:
+        want.update([*text.tolist(), end])
+    for turn in range(settings.rounds):
+        found = lm.pieces(frame, PATH, settings, 7, turn).collect()
+        read, starts, stops = lm._piece_windows([bytes(r.ids) for r in found], lm._narrow(end))
+        ids, target, inside = lm.Model(settings, end).cut(read, starts, stops)
+        got.update(target[inside].tolist())
+        shards |= {r.shard for r in found}
+        assert all(len(r.ids) // 2 <= lm.PIECE + 1 for r in found)
+    assert got == want and shards == set(range(7))
+    # neighbours are counted over all texts
+    top = np.array([x for x, _ in Counter(texts[0].tolist()).most_common(40)])
+    place, context = lm._places(top, end)
+    table = np.zeros((len(top), 2 * lm.CONTEXTS))
+    for text in texts:
+        read = [end, *text.tolist(), end]
+        for before, at, after in zip(read, read[1:], read[2:], strict=False):
+            if place[at] >= 0:
+                table[place[at], context[before]] += 1
+                table[place[at], lm.CONTEXTS + context[after]] += 1
+    assert np.array_equal(lm.context_counts(frame, PATH, top, end), table)
+
+
+def test_no_setting_leaves_windows_out(docs):
+    ids = lm.subwords([lm.words_of(r.text.encode()) for r in docs[1]], PATH)
+    seen, n = np.unique(np.concatenate(ids), return_counts=True)
+    one, all_ = (lm.train(docs[0], PATH, seen, n, len(ids), lm.Settings(shard_ids=20_000, shard_windows=k, steps=20)) for k in (1, 10**6))
+    assert all(np.array_equal(one.p[k], all_.p[k]) for k in one.p)
