@@ -20,15 +20,17 @@ rows; other columns are not read.
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from functools import cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,6 +85,17 @@ def _steady(x: np.ndarray, mask: np.ndarray | None = None, most: float = 40) ->
     return x
 
 
+def _with_one(x: np.ndarray) -> np.ndarray:
+    """Rows with a one more, which is the input of the biases."""
+    out = np.ones((len(x), x.shape[1] + 1), x.dtype)
+    out[:, :-1] = x
+    return out
+
+
+def _but_last(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return x[:-1], x[-1]
+
+
 class Model:
     """`vocabulary` ids and the end token, which is the next number. Class 0 is the end alone, the last one the rare ids."""
 
@@ -160,19 +173,24 @@ class Model:
         n = len(rows)
         x = p["embed"].take(rows, axis=0)
         x += p["place"]
-        qkv = (p["embed"] @ p["qkv"]).take(rows, axis=0)  # rows are few, places many
-        qkv += p["place"] @ p["qkv"]
+        x = x.reshape(-1, d)
+        qkv = (x @ p["qkv"]).reshape(n, WINDOW, 3 * d)
         q, k, v = qkv[..., :d], qkv[..., d : 2 * d], qkv[..., 2 * d :]
-        weight = np.matmul(q, k.transpose(0, 2, 1))
-        weight *= np.float32(1 / np.sqrt(d))
-        weight = _steady(weight, self.mask)
+        q *= np.float32(1 / np.sqrt(d))
+        weight = _steady(np.matmul(q, k.transpose(0, 2, 1)), self.mask)
         np.exp(weight, out=weight)
         weight *= self.seen
-        weight /= (weight @ np.ones(WINDOW, weight.dtype))[..., None]
+        mass = (weight @ np.ones(WINDOW, weight.dtype)).reshape(-1, 1)
         heard = np.matmul(weight, v).reshape(-1, d)
-        h = x.reshape(-1, d) + heard @ p["out"]
-        up = np.maximum(h @ p["up"] + p["up_b"], 0)
-        return h + up @ p["down"], {"x": x, "q": q, "k": k, "v": v, "weight": weight, "heard": heard, "h": h, "up": up}
+        heard /= mass
+        h = heard @ p["out"]
+        h += x
+        h = _with_one(h)
+        up = h @ np.vstack([p["up"], p["up_b"]])
+        np.maximum(up, 0, out=up)
+        last = up @ p["down"]
+        last += h[:, :d]
+        return last, {"x": x, "q": q, "k": k, "v": v, "weight": weight, "mass": mass, "heard": heard, "h": h, "up": up}
 
     def log_classes(self, state: np.ndarray) -> np.ndarray:
         logit = state @ self.p["read"] + self.p["read_b"]
@@ -185,34 +203,39 @@ class Model:
         last, m = self.forward(rows)
         flat, used = target.ravel(), weight.ravel() / max(weight.sum(), 1)
         at = np.arange(len(flat))
-        back = last @ p["read"]
-        back += p["read_b"]
-        back = _steady(back)
+        last = _with_one(last)
+        back = _steady(last @ np.vstack([p["read"], p["read_b"]]))
         picked = back[at, flat]
         np.exp(back, out=back)
         mass = back @ np.ones(back.shape[1], back.dtype)
         loss = -float(((picked - np.log(mass)) * used).sum())
-        back /= mass[:, None]
-        back[at, flat] -= 1
-        back *= used[:, None]
-        g = {"read": last.T @ back, "read_b": np.ones(len(back), back.dtype) @ back}
+        back *= (used / mass)[:, None]
+        back[at, flat] -= used
+        g = {}
+        g["read"], g["read_b"] = _but_last(last.T @ back)
         to_last = back @ p["read"].T
         g["down"] = m["up"].T @ to_last
-        to_up = (to_last @ p["down"].T) * (m["up"] > 0)
-        g["up"], g["up_b"] = m["h"].T @ to_up, to_up.sum(axis=0)
-        to_h = to_last + to_up @ p["up"].T
+        to_up = to_last @ p["down"].T
+        to_up *= m["up"] > 0
+        g["up"], g["up_b"] = _but_last(m["h"].T @ to_up)
+        to_h = to_last
+        to_h += to_up @ p["up"].T
         g["out"] = m["heard"].T @ to_h
-        to_heard = (to_h @ p["out"].T).reshape(n, WINDOW, d)
-        a = m["weight"]
-        to_a = np.matmul(to_heard, m["v"].transpose(0, 2, 1))
-        to_a -= np.einsum("nij,nij->ni", to_a, a)[..., None]
-        to_a *= a
-        to_a *= np.float32(1 / np.sqrt(d))
-        to_score = to_a
-        to_qkv = np.concatenate([np.matmul(to_score, m["k"]), np.matmul(to_score.transpose(0, 2, 1), m["q"]), np.matmul(a.transpose(0, 2, 1), to_heard)], axis=2).reshape(-1, 3 * d)
-        x = m["x"].reshape(-1, d)
-        g["qkv"] = x.T @ to_qkv
-        to_x = to_h + to_qkv @ p["qkv"].T
+        to_heard = to_h @ p["out"].T
+        # weights are divided by their mass; what all weights of a place share comes from what it heard
+        to_heard /= m["mass"]
+        shared = np.einsum("nd,nd->n", to_heard, m["heard"]).reshape(n, WINDOW, 1)
+        to_heard = to_heard.reshape(n, WINDOW, d)
+        to_score = np.matmul(to_heard, m["v"].transpose(0, 2, 1))
+        to_score -= shared
+        to_score *= m["weight"]
+        to_q = np.matmul(to_score, m["k"])
+        to_q *= np.float32(1 / np.sqrt(d))
+        to_k = np.matmul(to_score.transpose(0, 2, 1), m["q"])
+        to_qkv = np.concatenate([to_q, to_k, np.matmul(m["weight"].transpose(0, 2, 1), to_heard)], axis=2).reshape(-1, 3 * d)
+        g["qkv"] = m["x"].T @ to_qkv
+        to_x = to_qkv @ p["qkv"].T
+        to_x += to_h
         g["place"] = to_x.reshape(n, WINDOW, d).sum(axis=0)
         g["embed"] = np.zeros_like(p["embed"])
         own = rows.ravel().astype(np.min_scalar_type(len(g["embed"])))  # the narrowest sorts fastest
@@ -235,8 +258,11 @@ class Model:
         rng = np.random.default_rng(seed)
         many = -(-len(starts) // s.batch)  # steps of a pass
         steps = -(-max(steps, many) // many) * many
-        first = {k: np.zeros_like(v) for k, v in self.p.items()}
-        second = {k: np.zeros_like(v) for k, v in self.p.items()}
+        # all arrays in one, of which those of the model are parts
+        every = np.concatenate([v.ravel() for v in self.p.values()])
+        parts = np.split(every, np.cumsum([v.size for v in self.p.values()])[:-1])
+        self.p = {k: part.reshape(v.shape) for (k, v), part in zip(self.p.items(), parts, strict=True)}
+        first, second, spare, move = (np.zeros_like(every) for _ in range(4))
         losses = []
         for step in range(1, steps + 1):
             if step % many == 1 or many == 1:
@@ -246,10 +272,19 @@ class Model:
             loss, g = self.gradients(self.row[ids], self.kind[target], inside.astype(np.float32))
             losses.append(loss)
             rate = most * min(1, 2 * (1 - step / (steps + 1)))
-            for k, v in self.p.items():
-                first[k] += 0.1 * (g[k] - first[k])
-                second[k] += 0.01 * (g[k] ** 2 - second[k])
-                v -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
+            slope = np.concatenate([g[k].ravel() for k in self.p])
+            np.subtract(slope, first, out=spare)
+            spare *= 0.1
+            first += spare
+            slope *= slope
+            slope -= second
+            slope *= 0.01
+            second += slope
+            np.sqrt(np.divide(second, 1 - 0.99**step, out=spare), out=spare)
+            spare += 1e-8
+            np.multiply(first, rate / (1 - 0.9**step), out=move)
+            move /= spare
+            every -= move
         return losses
 
     # texts to windows
@@ -346,13 +381,18 @@ class Model:
         return self
 
 
+@cache
+def _encoding(path: str) -> tiktoken.Encoding:
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec(path).ranks, special_tokens={})
+
+
 WORDS: dict[str, Recent] = {}
 
 
 def word_ids(path: str) -> Recent:
     """Subword ids of words, each after a space, kept for words already met; once per Python worker."""
     if path not in WORDS:
-        encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec(path).ranks, special_tokens={})
+        encoding = _encoding(path)
 
         def compute(word: bytes) -> bytes:
             return array("i", encoding.encode_ordinary(" " + word.decode())).tobytes()
@@ -371,6 +411,66 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def parted(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, as `words_of` has them, in one array, and how many each text has. Null is the empty text."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    words = parts.flatten()
+    real = pc.greater(pc.binary_length(words), 0)  # white space before the first word or after the last parts an empty one
+    of = np.repeat(np.arange(len(parts)), pc.list_value_length(parts).to_numpy())[real.to_numpy(zero_copy_only=False)]
+    return words.filter(real), np.bincount(of, minlength=len(parts))
+
+
+@dataclass(frozen=True)
+class Read:
+    """Words of some texts: `many` of each text, place `at` each in the words of the head and then those of `rare`; all ids, of a text between two `bounds`."""
+
+    many: np.ndarray
+    at: np.ndarray
+    rare: pa.Array
+    ids: np.ndarray
+    bounds: np.ndarray
+
+
+class Lexicon:
+    """Subword ids of words: those of `head` are kept, others are encoded for each slice of texts in which they are."""
+
+    def __init__(self, path: str, head: pa.Array):
+        self.encode, self.encoding, self.head = word_ids(path).compute, _encoding(path), head
+        self.leads = np.array([x[:1] == b" " for x in codec(path).tokens])
+        self.pool, self.sizes = self.encoded(head)
+
+    def encoded(self, words: pa.Array, most: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all `words` and how many each has. As one text, in which every space begins a word, unless a word holds white space."""
+        ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for part in range(0, len(words), most):
+            some = words.slice(part, most)
+            text = " " + pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some), " ")[0].as_py()
+            if re.search(r"[^\S ]", text):
+                found = [np.frombuffer(self.encode(w), np.int32) for w in some.cast(pa.binary()).to_pylist()]
+                ids += found
+                sizes.append(np.array(list(map(len, found))))
+            else:
+                ids.append(np.array(self.encoding.encode_ordinary(text), np.int32))
+                sizes.append(np.diff(np.flatnonzero(self.leads[ids[-1]]), append=len(ids[-1])))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def read(self, texts: pa.Array) -> Read:
+        words, many = parted(texts)
+        coded = words.dictionary_encode()
+        place = pc.fill_null(pc.index_in(coded.dictionary, self.head), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(place < 0)
+        place[new] = len(self.head) + np.arange(len(new))
+        rare = coded.dictionary.take(pa.array(new))
+        at = place[coded.indices.to_numpy(zero_copy_only=False)]
+        pool, sizes = self.encoded(rare)
+        pool, sizes = np.concatenate([self.pool, pool]), np.concatenate([self.sizes, sizes])
+        begin, size = (np.cumsum(sizes) - sizes)[at], sizes[at]
+        total = np.concatenate([[0], np.cumsum(size)])
+        from_ = np.arange(total[-1])
+        from_ += np.repeat(begin - total[:-1], size)
+        return Read(many, at, rare, pool[from_], total[np.concatenate([[0], np.cumsum(many)])])
+
+
 def sampled_windows(docs: DataFrame, path: str, settings: Settings, total_ids: int, total_texts: int) -> tuple[DataFrame, int]:
     """(shard, ids) of some windows, each with the id after it, and the number of shards. For a look at a corpus: `train` learns from all.
 
@@ -405,22 +505,48 @@ def sampled_windows(docs: DataFrame, path: str, settings: Settings, total_ids: i
 PIECE = 32 * WINDOW
 
 
+def keyed_ids(docs: DataFrame, path: str, settings: Settings) -> DataFrame:
+    """(key, ids) of each text: a hash of its row, and its subword ids. A table that has both is taken as it is."""
+    if "ids" in docs.columns:
+        return docs.select("key", "ids")
+    kind = _narrow(_vocabulary(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("key", pa.int64()), ("ids", pa.binary())])
+        words = Lexicon(path, pa.array([], pa.string()))
+        for batch in slices(batches):
+            found = words.read(batch.column("text"))
+            yield record(schema, [batch.column("key"), _binaries(found.ids, found.bounds, kind)])
+
+    texts = keyed_texts(docs).select(_key(settings), "text")
+    return texts.mapInArrow(run, "key long, ids binary")
+
+
+def _key(settings: Settings):
+    return F.xxhash64(F.lit(settings.seed), "doc_id", "text").alias("key")
+
+
+def _binaries(flat: np.ndarray, bounds: np.ndarray, kind: type) -> pa.Array:
+    """A value for each stretch of `flat` between two bounds, its ids as `kind`."""
+    offsets = (bounds * kind().itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.astype(kind).tobytes())])
+
+
 def pieces(docs: DataFrame, path: str, settings: Settings, shards: int, turn: int) -> DataFrame:
     """(shard, key, piece, ids) of all texts of a round, each with an end before and after: ids to predict, after the one before them.
 
     A hash of its row tells the round of a text, and with the number of a piece the shard of the piece.
     """
-    texts = keyed_texts(docs).withColumn("key", F.xxhash64(F.lit(settings.seed), "doc_id", "text"))
-    texts = texts.filter(F.pmod("key", F.lit(settings.rounds)) == turn).select("key", "text")
+    texts = keyed_ids(docs, path, settings).filter(F.pmod("key", F.lit(settings.rounds)) == turn)
     end = _vocabulary(path)
     kind = _narrow(end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("shard", pa.int64()), ("key", pa.int64()), ("piece", pa.int64()), ("ids", pa.binary())])
-        for batch in slices(batches, most_bytes=1 << 20):
+        for batch in slices(batches, "ids", most_bytes=1 << 20):
             out = [[], [], [], []]
-            for key, ids in zip(batch.column("key").to_pylist(), subwords(list(map(words_of, encoded(batch))), path), strict=True):
-                read = np.concatenate([[end], ids, [end]]).astype(kind)
+            for key, ids in zip(batch.column("key").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                read = np.concatenate([[end], np.frombuffer(ids, kind), [end]]).astype(kind)
                 for piece, at in enumerate(range(0, len(read) - 1, PIECE)):
                     for column, value in zip(out, ((key // settings.rounds + piece) % shards, key, piece, read[at : at + PIECE + 1].tobytes()), strict=True):
                         column.append(value)
@@ -446,14 +572,15 @@ def _piece_windows(ids: list[bytes], kind: type) -> tuple[np.ndarray, np.ndarray
 
 def context_counts(docs: DataFrame, path: str, top: np.ndarray, end: int) -> np.ndarray:
     """How often each context id stands before (first half) and after each id of `top`, over all texts."""
-    place, context = _places(top, end)
+    place, context = (x.astype(np.int32) for x in _places(top, end))
     wide = 2 * CONTEXTS
+    kind = _narrow(end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(top) * wide, np.int64)
-        for batch in slices(batches, most_bytes=1 << 20):
-            ids = subwords(list(map(words_of, encoded(batch))), path)
-            flat = np.concatenate([[end], *(x for t in ids for x in (t, [end]))], dtype=np.int32)
+        last = np.array([end], kind).tobytes()
+        for batch in slices(batches, "ids", most_bytes=1 << 20):
+            flat = np.frombuffer(last + last.join([*batch.column("ids").to_pylist(), b""]), kind)
             known = np.flatnonzero(place[flat] >= 0)
             at = place[flat[known]] * wide
             total += np.bincount(at + context[flat[known - 1]], minlength=len(total))
@@ -461,7 +588,7 @@ def context_counts(docs: DataFrame, path: str, top: np.ndarray, end: int) -> np.
         at = np.flatnonzero(total)
         yield record(pa.schema([("cell", pa.int64()), ("n", pa.int64())]), [at, total[at]])
 
-    found = keyed_texts(docs).select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    found = keyed_ids(docs, path, Settings()).select("ids").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(top) * wide, np.float32)  # a row for each pair of a frequent id and a context at most
     out[found["cell"].to_numpy()] = found["n"].to_numpy()
     return out.reshape(len(top), wide)
@@ -485,9 +612,12 @@ def _added(dumps: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, path: str, ids: np.ndarray, counts: np.ndarray, texts: int, settings: Settings = Settings()) -> Model:
     """Classes and weights from all of `docs`; `counts` of `ids` and the number of `texts` are those of the corpus.
+    `docs` has texts, or (key, ids) of them.
 
     Each shard of a round takes the weights on over all its windows, all shards side by side; their mean, by windows, is where the next round starts.
     """
+    if "ids" not in docs.columns:
+        docs = stored(keyed_ids(docs, path, settings))  # read once for the classes and once for the rounds
     model = Model(settings, _vocabulary(path))
     model.count(ids, counts)
     model.group(ids[np.argsort(-counts, kind="stable")], lambda top: context_counts(docs, path, top, model.end))
@@ -523,17 +653,23 @@ def _vocabulary(path: str) -> int:
 def word_counts(docs: DataFrame, most: int = 400_000) -> DataFrame:
     """(word, n) over all rows of `docs`; the end of a text is the empty word. A task adds up before it sends."""
 
+    def added(parts: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
-        total: Counter[bytes] = Counter()
+        parts, held = [], 0
         for batch in slices(batches):
-            for text in encoded(batch):
-                total.update(words_of(text))
-            total[b""] += batch.num_rows
-            if len(total) > most:
-                yield record(schema, [pa.array(list(total), pa.binary()).cast(pa.string()), list(total.values())])
-                total.clear()
-        yield record(schema, [pa.array(list(total), pa.binary()).cast(pa.string()), list(total.values())])
+            found = parted(batch.column("text"))[0].value_counts()
+            parts += [pa.table({"word": found.field("values"), "n": found.field("counts")}), pa.table({"word": [""], "n": [batch.num_rows]})]
+            held += len(found) + 1
+            if held > 2 * most:
+                parts = [added(parts)]
+                held = parts[0].num_rows
+                if held > most:
+                    yield from parts[0].to_batches()
+                    parts, held = [], 0
+        if parts:
+            yield from added(parts).to_batches()
 
     return keyed_texts(docs).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -542,13 +678,12 @@ def id_counts(words: DataFrame, path: str) -> DataFrame:
     """(id, n) of subword ids over (word, n): each distinct word is encoded once. At most a vocabulary of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = word_ids(path).compute  # each word comes once
+        every = Lexicon(path, pa.array([], pa.string()))  # each word comes once
         total = np.zeros(_vocabulary(path), np.int64)
         for batch in slices(batches, "word", most_rows=20_000):
-            ids = [np.frombuffer(of(w), np.int32) for w in encoded(batch, "word") if w]
-            n = [k for k, w in zip(batch.column("n").to_pylist(), encoded(batch, "word"), strict=True) if w]
-            if ids:
-                total += np.bincount(np.concatenate(ids), np.repeat(n, list(map(len, ids))), minlength=len(total)).astype(np.int64)
+            batch = batch.filter(pc.greater(pc.binary_length(batch.column("word")), 0))
+            ids, sizes = every.encoded(batch.column("word"))
+            total += np.bincount(ids, np.repeat(batch.column("n").to_numpy(), sizes), minlength=len(total)).astype(np.int64)
         at = np.flatnonzero(total)
         yield record(pa.schema([("id", pa.int64()), ("n", pa.int64())]), [at, total[at]])
 
@@ -579,42 +714,54 @@ def score_texts(docs: DataFrame, path: str, settings: Settings = Settings(), fol
     tokens, distinct, ends = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), ended).first()
     spark = docs.sparkSession
     found = sorted((r.id, r.n) for r in id_counts(counts, path).collect())
-    model = train(learned, path, np.array([i for i, _ in found], np.int64), np.array([n for _, n in found], np.int64), ends, settings)
+    ids, n = np.array([i for i, _ in found], np.int64), np.array([k for _, k in found], np.int64)
     rest = np.log10(tokens + distinct + 1)
     head = spark.sparkContext.broadcast(head_words(counts, settings))  # at most settings.head words
-    sent = spark.sparkContext.broadcast((model.dump(), model.end))
+    kind = _narrow(_vocabulary(path))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word = pa.struct([("word", pa.string()), ("n", pa.int64())])
         schema = pa.schema([
-            ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("head_score", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(word)),
+            ("doc_id", pa.int64()), ("key", pa.int64()), ("ids", pa.binary()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("head_score", pa.float64()), ("rare", pa.list_(word)),
         ])
-        data, end = sent.value
-        own = Model(settings, end).load(data)
-        gain = dict(zip(head.value, (np.log10(np.array(list(head.value.values())) + 1.0) - rest).tolist(), strict=True))
         end_gain = float(np.log10(ends + 1) - rest)
-        for batch in slices(batches, most_bytes=1 << 20):
-            texts = list(map(words_of, encoded(batch)))
-            heads, sums, rare, n, bounds = [], [], [], [], [0]
-            for words in texts:
-                others = [w for w in words if w not in gain]
-                heads.append(len(words) - len(others) + (ends > 0))
-                sums.append(sum(map(gain.get, words, repeat(0.0))) + end_gain)
-                found = Counter(others)
-                rare += found.keys()
-                n += found.values()
-                bounds.append(len(rare))
-            pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], fields=list(word))
+        known = {w: k for w, k in head.value.items() if w}  # the end is no word
+        gain = np.log10(np.fromiter(known.values(), np.float64, len(known)) + 1) - rest
+        words = Lexicon(path, pa.array(list(known), pa.binary()).cast(pa.string()))
+        for batch in slices(batches):
+            found = words.read(batch.column("text"))
+            of = np.repeat(np.arange(batch.num_rows), found.many)
+            frequent = found.at < len(gain)
+            heads = np.bincount(of[frequent], minlength=batch.num_rows) + (ends > 0)
+            sums = np.bincount(of[frequent], gain[found.at[frequent]], minlength=batch.num_rows) + end_gain
+            # other words of each text, each once
+            base = max(1, len(found.rare))
+            pair, times = np.unique(of[~frequent] * base + found.at[~frequent] - len(gain), return_counts=True)
+            bounds = np.searchsorted(pair, np.arange(batch.num_rows + 1) * base)
+            pairs = pa.StructArray.from_arrays([found.rare.take(pa.array(pair % base)), pa.array(times, pa.int64())], fields=list(word))
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pairs, type=pa.list_(word))
-            yield record(schema, [batch.column("doc_id"), [len(words) + 1 for words in texts], heads, sums, own.score(subwords(texts, path)), lists])
+            yield record(schema, [batch.column("doc_id"), batch.column("key"), _binaries(found.ids, found.bounds, kind), found.many + 1, heads, sums, lists])
+
+    # read once and numbered: a row's ids serve classes, both rounds and the score, and equal rows are told apart
+    columns = "doc_id long, key long, ids binary, n_tokens long, n_head long, head_score double, rare array<struct<word: string, n: long>>"
+    rows = stored(texts.select("doc_id", _key(settings), "text").mapInArrow(read, columns).withColumn("row", F.monotonically_increasing_id()))
+    model = train(rows.filter(fold_of(F.col("doc_id"), folds) != held_out).select("key", "ids"), path, ids, n, ends, settings)
+    sent = spark.sparkContext.broadcast((model.dump(), model.end))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data, end = sent.value
+        own = Model(settings, end).load(data)
+        kept = ["row", "doc_id", "n_tokens", "n_head", "head_score"]
+        for batch in slices(batches, "ids", most_bytes=1 << 19):
+            found = own.score([np.frombuffer(x, kind) for x in batch.column("ids").to_pylist()])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(found, pa.float64())], [*kept, "score"])
 
-    columns = "doc_id long, n_tokens long, n_head long, head_score double, score double, rare array<struct<word: string, n: long>>"
-    # numbered and stored at once, so that equal rows are told apart and texts are read once
-    rows = stored(texts.mapInArrow(score, columns).withColumn("row", F.monotonically_increasing_id()))
+    columns = "row long, doc_id long, n_tokens long, n_head long, head_score double, score double"
+    scored = stored(rows.select("row", "doc_id", "n_tokens", "n_head", "head_score", "ids").mapInArrow(score, columns))
     each = rows.select("row", F.inline("rare")).join(counts.select(F.col("word").alias("_word"), F.col("n").alias("c")), F.col("word") == F.col("_word"), "left")
     gain = F.log10(F.coalesce("c", F.lit(0)) + 1.0) - F.lit(float(rest))
     summed = each.groupBy(F.col("row").alias("_row")).agg(F.sum(gain * F.col("n")).alias("tail_score"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_tail"))
-    joined = rows.drop("rare").join(summed, F.col("row") == F.col("_row"), "left")
+    joined = scored.join(summed, F.col("row") == F.col("_row"), "left")
     return joined.select(
         "doc_id", (fold_of(F.col("doc_id"), folds) == held_out).alias("held_out"), "n_tokens",
         (F.col("n_head") + F.coalesce("n_tail", F.lit(0))).alias("n_known"), F.lit(int(tokens)).cast("bigint").alias("train_tokens"),
