@@ -10,6 +10,9 @@ are dealt to shards, as many as the corpus asks for. A round takes its part of t
 by steps of descent over all windows of its pieces, and the mean over the windows is where the next round starts. Classes come from what
 stands before and after the frequent ids in all training texts.
 
+Texts are cut to words twice: for the word counts, and once the frequent words are known, for the subword ids of every text. These are stored
+and serve the classes, the rounds and the score. A task keeps ids of the frequent words only, and encodes others slice by slice.
+
 Word counts cover every training text. The most frequent words, at most `head` of them, travel to all tasks;
 of all other words each text sends its own counts to a join. So no frequent word is a hot key.
 
@@ -76,12 +79,12 @@ def _places(top: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     return place, context
 
 
-def _steady(x: np.ndarray, mask: np.ndarray | None = None, most: float = 40) -> np.ndarray:
-    """`x`, less the greatest of each row (under `mask`) where its exponentials could leave single precision; their ratios stay."""
+def _steady(x: np.ndarray, mask: np.ndarray | None = None, most: float = 40, axis: int = -1) -> np.ndarray:
+    """`x`, less the greatest of each row (under `mask`), or of `axis`, where its exponentials could leave single precision; their ratios stay."""
     if x.size and max(x.max(), -x.min()) > most:
         if mask is not None:
             x += mask
-        x -= x.max(axis=-1, keepdims=True)
+        x -= x.max(axis=axis, keepdims=True)
     return x
 
 
@@ -116,6 +119,7 @@ class Model:
             "qkv": start(d, 3 * d), "out": start(d, d), "up": start(d, s.hidden), "up_b": np.zeros(s.hidden, np.float32),
             "down": start(s.hidden, d), "read": start(d, s.classes + 2), "read_b": np.zeros(s.classes + 2, np.float32),
         }
+        self.cells = np.arange(self.p["embed"].size).reshape(-1, d)
         self.mask = np.where(np.tri(WINDOW, dtype=bool), 0, -1e9).astype(np.float32)
         self.seen = np.tri(WINDOW, dtype=np.float32)
 
@@ -204,16 +208,16 @@ class Model:
         flat, used = target.ravel(), weight.ravel() / max(weight.sum(), 1)
         at = np.arange(len(flat))
         last = _with_one(last)
-        back = _steady(last @ np.vstack([p["read"], p["read_b"]]))
-        picked = back[at, flat]
+        back = _steady(np.vstack([p["read"], p["read_b"]]).T @ last.T, axis=0)  # a column for each place
+        picked = back[flat, at]
         np.exp(back, out=back)
-        mass = back @ np.ones(back.shape[1], back.dtype)
+        mass = np.ones(len(back), back.dtype) @ back
         loss = -float(((picked - np.log(mass)) * used).sum())
-        back *= (used / mass)[:, None]
-        back[at, flat] -= used
+        back *= used / mass
+        back[flat, at] -= used
         g = {}
-        g["read"], g["read_b"] = _but_last(last.T @ back)
-        to_last = back @ p["read"].T
+        g["read"], g["read_b"] = _but_last((back @ last).T)
+        to_last = back.T @ p["read"].T
         g["down"] = m["up"].T @ to_last
         to_up = to_last @ p["down"].T
         to_up *= m["up"] > 0
@@ -229,20 +233,18 @@ class Model:
         to_score = np.matmul(to_heard, m["v"].transpose(0, 2, 1))
         to_score -= shared
         to_score *= m["weight"]
-        to_q = np.matmul(to_score, m["k"])
-        to_q *= np.float32(1 / np.sqrt(d))
-        to_k = np.matmul(to_score.transpose(0, 2, 1), m["q"])
-        to_qkv = np.concatenate([to_q, to_k, np.matmul(m["weight"].transpose(0, 2, 1), to_heard)], axis=2).reshape(-1, 3 * d)
+        to_qkv = np.empty((n, WINDOW, 3 * d), to_score.dtype)
+        np.matmul(to_score, m["k"], out=to_qkv[..., :d])
+        to_qkv[..., :d] *= np.float32(1 / np.sqrt(d))
+        np.matmul(to_score.transpose(0, 2, 1), m["q"], out=to_qkv[..., d : 2 * d])
+        np.matmul(m["weight"].transpose(0, 2, 1), to_heard, out=to_qkv[..., 2 * d :])
+        to_qkv = to_qkv.reshape(-1, 3 * d)
         g["qkv"] = m["x"].T @ to_qkv
         to_x = to_qkv @ p["qkv"].T
         to_x += to_h
         g["place"] = to_x.reshape(n, WINDOW, d).sum(axis=0)
         g["embed"] = np.zeros_like(p["embed"])
-        own = rows.ravel().astype(np.min_scalar_type(len(g["embed"])))  # the narrowest sorts fastest
-        order = np.argsort(own, kind="stable")
-        own = own[order]
-        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        g["embed"][own[first]] = np.add.reduceat(to_x[order], first)
+        np.add.at(g["embed"].reshape(-1), self.cells.take(rows, axis=0).reshape(-1), to_x.reshape(-1))
         return loss, g
 
     def train(self, texts: list[np.ndarray]) -> list[float]:
@@ -411,6 +413,20 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+#: Bytes of text whose words are looked up together.
+SLICE = 4 << 20
+
+
+def released(run):
+    """`run` over the batches of a task, after which the worker gives back what Arrow held for it: workers wait for their next task."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return whole
+
+
 def parted(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The words of all texts, as `words_of` has them, in one array, and how many each text has. Null is the empty text."""
     parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
@@ -457,18 +473,18 @@ class Lexicon:
     def read(self, texts: pa.Array) -> Read:
         words, many = parted(texts)
         coded = words.dictionary_encode()
-        place = pc.fill_null(pc.index_in(coded.dictionary, self.head), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        new = np.flatnonzero(place < 0)
-        place[new] = len(self.head) + np.arange(len(new))
+        known = pc.fill_null(pc.index_in(coded.dictionary, self.head), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(known < 0)
+        known[new] = len(self.head) + np.arange(len(new))
         rare = coded.dictionary.take(pa.array(new))
-        at = place[coded.indices.to_numpy(zero_copy_only=False)]
+        at = known[coded.indices.to_numpy(zero_copy_only=False)]
         pool, sizes = self.encoded(rare)
         pool, sizes = np.concatenate([self.pool, pool]), np.concatenate([self.sizes, sizes])
         begin, size = (np.cumsum(sizes) - sizes)[at], sizes[at]
         total = np.concatenate([[0], np.cumsum(size)])
-        from_ = np.arange(total[-1])
-        from_ += np.repeat(begin - total[:-1], size)
-        return Read(many, at, rare, pool[from_], total[np.concatenate([[0], np.cumsum(many)])])
+        place = np.repeat(begin - total[:-1], size)
+        place += np.arange(total[-1])
+        return Read(many, at, rare, pool[place], total[np.concatenate([[0], np.cumsum(many)])])
 
 
 def sampled_windows(docs: DataFrame, path: str, settings: Settings, total_ids: int, total_texts: int) -> tuple[DataFrame, int]:
@@ -514,12 +530,12 @@ def keyed_ids(docs: DataFrame, path: str, settings: Settings) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("key", pa.int64()), ("ids", pa.binary())])
         words = Lexicon(path, pa.array([], pa.string()))
-        for batch in slices(batches):
+        for batch in slices(batches, most_bytes=SLICE):
             found = words.read(batch.column("text"))
             yield record(schema, [batch.column("key"), _binaries(found.ids, found.bounds, kind)])
 
     texts = keyed_texts(docs).select(_key(settings), "text")
-    return texts.mapInArrow(run, "key long, ids binary")
+    return texts.mapInArrow(released(run), "key long, ids binary")
 
 
 def _key(settings: Settings):
@@ -539,20 +555,21 @@ def pieces(docs: DataFrame, path: str, settings: Settings, shards: int, turn: in
     """
     texts = keyed_ids(docs, path, settings).filter(F.pmod("key", F.lit(settings.rounds)) == turn)
     end = _vocabulary(path)
-    kind = _narrow(end)
+    last = np.array([end], _narrow(end)).tobytes()
+    step = PIECE * len(last)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("shard", pa.int64()), ("key", pa.int64()), ("piece", pa.int64()), ("ids", pa.binary())])
         for batch in slices(batches, "ids", most_bytes=1 << 20):
             out = [[], [], [], []]
             for key, ids in zip(batch.column("key").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                read = np.concatenate([[end], np.frombuffer(ids, kind), [end]]).astype(kind)
-                for piece, at in enumerate(range(0, len(read) - 1, PIECE)):
-                    for column, value in zip(out, ((key // settings.rounds + piece) % shards, key, piece, read[at : at + PIECE + 1].tobytes()), strict=True):
+                read = last + ids + last
+                for piece, at in enumerate(range(0, len(read) - len(last), step)):
+                    for column, value in zip(out, ((key // settings.rounds + piece) % shards, key, piece, read[at : at + step + len(last)]), strict=True):
                         column.append(value)
             yield record(schema, out)
 
-    return texts.mapInArrow(run, "shard long, key long, piece long, ids binary")
+    return texts.mapInArrow(released(run), "shard long, key long, piece long, ids binary")
 
 
 def _narrow(end: int) -> type:
@@ -562,7 +579,7 @@ def _narrow(end: int) -> type:
 
 def _piece_windows(ids: list[bytes], kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pieces in one array; start of each window, which do not overlap; end of its piece."""
-    read = np.frombuffer(b"".join(ids), kind).astype(np.int32)
+    read = np.frombuffer(b"".join(ids), kind)
     sizes = np.array([len(x) // kind().itemsize for x in ids], np.int64)
     many = -(-(sizes - 1) // WINDOW)
     begin = np.repeat(np.cumsum(sizes) - sizes, many)
@@ -583,12 +600,12 @@ def context_counts(docs: DataFrame, path: str, top: np.ndarray, end: int) -> np.
             flat = np.frombuffer(last + last.join([*batch.column("ids").to_pylist(), b""]), kind)
             known = np.flatnonzero(place[flat] >= 0)
             at = place[flat[known]] * wide
-            total += np.bincount(at + context[flat[known - 1]], minlength=len(total))
-            total += np.bincount(at + CONTEXTS + context[flat[known + 1]], minlength=len(total))
+            np.add.at(total, at + context[flat[known - 1]], 1)
+            np.add.at(total, at + CONTEXTS + context[flat[known + 1]], 1)
         at = np.flatnonzero(total)
         yield record(pa.schema([("cell", pa.int64()), ("n", pa.int64())]), [at, total[at]])
 
-    found = keyed_ids(docs, path, Settings()).select("ids").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    found = keyed_ids(docs, path, Settings()).select("ids").mapInArrow(released(run), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(top) * wide, np.float32)  # a row for each pair of a frequent id and a context at most
     out[found["cell"].to_numpy()] = found["n"].to_numpy()
     return out.reshape(len(top), wide)
@@ -607,7 +624,7 @@ def _added(dumps: DataFrame) -> DataFrame:
         schema = pa.schema([("name", pa.string()), ("data", pa.binary()), ("n", pa.int64())])
         yield record(schema, [list(total), [v.astype(np.float32).tobytes() for v in total.values()], [count[k] for k in total]])
 
-    return dumps.mapInArrow(run, "name string, data binary, n long")
+    return dumps.mapInArrow(released(run), "name string, data binary, n long")
 
 
 def train(docs: DataFrame, path: str, ids: np.ndarray, counts: np.ndarray, texts: int, settings: Settings = Settings()) -> Model:
@@ -658,7 +675,7 @@ def word_counts(docs: DataFrame, most: int = 400_000) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
-        for batch in slices(batches):
+        for batch in slices(batches, most_bytes=SLICE):
             found = parted(batch.column("text"))[0].value_counts()
             parts += [pa.table({"word": found.field("values"), "n": found.field("counts")}), pa.table({"word": [""], "n": [batch.num_rows]})]
             held += len(found) + 1
@@ -671,7 +688,7 @@ def word_counts(docs: DataFrame, most: int = 400_000) -> DataFrame:
         if parts:
             yield from added(parts).to_batches()
 
-    return keyed_texts(docs).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return keyed_texts(docs).mapInArrow(released(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def id_counts(words: DataFrame, path: str) -> DataFrame:
@@ -687,7 +704,7 @@ def id_counts(words: DataFrame, path: str) -> DataFrame:
         at = np.flatnonzero(total)
         yield record(pa.schema([("id", pa.int64()), ("n", pa.int64())]), [at, total[at]])
 
-    return words.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return words.mapInArrow(released(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def head_words(counts: DataFrame, settings: Settings) -> dict[bytes, int]:
@@ -716,7 +733,8 @@ def score_texts(docs: DataFrame, path: str, settings: Settings = Settings(), fol
     found = sorted((r.id, r.n) for r in id_counts(counts, path).collect())
     ids, n = np.array([i for i, _ in found], np.int64), np.array([k for _, k in found], np.int64)
     rest = np.log10(tokens + distinct + 1)
-    head = spark.sparkContext.broadcast(head_words(counts, settings))  # at most settings.head words
+    frequent = {w: k for w, k in head_words(counts, settings).items() if w}  # at most settings.head words; the end is none
+    head = spark.sparkContext.broadcast((pa.array(list(frequent), pa.binary()).cast(pa.string()), np.array(list(frequent.values()), np.float64)))
     kind = _narrow(_vocabulary(path))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -725,10 +743,9 @@ def score_texts(docs: DataFrame, path: str, settings: Settings = Settings(), fol
             ("doc_id", pa.int64()), ("key", pa.int64()), ("ids", pa.binary()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("head_score", pa.float64()), ("rare", pa.list_(word)),
         ])
         end_gain = float(np.log10(ends + 1) - rest)
-        known = {w: k for w, k in head.value.items() if w}  # the end is no word
-        gain = np.log10(np.fromiter(known.values(), np.float64, len(known)) + 1) - rest
-        words = Lexicon(path, pa.array(list(known), pa.binary()).cast(pa.string()))
-        for batch in slices(batches):
+        gain = np.log10(head.value[1] + 1) - rest
+        words = Lexicon(path, head.value[0])
+        for batch in slices(batches, most_bytes=SLICE):
             found = words.read(batch.column("text"))
             of = np.repeat(np.arange(batch.num_rows), found.many)
             frequent = found.at < len(gain)
@@ -744,7 +761,7 @@ def score_texts(docs: DataFrame, path: str, settings: Settings = Settings(), fol
 
     # read once and numbered: a row's ids serve classes, both rounds and the score, and equal rows are told apart
     columns = "doc_id long, key long, ids binary, n_tokens long, n_head long, head_score double, rare array<struct<word: string, n: long>>"
-    rows = stored(texts.select("doc_id", _key(settings), "text").mapInArrow(read, columns).withColumn("row", F.monotonically_increasing_id()))
+    rows = stored(texts.select("doc_id", _key(settings), "text").mapInArrow(released(read), columns).withColumn("row", F.monotonically_increasing_id()))
     model = train(rows.filter(fold_of(F.col("doc_id"), folds) != held_out).select("key", "ids"), path, ids, n, ends, settings)
     sent = spark.sparkContext.broadcast((model.dump(), model.end))
 
@@ -757,7 +774,7 @@ def score_texts(docs: DataFrame, path: str, settings: Settings = Settings(), fol
             yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(found, pa.float64())], [*kept, "score"])
 
     columns = "row long, doc_id long, n_tokens long, n_head long, head_score double, score double"
-    scored = stored(rows.select("row", "doc_id", "n_tokens", "n_head", "head_score", "ids").mapInArrow(score, columns))
+    scored = stored(rows.select("row", "doc_id", "n_tokens", "n_head", "head_score", "ids").mapInArrow(released(score), columns))
     each = rows.select("row", F.inline("rare")).join(counts.select(F.col("word").alias("_word"), F.col("n").alias("c")), F.col("word") == F.col("_word"), "left")
     gain = F.log10(F.coalesce("c", F.lit(0)) + 1.0) - F.lit(float(rest))
     summed = each.groupBy(F.col("row").alias("_row")).agg(F.sum(gain * F.col("n")).alias("tail_score"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_tail"))

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,3 +208,35 @@ def test_no_setting_leaves_windows_out(docs):
     seen, n = np.unique(np.concatenate(ids), return_counts=True)
     one, all_ = (lm.train(docs[0], PATH, seen, n, len(ids), lm.Settings(shard_ids=20_000, shard_windows=k, steps=20)) for k in (1, 10**6))
     assert all(np.array_equal(one.p[k], all_.p[k]) for k in one.p)
+
+
+def test_words_are_read_as_one_at_a_time():
+    odd = ["", None, "  A\u00a0b\t\x1cC d's  'S it's\x0b", "x" * 500 + " 12 345 \u2028 \u3000\u0085 end\n", "\x00 \u00c4\u00d6 \U0001f600\U0001f600", "a b a B\rc"]
+    every = [*odd, *[" ".join(f"w{i % 90}.,{i}" for i in range(n)) for n in (1, 30, 3000)]]
+    words = [lm.words_of((t or "").encode()) for t in every]
+    found, many = lm.parted(pa.array(every, pa.string()))
+    assert found.cast(pa.binary()).to_pylist() == sum(words, []) and many.tolist() == list(map(len, words))
+    for head in ([], ["a", "b", "w1.,1", "never"]):
+        lexicon = lm.Lexicon(PATH, pa.array(head, pa.string()))
+        kept = len(lexicon.pool)
+        for texts in (every[:4], every[4:], odd[1:2], every):  # slices with white space inside words and without
+            read = lexicon.read(pa.array(texts, pa.string()))
+            want = lm.subwords([lm.words_of((t or "").encode()) for t in texts], PATH)
+            assert [read.ids[a:b].tolist() for a, b in zip(read.bounds, read.bounds[1:], strict=False)] == [x.tolist() for x in want]
+            names = [*head, *read.rare.to_pylist()]
+            assert [names[i].encode() for i in read.at] == sum((lm.words_of((t or "").encode()) for t in texts), [])
+        assert len(lexicon.pool) == kept  # what a task holds does not grow with its texts
+    assert lexicon.encoded(pa.array(["a"] * 50, pa.string()), most=7)[1].tolist() == [1] * 50
+
+
+def test_training_needs_ids_alone(spark, docs):
+    """Ids that were read once give the weights that texts give."""
+    texts = lm.subwords([lm.words_of(r.text.encode()) for r in docs[1]], PATH)
+    seen, n = np.unique(np.concatenate(texts), return_counts=True)
+    settings = lm.Settings(shard_ids=int(n.sum()) // 2, steps=20)
+    read = lm.keyed_ids(docs[0], PATH, settings)
+    assert read.columns == ["key", "ids"]
+    kind = lm._narrow(lm._vocabulary(PATH))
+    assert sorted(np.frombuffer(r.ids, kind).tolist() for r in read.collect()) == sorted(t.tolist() for t in texts)
+    one, other = (lm.train(x, PATH, seen, n, len(texts), settings) for x in (docs[0], read))
+    assert all(np.array_equal(one.p[k], other.p[k]) for k in one.p)
