@@ -79,26 +79,15 @@ def _places(top: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     return place, context
 
 
-def _steady(x: np.ndarray, mask: np.ndarray | None = None, most: float = 40, axis: int = -1) -> np.ndarray:
-    """`x`, less the greatest of each row (under `mask`), or of `axis`, where its exponentials could leave single precision; their ratios stay."""
+def _steady(x: np.ndarray, mask: np.ndarray | None = None, most: float = 40) -> np.ndarray:
+    """`x`, less the greatest of each row (under `mask`) where its exponentials could leave single precision; their ratios stay."""
     if x.size and max(x.max(), -x.min()) > most:
         if mask is not None:
             x += mask
-        x -= x.max(axis=axis, keepdims=True)
+        x -= x.max(axis=-1, keepdims=True)
     return x
 
 
-def _with_one(x: np.ndarray) -> np.ndarray:
-    """Rows with a one more, which is the input of the biases."""
-    out = np.ones((len(x), x.shape[1] + 1), x.dtype)
-    out[:, :-1] = x
-    return out
-
-
-def _but_last(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return x[:-1], x[-1]
-
-
 class Model:
     """`vocabulary` ids and the end token, which is the next number. Class 0 is the end alone, the last one the rare ids."""
 
@@ -119,7 +108,6 @@ class Model:
             "qkv": start(d, 3 * d), "out": start(d, d), "up": start(d, s.hidden), "up_b": np.zeros(s.hidden, np.float32),
             "down": start(s.hidden, d), "read": start(d, s.classes + 2), "read_b": np.zeros(s.classes + 2, np.float32),
         }
-        self.cells = np.arange(self.p["embed"].size).reshape(-1, d)
         self.mask = np.where(np.tri(WINDOW, dtype=bool), 0, -1e9).astype(np.float32)
         self.seen = np.tri(WINDOW, dtype=np.float32)
 
@@ -177,24 +165,19 @@ class Model:
         n = len(rows)
         x = p["embed"].take(rows, axis=0)
         x += p["place"]
-        x = x.reshape(-1, d)
-        qkv = (x @ p["qkv"]).reshape(n, WINDOW, 3 * d)
+        qkv = (p["embed"] @ p["qkv"]).take(rows, axis=0)  # rows are few, places many
+        qkv += p["place"] @ p["qkv"]
         q, k, v = qkv[..., :d], qkv[..., d : 2 * d], qkv[..., 2 * d :]
-        q *= np.float32(1 / np.sqrt(d))
-        weight = _steady(np.matmul(q, k.transpose(0, 2, 1)), self.mask)
+        weight = np.matmul(q, k.transpose(0, 2, 1))
+        weight *= np.float32(1 / np.sqrt(d))
+        weight = _steady(weight, self.mask)
         np.exp(weight, out=weight)
         weight *= self.seen
-        mass = (weight @ np.ones(WINDOW, weight.dtype)).reshape(-1, 1)
+        weight /= (weight @ np.ones(WINDOW, weight.dtype))[..., None]
         heard = np.matmul(weight, v).reshape(-1, d)
-        heard /= mass
-        h = heard @ p["out"]
-        h += x
-        h = _with_one(h)
-        up = h @ np.vstack([p["up"], p["up_b"]])
-        np.maximum(up, 0, out=up)
-        last = up @ p["down"]
-        last += h[:, :d]
-        return last, {"x": x, "q": q, "k": k, "v": v, "weight": weight, "mass": mass, "heard": heard, "h": h, "up": up}
+        h = x.reshape(-1, d) + heard @ p["out"]
+        up = np.maximum(h @ p["up"] + p["up_b"], 0)
+        return h + up @ p["down"], {"x": x, "q": q, "k": k, "v": v, "weight": weight, "heard": heard, "h": h, "up": up}
 
     def log_classes(self, state: np.ndarray) -> np.ndarray:
         logit = state @ self.p["read"] + self.p["read_b"]
@@ -207,44 +190,45 @@ class Model:
         last, m = self.forward(rows)
         flat, used = target.ravel(), weight.ravel() / max(weight.sum(), 1)
         at = np.arange(len(flat))
-        last = _with_one(last)
-        back = _steady(np.vstack([p["read"], p["read_b"]]).T @ last.T, axis=0)  # a column for each place
-        picked = back[flat, at]
+        back = last @ p["read"]
+        back += p["read_b"]
+        back = _steady(back)
+        picked = back[at, flat]
         np.exp(back, out=back)
-        mass = np.ones(len(back), back.dtype) @ back
+        mass = back @ np.ones(back.shape[1], back.dtype)
         loss = -float(((picked - np.log(mass)) * used).sum())
-        back *= used / mass
-        back[flat, at] -= used
-        g = {}
-        g["read"], g["read_b"] = _but_last((back @ last).T)
-        to_last = back.T @ p["read"].T
+        back /= mass[:, None]
+        back[at, flat] -= 1
+        back *= used[:, None]
+        g = {"read": last.T @ back, "read_b": np.ones(len(back), back.dtype) @ back}
+        to_last = back @ p["read"].T
         g["down"] = m["up"].T @ to_last
-        to_up = to_last @ p["down"].T
-        to_up *= m["up"] > 0
-        g["up"], g["up_b"] = _but_last(m["h"].T @ to_up)
-        to_h = to_last
-        to_h += to_up @ p["up"].T
+        to_up = (to_last @ p["down"].T) * (m["up"] > 0)
+        g["up"], g["up_b"] = m["h"].T @ to_up, to_up.sum(axis=0)
+        to_h = to_last + to_up @ p["up"].T
         g["out"] = m["heard"].T @ to_h
-        to_heard = to_h @ p["out"].T
-        # weights are divided by their mass; what all weights of a place share comes from what it heard
-        to_heard /= m["mass"]
-        shared = np.einsum("nd,nd->n", to_heard, m["heard"]).reshape(n, WINDOW, 1)
-        to_heard = to_heard.reshape(n, WINDOW, d)
-        to_score = np.matmul(to_heard, m["v"].transpose(0, 2, 1))
-        to_score -= shared
-        to_score *= m["weight"]
+        to_heard = (to_h @ p["out"].T).reshape(n, WINDOW, d)
+        a = m["weight"]
+        to_a = np.matmul(to_heard, m["v"].transpose(0, 2, 1))
+        to_a -= np.einsum("nij,nij->ni", to_a, a)[..., None]
+        to_a *= a
+        to_a *= np.float32(1 / np.sqrt(d))
+        to_score = to_a
         to_qkv = np.empty((n, WINDOW, 3 * d), to_score.dtype)
         np.matmul(to_score, m["k"], out=to_qkv[..., :d])
-        to_qkv[..., :d] *= np.float32(1 / np.sqrt(d))
         np.matmul(to_score.transpose(0, 2, 1), m["q"], out=to_qkv[..., d : 2 * d])
-        np.matmul(m["weight"].transpose(0, 2, 1), to_heard, out=to_qkv[..., 2 * d :])
+        np.matmul(a.transpose(0, 2, 1), to_heard, out=to_qkv[..., 2 * d :])
         to_qkv = to_qkv.reshape(-1, 3 * d)
-        g["qkv"] = m["x"].T @ to_qkv
-        to_x = to_qkv @ p["qkv"].T
-        to_x += to_h
+        x = m["x"].reshape(-1, d)
+        g["qkv"] = x.T @ to_qkv
+        to_x = to_h + to_qkv @ p["qkv"].T
         g["place"] = to_x.reshape(n, WINDOW, d).sum(axis=0)
         g["embed"] = np.zeros_like(p["embed"])
-        np.add.at(g["embed"].reshape(-1), self.cells.take(rows, axis=0).reshape(-1), to_x.reshape(-1))
+        own = rows.ravel().astype(np.min_scalar_type(len(g["embed"])))  # the narrowest sorts fastest
+        order = np.argsort(own, kind="stable")
+        own = own[order]
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        g["embed"][own[first]] = np.add.reduceat(to_x[order], first)
         return loss, g
 
     def train(self, texts: list[np.ndarray]) -> list[float]:
@@ -284,7 +268,8 @@ class Model:
             second += slope
             np.sqrt(np.divide(second, 1 - 0.99**step, out=spare), out=spare)
             spare += 1e-8
-            np.multiply(first, rate / (1 - 0.9**step), out=move)
+            np.divide(first, 1 - 0.9**step, out=move)
+            move *= rate
             move /= spare
             every -= move
         return losses
