@@ -19,7 +19,7 @@ from packetlens.schemas import TRAINING_FEATURES
 from packetlens.session import shared_dir
 from packetlens.sources.sinks import load_isolation, save_isolation
 
-from .inputs import flows, labelled, packets, table
+from .inputs import flows, labelled, packets, stored, table
 from .registry import check
 from .sql import query
 
@@ -193,9 +193,15 @@ def isolation_descent(spark, sf):
     return score_isolation(rows, load_isolation(spark, path)).select(*_KEY, "label", F.round("raw_score", 9).alias("raw_score"), "is_anomaly")
 
 
+def _stored(df):
+    """The rows, written once to the shared folder: the next step reads them several times."""
+    return df.sparkSession.read.schema(df.schema).parquet(stored(df))
+
+
 @check()
 def classifier_labels(spark, sf):
-    split = tr.stratified_split(tr.rebalance(_train(spark, sf), key=_KEY), key=_KEY)
+    balanced = _stored(tr.rebalance(_stored(_train(spark, sf)), key=_KEY))
+    split = _stored(tr.stratified_split(balanced, key=_KEY).select(*TRAINING_FEATURES, "label", "is_test"))
     model = train_classifier(split.filter("not is_test"), _FOREST)
     return score_classifier(split.filter("is_test"), model).groupBy("label", "class_label").agg(F.count(F.lit(1)).alias("n"))
 

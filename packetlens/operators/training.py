@@ -112,10 +112,14 @@ def stratified_split(
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
-    """Balanced weight per class: rows / (classes * rows of the class)."""
+    """Balanced weight per class: rows / (classes * rows of the class). One read; the window holds a row per class.
+
+    The totals are no scalar subquery: Catalyst cannot canonicalise one with a join below an alias inside another subquery.
+    """
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    total = sizes.agg(F.struct(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("classes"))).scalar()
-    return sizes.select(label, "n", (total["rows"] / (total["classes"] * F.col("n"))).alias("weight"))
+    every = W.partitionBy()
+    rows, classes = F.sum("n").over(every), F.count(F.lit(1)).over(every)
+    return sizes.select(label, "n", (rows / (classes * F.col("n"))).alias("weight"))
 
 
 def add_class_weights(df: DataFrame, label: str = "label") -> DataFrame:

@@ -197,3 +197,28 @@ def test_tenths_are_those_of_percentile_disc(spark):
     marks = [F.expr(f"percentile_disc({k / 10}) WITHIN GROUP (ORDER BY {c})") for c in TRAINING_FEATURES for k in range(1, 10)]
     flat = list(rows.agg(*[m.alias(f"m{i}") for i, m in enumerate(marks)]).first())
     assert _tenths(rows) == [flat[9 * i : 9 * i + 9] for i in range(5)]
+
+
+def test_class_weights_of_a_split_are_stored(spark):
+    from packetlens.session import shared_dir
+
+    shared_dir(spark)
+    train = tr.stratified_split(tr.prepare_training(planted(spark, 300), ["id"]), key=["id"]).filter("not is_test")
+    weighted = tr.add_class_weights(train).checkpoint()  # Catalyst failed while the weights had a subquery of their own
+    assert table(weighted.groupBy("label", "weight").count(), "label", "weight", "count") == [
+        ("DoS", 240 / (3 * 24), 24), ("Normal", 240 / (3 * 192), 192), ("PortScan", 240 / (3 * 24), 24)
+    ]
+
+
+def test_classifier_labels_counts_every_held_out_row(spark, tmp_path):
+    from checks.inputs import flows
+    from checks.q_models import classifier_labels
+
+    spark.range(900).selectExpr(
+        "id AS l_orderkey", "CAST(id % 7 AS INT) AS l_linenumber", "id AS l_partkey", "id % 50 AS l_suppkey",
+        "CAST(1 + id % 50 AS DOUBLE) AS l_quantity", "CAST(900 + id * 7 % 5000 AS DOUBLE) AS l_extendedprice",
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    train = tr.prepare_training(flows(spark, str(tmp_path)))
+    held = {r.label: -(-r.n // 5) for r in tr.label_counts(train).collect()}
+    got = classifier_labels(spark, str(tmp_path)).groupBy("label").agg(F.sum("n").alias("n")).collect()
+    assert {r.label: r.n for r in got} == held and len(held) > 5
